@@ -67,7 +67,7 @@ def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source_key"), size.alias("size"), place_key(id_col).alias("place"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     rows = rows.withColumn("bucket", F.conv(F.substring("place", 1, 2), 16, 10).cast("int"))
-    rows = stored(rows, "sizes")
+    rows = rows if keep else stored(rows, "sizes")
     buckets = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
     base = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = buckets.groupBy("source_key").agg(F.sum("bucket_size").alias("source_size")).withColumnRenamed("source_key", "source")
@@ -95,6 +95,16 @@ def curriculum(assigned: DataFrame) -> DataFrame:
     return rows.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
 
 
+def training_order(docs: DataFrame, **mix) -> DataFrame:
+    """The mix itself, with the columns of documents: every document as often as its copies say, range-sorted by position.
+
+    Documents are never cut: the one that a source takes in part is in if at least half of it is taken.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
+    rows = assign(docs, keep=tuple(rest), **mix).filter("copies > 0").withColumn("positions", F.slice("positions", 1, F.col("copies")))
+    return curriculum(rows).select(*docs.columns)
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
     """The assignment of every document, in the order of first training position; what is not taken comes last."""
     rows = assign(docs).select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))

@@ -161,9 +161,9 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, large: int = LARGE) -> Da
 
 
 def cluster(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fingerprint, component_id and the columns to keep) of every document.
+    """(doc_id, fingerprint, component_id, class_key and the columns to keep) of every document.
 
-    component_id is the smallest id reachable by links of at most radius differing bits. Null and blank texts have
+    component_id is the smallest id reachable by links of at most radius differing bits, class_key a fingerprint of the component. Null and blank texts have
     fingerprint zero and link like any other. Rows without an id belong to their component but never name it; a component
     of such rows alone has a null component_id. Repeated rows stay; no rows give no rows.
     """
@@ -173,8 +173,17 @@ def cluster(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     nodes = stored(ids.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = components(near_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = named.select("fp", "root").join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
+    named = named.select("fp", "root").join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return rows.join(named, "fp").select("doc_id", digits("fp").alias("fingerprint"), "component_id", digits("root").alias("class_key"), *keep)
+
+
+def representatives(docs: DataFrame, **how) -> DataFrame:
+    """One document of each component, with the columns of documents: the one of smallest id, then of least text."""
+    rest = [c for c in docs.columns if c != "doc_id"]
+    rows = cluster(docs, keep=tuple(rest), **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    best = rows.groupBy("class_key").agg(F.min(F.struct("doc_id", *rest)).alias("best"))
+    return best.select(*(F.col("best")[c].alias(c) for c in docs.columns))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
