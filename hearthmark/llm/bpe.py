@@ -14,13 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 from pyspark.taskcontext import TaskContext
 
-from hearthmark.llm.common import partitions, stored
+from hearthmark.llm.common import few_rows, partitions, stored
 
 # fixed values: the classes of the pre-token pattern for U+0000 to U+024F and general punctuation
 SPACE, LETTER, NUMBER = "\\t-\\r \\x85\\xa0", "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f", "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
@@ -104,7 +106,8 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(unpack(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-BLOCKS = "block long, ids binary, nulls binary, counts binary, slots binary, buckets array<struct<bucket: int, n: int, words: binary>>"
+BLOCKS = "block long, ids binary, nulls binary, counts binary, slots binary, shares binary, buckets array<struct<bucket: int, n: int, words: binary>>"
+BLOCK_FIELDS = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("ids", "nulls", "counts", "slots", "shares")), ("buckets", pa.list_(pa.struct([("bucket", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])))])
 
 
 def block_rows(pattern: str, block_chars: int, buckets: int):
@@ -112,40 +115,40 @@ def block_rows(pattern: str, block_chars: int, buckets: int):
 
     def close(number, ids, nulls, counts, parts, slots):
         order = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        words = list(slots)
-        share = pd.util.hash_array(np.array(words, object), categorize=False) % buckets if words else np.zeros(0, np.uint64)
+        words = np.array(list(slots), object)
+        often = np.argsort(-np.bincount(order, minlength=len(words)), kind="stable")  # frequent words get small slots
+        words, slot_of = words[often], np.empty(len(words), np.int64)
+        slot_of[often] = np.arange(len(words))
+        share = (pd.util.hash_array(words, categorize=False) % buckets).astype(np.int64) if len(words) else np.zeros(0, np.int64)
         by = np.argsort(share, kind="stable")
-        place = np.empty(len(words), np.int64)
-        place[by] = np.arange(len(words))  # slots are renumbered bucket by bucket, so that ids come back in slot order
-        cuts = np.flatnonzero(np.diff(share[by], prepend=np.uint64(buckets))) if len(words) else np.zeros(0, int)
+        cuts = np.flatnonzero(np.diff(share[by], prepend=-1))
         lists = []
         for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True):
-            lists.append({"bucket": int(share[by[a]]), "n": int(b - a), "words": pack_words([words[i] for i in by[a:b]])})
-        return {"block": (TaskContext.get().partitionId() << 32) + number, "ids": np.array(ids, "<i8").tobytes(), "nulls": np.array(nulls, bool).tobytes(), "counts": np.array(counts, "<i8").tobytes(), "slots": planes(place[order]), "buckets": lists}
+            lists.append({"bucket": int(share[by[a]]), "n": int(b - a), "words": pack_words(words[by[a:b]].tolist())})
+        row = {"block": (TaskContext.get().partitionId() << 32) + number, "ids": np.array(ids, "<i8").tobytes(), "nulls": np.array(nulls, bool).tobytes(), "counts": np.array(counts, "<i8").tobytes(), "slots": planes(slot_of[order]), "shares": planes(share), "buckets": lists}
+        return pa.RecordBatch.from_pylist([row], BLOCK_FIELDS)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, number, size = splitter(pattern), 0, 0
         ids, nulls, counts, parts, slots = [], [], [], [], Slots()
-        for frame in frames:
-            for key, text in zip(frame["id"].tolist(), frame["text"].tolist(), strict=True):
-                words = split(text) if text else []
-                missing = key is None or key != key
-                ids.append(0 if missing else int(key))
-                nulls.append(missing)
-                counts.append(len(words))
-                parts.append(np.fromiter(map(slots.__getitem__, words), np.int32, len(words)))
-                size += len(text or "") + 1
-                if size >= block_chars:
-                    yield pd.DataFrame([close(number, ids, nulls, counts, parts, slots)])
-                    number, size = number + 1, 0
-                    ids, nulls, counts, parts, slots = [], [], [], [], Slots()
+        for key, text in few_rows(batches):
+            words = split(text) if text else []
+            ids.append(key or 0)
+            nulls.append(key is None)
+            counts.append(len(words))
+            parts.append(np.fromiter(map(slots.__getitem__, words), np.int32, len(words)))
+            size += len(text or "") + 1
+            if size >= block_chars:
+                yield close(number, ids, nulls, counts, parts, slots)
+                number, size = number + 1, 0
+                ids, nulls, counts, parts, slots = [], [], [], [], Slots()
         if ids:
-            yield pd.DataFrame([close(number, ids, nulls, counts, parts, slots)])
+            yield close(number, ids, nulls, counts, parts, slots)
 
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text", pattern: str = GENERAL, block_chars: int = 16_000_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text", pattern: str = GENERAL, block_chars: int = 8_000_000) -> DataFrame:
     """(doc_id, ids array<int>) of every document by the ranks, without special tokens.
 
     A null text counts as empty and gives no ids; repeated rows give repeated rows; a null id stays null; other columns
@@ -155,8 +158,8 @@ def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))  # one entry per token of a fixed vocabulary
     n = partitions(spark)
-    slim = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = stored(slim.mapInPandas(block_rows(pattern, block_chars, 4 * n), BLOCKS), "blocks")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    blocks = stored(slim.mapInArrow(block_rows(pattern, block_chars, n), BLOCKS), "blocks", bucket_by="block")
 
     def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, bucket, known = ranks.value, None, {}
@@ -174,23 +177,25 @@ def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col
             yield pd.DataFrame(out, columns=["block", "bucket", "sizes", "tokens"])
 
     lists = blocks.select("block", F.explode("buckets").alias("x")).select("block", "x.*")
-    tokens = lists.repartition(4 * n, "bucket").sortWithinPartitions("bucket", "block").mapInPandas(encoded, "block long, bucket int, sizes binary, tokens binary")
-
-    def rejoined(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        row, right = left.iloc[0], right.sort_values("bucket")
-        sizes = np.concatenate([from_planes(x) for x in right["sizes"]] or [np.zeros(0, np.uint32)]).astype(np.int64)
-        flat = np.concatenate([from_planes(x) for x in right["tokens"]] or [np.zeros(0, np.uint32)]).astype(np.int32)
-        slots = from_planes(row["slots"])
-        lengths, starts = sizes[slots], (np.cumsum(sizes) - sizes)[slots]
-        ends = np.cumsum(lengths)
-        ids = flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        words = np.cumsum(np.frombuffer(row["counts"], "<i8"))
-        cuts = np.concatenate([[0], ends])[words]
-        keys = pd.Series(np.frombuffer(row["ids"], "<i8")).astype("Int64").mask(np.frombuffer(row["nulls"], bool))
-        return pd.DataFrame({id_col: keys, "ids": np.split(ids, cuts[:-1])})
-
-    body = blocks.select("block", "ids", "nulls", "counts", "slots")
-    return body.groupBy("block").cogroup(tokens.groupBy("block")).applyInPandas(lambda a, b: rejoined(a, b), f"{id_col} long, ids array<int>")
+    tokens = lists.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInPandas(encoded, "block long, bucket int, sizes binary, tokens binary")
+
+    def rejoined(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, right = left.slice(0, 1).to_pylist()[0], right.sort_by("bucket")
+        sizes = np.concatenate([from_planes(x) for x in right["sizes"].to_pylist()] or [np.zeros(0, np.uint32)]).astype(np.int32)
+        flat = np.concatenate([from_planes(x) for x in right["tokens"].to_pylist()] or [np.zeros(0, np.uint32)]).astype(np.int32)
+        place = np.empty(len(sizes), np.int32)
+        place[np.argsort(from_planes(row["shares"]), kind="stable")] = np.arange(len(sizes), dtype=np.int32)  # ids come bucket by bucket
+        at = place[from_planes(row["slots"])]
+        lengths = sizes[at]
+        ends = np.cumsum(lengths, dtype=np.int32)
+        shift = (np.cumsum(sizes, dtype=np.int32) - sizes)[at] - (ends - lengths)
+        ids = flat[np.repeat(shift, lengths) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.frombuffer(row["counts"], "<i8"))])]
+        keys = pa.array(np.frombuffer(row["ids"], "<i8"), mask=np.frombuffer(row["nulls"], bool))
+        return pa.table({id_col: keys, "ids": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))})
+
+    body = blocks.select("block", "ids", "nulls", "counts", "slots", "shares")
+    return body.groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(lambda a, b: rejoined(a, b), f"{id_col} long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -199,13 +204,18 @@ def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col
     Null ids stay null, an empty list gives no bytes, and an id outside the table fails the job.
     """
     ranks = encoded.sparkSession.sparkContext.broadcast({i: token for token, i in read_ranks(ranks_path).items()})
+    rest = [c for c in encoded.columns if c != out_col]
 
-    @F.pandas_udf("binary")
-    def joined(ids: pd.Series) -> pd.Series:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.value
-        return ids.map(lambda x: None if x is None else b"".join(map(table.__getitem__, x.tolist())))
-
-    return encoded.withColumn(out_col, joined(F.col(ids_col)))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                texts = [None if x is None else b"".join(map(table.__getitem__, x)) for x in part.column(ids_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*rest, out_col])
+
+    schema = StructType([*(encoded.schema[c] for c in rest), StructField(out_col, BinaryType())])
+    return encoded.select(rest).mapInArrow(joined, schema)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and return the table read back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def stored(df: DataFrame, name: str, bucket_by: str | None = None) -> DataFrame:
+    """Write df once to the shared folder and return the table read back: cuts lineage and survives lost executors.
+
+    With bucket_by the table is bucketed, so that grouping or joining by that column does not shuffle it again.
+    """
+    name = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}"
+    if bucket_by:
+        df.write.option("path", path).bucketBy(partitions(df.sparkSession), bucket_by).saveAsTable(name)
+        return df.sparkSession.table(name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -68,3 +77,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mark = seen
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def few_rows(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
+    """The rows of Arrow batches as tuples; only step rows at a time become Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, step):
+            yield from zip(*(c.to_pylist() for c in batch.slice(i, step).columns), strict=True)

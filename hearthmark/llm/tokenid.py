@@ -12,14 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from hearthmark.llm.bpe import splitter
-from hearthmark.llm.common import partitions, shared_dir
+from hearthmark.llm.common import few_rows, partitions, shared_dir
 
-END, BLOCK_IDS, SELECT_EVERY, CACHED = 0, 1_000_000, 64, 400_000
+END, BLOCK_IDS, SELECT_EVERY, CACHED = 0, 1_000_000, 64, 200_000
 
 
 class EliasFano:
@@ -66,6 +67,8 @@ class EliasFano:
 
 LIST = "struct<n: int, bits: int, low: binary, high: binary, sample: binary>"
 FILE = f"shard int, block int, start long, total long, width int, ids binary, no_id int, first long, ends {LIST}, keys {LIST}"
+_LIST = pa.struct([("n", pa.int32()), ("bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("sample", pa.binary())])
+FIELDS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("total", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("no_id", pa.int32()), ("first", pa.int64()), ("ends", _LIST), ("keys", _LIST)])
 
 
 class WordIds:
@@ -80,17 +83,14 @@ class WordIds:
         self.split, self.known = splitter(), {}
 
     def __call__(self, text: str) -> bytes:
-        words = self.split(text)
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
+        words, known = self.split(text), self.known
+        if new := [w for w in set(words) if w not in known]:
             if len(known) > CACHED:
                 known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in known]
+                new = [*set(words)]
             for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, self.kind).tobytes()
-            return b"".join(map(known.__getitem__, words))
+        return b"".join(map(known.__getitem__, words))
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = END, block_ids: int = BLOCK_IDS) -> None:
@@ -103,33 +103,32 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str =
     with open(tokenizer_path, encoding="utf-8") as f:
         model = spark.sparkContext.broadcast(f.read())  # the file of a fixed vocabulary
 
-    def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds(model.value)
         size = np.dtype(ids.kind).itemsize
         mark = np.array([end], ids.kind).tobytes()
         shard, block, start, held, count, keys, ends = TaskContext.get().partitionId(), 0, 0, [], 0, [], []
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             own = np.array([k for k in keys if k is not None], np.int64)
             lists = [vars(EliasFano.of(v)) for v in (np.array(ends), own - own[0] if len(own) else own)]
-            return pd.DataFrame([{"shard": shard, "block": block, "start": start, "total": count, "width": size, "ids": b"".join(held), "no_id": len(keys) - len(own), "first": int(own[0]) if len(own) else 0, "ends": lists[0], "keys": lists[1]}])
-
-        for frame in frames:
-            for key, text in zip(frame["key"].tolist(), frame["text"].tolist(), strict=True):
-                own = ids(text) + mark if text else mark
-                if keys and count + len(own) // size > block_ids:
-                    yield close()
-                    block, start, held, count, keys, ends = block + 1, start + count, [], 0, [], []
-                held.append(own)
-                count += len(own) // size
-                keys.append(None if key is None else int(key))
-                ends.append(count)
+            return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "start": start, "total": count, "width": size, "ids": b"".join(held), "no_id": len(keys) - len(own), "first": int(own[0]) if len(own) else 0, "ends": lists[0], "keys": lists[1]}], FIELDS)
+
+        for key, text in few_rows(batches):
+            own = ids(text) + mark if text else mark
+            if keys and count + len(own) // size > block_ids:
+                yield close()
+                block, start, held, count, keys, ends = block + 1, start + count, [], 0, [], []
+            held.append(own)
+            count += len(own) // size
+            keys.append(key)
+            ends.append(count)
         if keys:
             yield close()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = slim.repartitionByRange(partitions(spark), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    ordered.select(F.col("id").cast("string").alias("key"), "text").mapInPandas(blocks, FILE).write.parquet(path)
+    ordered.mapInArrow(blocks, FILE).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataFrame:
