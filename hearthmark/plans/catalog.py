@@ -1,4 +1,6 @@
 """The registered queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from hearthmark.plans import valuation
+
+QUERIES: dict = dict(valuation.QUERIES)
+ORACLES: dict = dict(valuation.ORACLES)
