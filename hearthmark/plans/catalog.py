@@ -1,6 +1,6 @@
 """The registered queries of the library and their SQL."""
 
-from hearthmark.plans import valuation
+from hearthmark.plans import analytics, valuation
 
-QUERIES: dict = dict(valuation.QUERIES)
-ORACLES: dict = dict(valuation.ORACLES)
+QUERIES = valuation.QUERIES | analytics.QUERIES
+ORACLES = valuation.ORACLES | analytics.ORACLES
