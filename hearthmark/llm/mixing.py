@@ -100,9 +100,9 @@ def training_order(docs: DataFrame, **mix) -> DataFrame:
 
     Documents are never cut: the one that a source takes in part is in if at least half of it is taken.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
-    rows = assign(docs, keep=tuple(rest), **mix).filter("copies > 0").withColumn("positions", F.slice("positions", 1, F.col("copies")))
-    return curriculum(rows).select(*docs.columns)
+    whole = docs.select("doc_id", "text", "source", F.struct(*(docs[c] for c in docs.columns)).alias("doc"))  # no name can clash inside
+    rows = assign(whole, keep=("doc",), **mix).filter("copies > 0").withColumn("positions", F.slice("positions", 1, F.col("copies")))
+    return curriculum(rows).select("doc.*")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

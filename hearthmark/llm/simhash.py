@@ -180,10 +180,10 @@ def cluster(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
     """One document of each component, with the columns of documents: the one of smallest id, then of least text."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    rows = cluster(docs, keep=tuple(rest), **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    best = rows.groupBy("class_key").agg(F.min(F.struct("doc_id", *rest)).alias("best"))
-    return best.select(*(F.col("best")[c].alias(c) for c in docs.columns))
+    whole = docs.select("doc_id", "text", F.struct(*(docs[c] for c in docs.columns)).alias("doc"))  # no name can clash inside
+    rows = cluster(whole, keep=("doc",), **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    best = rows.groupBy("class_key").agg(F.min(F.struct("doc_id", "doc")).alias("best"))
+    return best.select("best.doc.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
