@@ -137,14 +137,16 @@ def a2_pooled(subjects: DataFrame, comps: DataFrame, index: DataFrame, low: floa
 
 
 def b4_nearest(subjects: DataFrame, comps: DataFrame, radius: float = 1000.0) -> DataFrame:
-    """Median of the nearest other street within the radius, twelve months. Sites meet in a grid of radius-sized cells."""
-    cell = lambda c: F.floor(F.col(c) / radius)
-    sites = comps.groupBy("street", "contract_month", "month_idx").agg(F.first("x").alias("x"), F.first("y").alias("y")).withColumn("cx", cell("x")).withColumn("cy", cell("y"))
+    """Median of the nearest other street within the radius, twelve months. Streets meet in a grid of radius-sized cells."""
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    places = subjects.select("s_street", "s_x", "s_y", "as_of", "asof_idx").distinct().withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-    places = places.withColumn("cx", cell("s_x") + F.col("dx")).withColumn("cy", cell("s_y") + F.col("dy"))
+    sites = comps.groupBy("street").agg(F.first("x").alias("x"), F.first("y").alias("y")).withColumn("cx", F.floor(F.col("x") / radius)).withColumn("cy", F.floor(F.col("y") / radius))
+    spread = sites.select(F.col("street").alias("s_street"), F.col("x").alias("s_x"), F.col("y").alias("s_y"), "cx", "cy").withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy"))
+    gaps = spread.join(sites, ["cx", "cy"]).filter("s_street <> street").withColumn("d", F.hypot(F.col("x") - F.col("s_x"), F.col("y") - F.col("s_y"))).filter(F.col("d") <= radius).select("s_street", "street", "d")
+    # which streets have visible sales at which date: months and dates are few, so this comes before any pair of streets
     age = F.col("asof_idx") - F.col("month_idx")
-    near = places.join(sites, ["cx", "cy"]).filter((F.col("s_street") != F.col("street")) & visible("contract_month", "as_of") & age.between(0, 11)).withColumn("d", F.hypot(F.col("x") - F.col("s_x"), F.col("y") - F.col("s_y"))).filter(F.col("d") <= radius)
+    dates = F.broadcast(subjects.select("as_of", "asof_idx").distinct())  # one row a month of the history
+    active = comps.select("street", "contract_month", "month_idx").distinct().join(dates, visible("contract_month", "as_of") & age.between(0, 11)).select("street", "as_of", "asof_idx").distinct()
+    near = subjects.select("s_street", "as_of").distinct().join(gaps, "s_street").join(active, ["street", "as_of"])
     nearest = near.groupBy("s_street", "as_of", "asof_idx").agg(F.min(F.struct("d", "street")).alias("b")).select("s_street", "as_of", "asof_idx", F.col("b.street").alias("near_street"))
     # the pool depends on street and date alone
     pool = A.pairs(nearest.withColumnRenamed("near_street", "s_near").withColumnRenamed("s_street", "from_street").withColumn("s_street", F.col("s_near")), comps, ["street"], 12)

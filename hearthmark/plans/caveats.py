@@ -9,7 +9,7 @@ from hearthmark.functions.columns import month_idx, quarter_idx
 
 CAVEATS_SQL = """
 caveats AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_partkey AS project, l_suppkey AS street, p_type AS property_type, c_mktsegment AS market_segment,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_shipdate AS DATE) AS VARCHAR)) AS id, l_partkey AS project, l_suppkey AS street, p_type AS property_type, c_mktsegment AS market_segment,
     n_name AS district, CAST(date_trunc('month', l_shipdate) AS DATE) AS contract_month,
     CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1 AS INTEGER) AS month_idx, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS q,
     l_linestatus AS type_of_sale, l_quantity AS area_sqft, l_extendedprice AS price, l_extendedprice / l_quantity AS psf,
@@ -36,7 +36,7 @@ def caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     day, lease = F.col("l_shipdate").cast("date"), F.col("l_returnflag") == "R"
     return rows.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_partkey").alias("project"), F.col("l_suppkey").alias("street"), F.col("p_type").alias("property_type"), F.col("c_mktsegment").alias("market_segment"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", day.cast("string")).alias("id"), F.col("l_partkey").alias("project"), F.col("l_suppkey").alias("street"), F.col("p_type").alias("property_type"), F.col("c_mktsegment").alias("market_segment"),
         F.col("n_name").alias("district"), F.trunc(day, "month").alias("contract_month"), month_idx(day).alias("month_idx"), quarter_idx(day).alias("q"), F.col("l_linestatus").alias("type_of_sale"),
         F.col("l_quantity").alias("area_sqft"), F.col("l_extendedprice").alias("price"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("psf"), F.when(lease, "leasehold").otherwise("freehold").alias("tenure_type"),
         F.when(lease, F.year(F.col("o_orderdate").cast("date")) - F.col("p_size")).cast("int").alias("lease_start"), F.col("l_linenumber").cast("int").alias("floor_lo"), (F.col("l_linenumber") + 4).cast("int").alias("floor_hi"),
