@@ -7,8 +7,10 @@ select on those lists, in about two bits and log2(mean length) a document; no ta
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,8 @@ from pyspark.taskcontext import TaskContext
 from hearthmark.llm.bpe import splitter
 from hearthmark.llm.common import few_rows, partitions, shared_dir
 
-END, BLOCK_IDS, SELECT_EVERY, CACHED = 0, 1_000_000, 64, 200_000
+END, BLOCK_IDS, SELECT_EVERY = 0, 1_000_000, 64
+LONG, KEPT = 64, 300_000  # characters of a word worth keeping, and how many a worker keeps
 
 
 class EliasFano:
@@ -72,25 +75,33 @@ FIELDS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.i
 
 
 class WordIds:
-    """Ids of texts by the tokenizers library; a pre-token is encoded when first met and then looked up."""
+    """Ids of texts by the tokenizers library's model; a pre-token is encoded when met and then looked up."""
 
     def __init__(self, json: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 0x10000 else "<u4"
-        self.split, self.known = splitter(), {}
+        tokenizer = Tokenizer.from_str(json)
+        self.kind, code = ("<u2", "H") if tokenizer.get_vocab_size() <= 0x10000 else ("<u4", "I")
+        # a byte-level vocabulary writes a byte as its Latin-1 character where that is printable, the others as U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        alphabet = dict(zip([*plain, *(b for b in range(256) if b not in plain)], [*plain, *range(256, 324)], strict=True))
+        space, tokenize, self.split = chr(alphabet[32]), tokenizer.model.tokenize, splitter()
+
+        def encoded(word: str) -> bytes:
+            if word.isascii() and word[1:].isalnum() and word[0] == " ":
+                letters = space + word[1:]
+            else:
+                letters = word.encode().decode("latin-1").translate(alphabet)
+            ids = [t.id for t in tokenize(letters)]
+            return struct.pack(f"<{len(ids)}{code}", *ids)
+
+        self.encoded, self.kept = encoded, lru_cache(KEPT)(encoded)
 
     def __call__(self, text: str) -> bytes:
-        words, known = self.split(text), self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) > CACHED:
-                known.clear()
-                new = [*set(words)]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.kind).tobytes()
-        return b"".join(map(known.__getitem__, words))
+        words = self.split(text)
+        if max(map(len, words), default=0) <= LONG:
+            return b"".join(map(self.kept, words))
+        return b"".join([self.kept(w) if len(w) <= LONG else self.encoded(w) for w in words])
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = END, block_ids: int = BLOCK_IDS) -> None:

@@ -198,3 +198,21 @@ def test_pipeline(spark):
     assert out and all(r["ids_sha256"] == hashlib.sha256(" ".join(map(str, e.encode_ordinary(texts[r["doc_id"]]))).encode()).hexdigest() for r in out)
     kept = {r["doc_id"] for r in rows.collect()}
     assert {r["doc_id"] for r in out} <= kept
+
+
+def test_word_ids_equal_the_library_on_odd_texts():
+    """Runs of white space, control characters, special strings, long words and other scripts."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from hearthmark.llm.tokenid import WordIds
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        json = f.read()
+    library, own, rng = Tokenizer.from_str(json), WordIds(json), random.Random(5)
+    library.encode_special_tokens = True
+    parts = ["a", "b's", " ", "  ", "\n", "\t", "é", "\x1c", "\xa0", "\x85", "　", "7", "!", "'s", "<|endoftext|>", "\r\n", "日本", "😀", "word", "long" * 40]
+    for text in ["", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(3000))]:
+        assert own(text) == np.array(library.encode(text, add_special_tokens=False).ids, own.kind).tobytes()
