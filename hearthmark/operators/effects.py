@@ -6,21 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sale_pairs(rows: DataFrame, key: str, months: int, least_gap: float) -> DataFrame:
-    """Pairs of one key at most some months apart whose areas differ by a least log ratio. Sales meet in month buckets as
-    wide as the gap, so that a key's sales join only with those near them in time."""
-    side = lambda p: rows.select(F.col(key).alias(f"{p}_key"), *(F.col(c).alias(f"{p}_{c}") for c in ("id", "market_segment", "month_idx", "area_sqft", "psf")), F.floor(F.col("month_idx") / (months + 1)).alias(f"{p}_b"))
+def near_pairs(rows: DataFrame, key: str, months: int) -> DataFrame:
+    """Pairs of one key at most some months apart. Sales meet in month buckets as wide as the gap, so that a key's sales
+    join only with those near them in time."""
+    side = lambda p: rows.select(F.col(key).alias(f"{p}_key"), *(F.col(c).alias(f"{p}_{c}") for c in ("id", "market_segment", "month_idx", "area_sqft", "psf")), ((F.col("floor_lo") + F.col("floor_hi")) / 2).alias(f"{p}_floor"), F.floor(F.col("month_idx") / (months + 1)).alias(f"{p}_b"))
     left = side("a").withColumn("bucket", F.explode(F.array(F.col("a_b") - 1, F.col("a_b"), F.col("a_b") + 1)))
-    near = left.join(side("b"), (F.col("a_key") == F.col("b_key")) & (F.col("bucket") == F.col("b_b")) & (F.col("a_id") < F.col("b_id")) & (F.abs(F.col("a_month_idx") - F.col("b_month_idx")) <= months))
-    dx = F.log(F.col("b_area_sqft") / F.col("a_area_sqft"))
-    return near.filter(F.abs(dx) >= least_gap).withColumn("elasticity", F.log(F.col("b_psf") / F.col("a_psf")) / dx)
+    return left.join(side("b"), (F.col("a_key") == F.col("b_key")) & (F.col("bucket") == F.col("b_b")) & (F.col("a_id") < F.col("b_id")) & (F.abs(F.col("a_month_idx") - F.col("b_month_idx")) <= months))
 
 
 def pair_elasticity(rows: DataFrame) -> DataFrame:
-    found = sale_pairs(rows, "project", 3, 0.20).filter((F.col("elasticity") > -1) & (F.col("elasticity") < 0.5))
+    """Size elasticity of pairs whose areas differ by 0.20 in log at least."""
+    dx = F.log(F.col("b_area_sqft") / F.col("a_area_sqft"))
+    found = near_pairs(rows, "project", 3).filter(F.abs(dx) >= 0.20).withColumn("elasticity", F.log(F.col("b_psf") / F.col("a_psf")) / dx).filter((F.col("elasticity") > -1) & (F.col("elasticity") < 0.5))
     return found.groupBy(F.col("a_market_segment").alias("market_segment")).agg(F.percentile("elasticity", F.lit(0.5)).alias("median_elasticity"), F.count("*").alias("n"))
 
 
+def pair_floor(rows: DataFrame, least_floors: float = 5.0) -> DataFrame:
+    """Premium a floor of pairs of like size, floors apart; premiums of 0.05 or more count as errors in the data."""
+    up = F.col("b_floor") - F.col("a_floor")
+    found = near_pairs(rows, "project", 3).filter((F.abs(F.log(F.col("b_area_sqft") / F.col("a_area_sqft"))) <= 0.10) & (F.abs(up) >= least_floors)).withColumn("premium", F.log(F.col("b_psf") / F.col("a_psf")) / up).filter(F.abs("premium") < 0.05)
+    return found.groupBy(F.col("a_market_segment").alias("market_segment")).agg(F.percentile("premium", F.lit(0.5)).alias("median_premium"), F.count("*").alias("n"))
+
+
 def fe_slope(rows: DataFrame, group: str, by: str) -> DataFrame:
     """Within-group slope of log price on log area, from sums alone: no pair and no window over rows."""
     x, y = F.log("area_sqft"), F.log("psf")

@@ -99,15 +99,57 @@ def lease(prefix: str = "") -> Column:
     return remaining_lease(f"{prefix}tenure_type", F.lit("99 yrs"), f"{prefix}lease_start", F.year("as_of"))
 
 
-def lc2_curve(subjects: DataFrame, comps: DataFrame, index: DataFrame) -> DataFrame:
-    """Street and type, 60 months, lease-matched, moved along the size curve, weights halving every 18 months."""
+def curve_pairs(subjects: DataFrame, comps: DataFrame, index: DataFrame) -> DataFrame:
+    """Street and type, 60 months, lease-matched; value is the price moved in time and along the size curve."""
     near = A.pairs(subjects, comps, ["street", "property_type"], 60, lease_compatible(lease("s_"), lease()))
-    near = A.time_factor(near, index).withColumn("value", F.col("psf") * A.capped() * size_factor("area_sqft", "s_area_sqft")).withColumn("w", F.pow(F.lit(0.5), F.col("age") / 18))
+    return A.time_factor(near, index).withColumn("value", F.col("psf") * A.capped() * size_factor("area_sqft", "s_area_sqft"))
+
+
+def lc2_curve(subjects: DataFrame, comps: DataFrame, index: DataFrame) -> DataFrame:
+    """The pairs of the size curve, weights halving every 18 months."""
+    near = curve_pairs(subjects, comps, index).withColumn("w", F.pow(F.lit(0.5), F.col("age") / 18))
     out = A.weighted_quantiles(near, ["s_id", "s_area_sqft"], "value", "w", "id", lo=0.25, psf=0.5, hi=0.75)
     band = lambda c: F.when(F.col("n_comps") >= 4, F.col(c) * F.col("s_area_sqft"))
     return out.select("s_id", F.lit("LC2").alias("method"), "psf", band("lo").alias("low"), band("hi").alias("high"), "n_comps")
 
 
+def guidance_rates(subjects: DataFrame, comps: DataFrame, index: DataFrame, quantiles: list[float], cut: str = "2000-01-01", least: int = 4) -> DataFrame:
+    """Share of sales above each quantile of their adjusted comparables, before and from the cut; a subject needs least of them."""
+    q = F.array(*map(F.lit, quantiles))
+    cuts = curve_pairs(subjects, comps, index).groupBy("s_id", "s_price", "s_area_sqft", "s_contract_month").agg(F.percentile("value", q).alias("cuts"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    rows = cuts.select(F.when(F.col("s_contract_month") < F.lit(cut).cast("date"), "cal").otherwise("test").alias("split"), (F.col("s_price") / F.col("s_area_sqft")).alias("psf"), F.posexplode("cuts").alias("i", "level"))
+    return rows.groupBy("split", q[F.col("i")].alias("q")).agg(F.count("*").alias("n"), F.avg((F.col("psf") > F.col("level")).cast("double")).alias("above"))
+
+
+def lb4_knn(subjects: DataFrame, comps: DataFrame, index: DataFrame, k: int = 8, radius: float = 1000.0) -> DataFrame:
+    """Median of the k nearest comparables of the type within the radius and 0.30 in log area, 24 months, three at least;
+    equal distances go to the newest. Subjects meet comparables in a grid of radius-sized cells."""
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    cell = lambda c: F.floor(F.col(c) / radius)
+    spread = subjects.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).withColumn("s_cx", cell("s_x") + F.col("dx")).withColumn("s_cy", cell("s_y") + F.col("dy"))
+    d = F.hypot(F.col("x") - F.col("s_x"), F.col("y") - F.col("s_y"))
+    alike = (F.abs(F.log(F.col("area_sqft") / F.col("s_area_sqft"))) <= 0.30) & (d <= radius)
+    near = A.pairs(spread, comps.withColumn("cx", cell("x")).withColumn("cy", cell("y")), ["property_type", "cx", "cy"], 24, alike)
+    order = Window.partitionBy("s_id").orderBy(d, F.desc("contract_month"), F.desc("id"))
+    near = near.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
+    return A.estimate(A.time_factor(near, index).withColumn("value", F.col("psf") * A.capped()), "LB4", "value").filter("n_comps >= 3")
+
+
+def most_similar(subjects: DataFrame, comps: DataFrame, k: int = 8) -> DataFrame:
+    """(s_id, rank, c_id): the visible comparables of the project closest in log area, then the newest. Gaps count to nine
+    decimals, so that mirrored ratios tie."""
+    gap = F.round(F.abs(F.log(F.col("area_sqft") / F.col("s_area_sqft"))), 9)
+    order = Window.partitionBy("s_id").orderBy(gap, F.desc("contract_month"), F.desc("id"))
+    return A.pairs(subjects, comps, ["project"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("s_id", "rank", F.col("id").alias("c_id"))
+
+
+def thin_matrix(rows: DataFrame) -> DataFrame:
+    """Median error a method by the number of its comparables, one pass."""
+    ape, liq = F.abs(F.col("pred") - F.col("s_price")) / F.col("s_price"), liquidity("n_comps")
+    cells = {"n1_2": "1-2", "n3_5": "3-5", "n6_15": "6-15", "n16": "16+"}
+    return rows.filter("pred is not null").groupBy("method").agg(*(F.percentile(F.when(liq == v, ape), F.lit(0.5)).alias(c) for c, v in cells.items()), F.count(F.when(liq == "1-2", 1)).alias("thin"))
+
+
 def lc1_craft(subjects: DataFrame, comps: DataFrame, index: DataFrame) -> DataFrame:
     """Street and type, 60 months; comparables within 0.18 in log area if three, else all at elasticity -0.877."""
     near = A.time_factor(A.pairs(subjects, comps, ["street", "property_type"], 60), index).withColumn("gap", F.abs(F.log(F.col("area_sqft") / F.col("s_area_sqft"))))

@@ -37,6 +37,8 @@ market = lambda s, d: caveats(s, d).groupBy("q").agg(F.avg("psf").alias("value")
 # effects
 query("pair_elasticity", f"""{BASE}, p AS (SELECT a.market_segment, ln(b.psf / a.psf) / ln(b.area_sqft / a.area_sqft) AS e FROM comps a JOIN comps b ON a.project = b.project AND a.id < b.id AND abs(a.month_idx - b.month_idx) <= 3 AND abs(ln(b.area_sqft / a.area_sqft)) >= 0.20)
 SELECT market_segment, quantile_cont(e, 0.5) AS median_elasticity, count(*) AS n FROM p WHERE e > -1 AND e < 0.5 GROUP BY 1""")(lambda s, d: X.pair_elasticity(comps(s, d)))
+query("pair_floor", f"""{BASE}, p AS (SELECT a.market_segment, ln(b.psf / a.psf) / ((b.floor_lo + b.floor_hi - a.floor_lo - a.floor_hi) / 2) AS premium FROM comps a JOIN comps b ON a.project = b.project AND a.id < b.id AND abs(a.month_idx - b.month_idx) <= 3 AND abs(ln(b.area_sqft / a.area_sqft)) <= 0.10 AND abs(b.floor_lo + b.floor_hi - a.floor_lo - a.floor_hi) >= 4)
+SELECT market_segment, quantile_cont(premium, 0.5) AS median_premium, count(*) AS n FROM p WHERE abs(premium) < 0.05 GROUP BY 1""")(lambda s, d: X.pair_floor(comps(s, d), 2.0))  # these tables have seven floors
 query("fe_slope", f"""{BASE}, g AS (SELECT property_type, street, count(*) AS n, sum(ln(area_sqft)) AS x, sum(ln(psf)) AS y, sum(ln(area_sqft) * ln(psf)) AS xy, sum(ln(area_sqft) * ln(area_sqft)) AS xx FROM comps GROUP BY 1, 2)
 SELECT property_type, sum(xy - x * y / n) / sum(xx - x * x / n) AS slope, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY 1""")(lambda s, d: X.fe_slope(comps(s, d), "street", "property_type"))
 plots = lambda s, d: caveats(s, d).withColumn("plot", F.concat_ws("/", "project", "street"))

@@ -70,11 +70,16 @@ LC2 = f"p AS (SELECT *, {CAP} * exp({LEVEL('s_area')} - {LEVEL('c_area')}) AS v,
 LC1 = f"""p0 AS (SELECT *, abs(ln(c_area / s_area)) AS gap FROM ({pair_sql(['street', 'property_type'], 60)})), p1 AS (SELECT *, count(*) FILTER (gap <= 0.18) OVER (PARTITION BY s_id) AS alike FROM p0),
 p AS (SELECT *, {CAP} * CASE WHEN alike >= 3 THEN 1.0 ELSE pow(s_area / c_area, -0.877) END AS v, pow(0.5, age / 18) AS w FROM p1 WHERE alike < 3 OR gap <= 0.18)"""
 
+DIST = "sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y))"
+NEAREST = pair_sql(["property_type"], 24, f"abs(ln(c.area_sqft / s.area_sqft)) <= 0.30 AND {DIST} <= 1000").replace("SELECT s.id AS s_id", f"SELECT {DIST} AS d, s.id AS s_id", 1)
+LB4 = median_sql("LB4", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s_id ORDER BY d, c_month DESC, c_id DESC) AS rn FROM ({NEAREST})) WHERE rn <= 8", CAP) + " WHERE n >= 3"
+
 METHODS = {
     "b1_latest": (lambda s, c, i: E.b1_latest(s, c), median_sql("B1", LATEST)),
     "b2_last3": (lambda s, c, i: E.b2_last3(s, c), median_sql("B2", NEWEST + " WHERE rn <= 3")),
     "b3_filtered": (lambda s, c, i: E.b3_filtered(s, c), median_sql("B3", pair_sql(["project"], 12, "abs(c.area_sqft / s.area_sqft - 1) <= 0.30"))),
     "lb1_street": (E.lb1_street, median_sql("LB1", pair_sql(["street", "property_type"], 24), CAP)),
+    "lb4_knn": (E.lb4_knn, LB4),
     "c1_grid": (E.c1_grid, weighted_sql("C1", C1)),
     "lc1_craft": (E.lc1_craft, weighted_sql("LC1", LC1)),
     "lc2_curve": (E.lc2_curve, weighted_sql("LC2", LC2)),
@@ -194,3 +199,9 @@ query("coverage", f"WITH {CAVEATS_SQL} SELECT market_segment, property_type, cou
 query("haversine", f"WITH {CAVEATS_SQL} SELECT DISTINCT street, 2 * 6371.0088 * asin(sqrt(pow(sin((radians(1.35) - radians(1.3 + y / 1e5)) / 2), 2) + cos(radians(1.3 + y / 1e5)) * cos(radians(1.35)) * pow(sin(radians(103.8 - (103.75 + x / 1e5)) / 2), 2))) AS km FROM caveats")(
     lambda spark, d: caveats(spark, d).select("street", haversine_km(1.3 + F.col("y") / 1e5, 103.75 + F.col("x") / 1e5, F.lit(1.35), F.lit(103.8)).alias("km")).distinct()
 )
+query("topk_similar", f"{BASE}, p AS ({pair_sql(['project'])}) SELECT s_id, CAST(rn AS INTEGER) AS rank, c_id FROM (SELECT *, row_number() OVER (PARTITION BY s_id ORDER BY round(abs(ln(c_area / s_area)), 9), c_month DESC, c_id DESC) AS rn FROM p) WHERE rn <= 8")(lambda spark, d: E.most_similar(*inputs(spark, d)[:2]))
+query("thin_matrix", f"""{WALK}, e AS (SELECT method, {LIQ} AS liq, abs(pred - s_price) / s_price AS ape FROM rows_ WHERE pred IS NOT NULL)
+SELECT method, quantile_cont(ape, 0.5) FILTER (liq = '1-2') AS n1_2, quantile_cont(ape, 0.5) FILTER (liq = '3-5') AS n3_5, quantile_cont(ape, 0.5) FILTER (liq = '6-15') AS n6_15, quantile_cont(ape, 0.5) FILTER (liq = '16+') AS n16, count(*) FILTER (liq = '1-2') AS thin FROM e GROUP BY 1""")(lambda spark, d: E.thin_matrix(walked(spark, d)))
+query("guidance_rates", f"""{BASE}, {LC2}, g AS (SELECT s_id, price / area_sqft AS psf, contract_month, quantile_cont(v, [0.1, 0.25, 0.5, 0.75, 0.9]) AS cuts, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 4),
+r AS (SELECT CASE WHEN contract_month < DATE '2000-01-01' THEN 'cal' ELSE 'test' END AS split, psf, unnest([0.1, 0.25, 0.5, 0.75, 0.9]::DOUBLE[]) AS q, unnest(cuts) AS level FROM g)
+SELECT split, q, count(*) AS n, avg(CAST(psf > level AS INT)) AS above FROM r GROUP BY 1, 2""")(lambda spark, d: E.guidance_rates(*inputs(spark, d), [0.1, 0.25, 0.5, 0.75, 0.9]))
