@@ -205,3 +205,11 @@ SELECT method, quantile_cont(ape, 0.5) FILTER (liq = '1-2') AS n1_2, quantile_co
 query("guidance_rates", f"""{BASE}, {LC2}, g AS (SELECT s_id, price / area_sqft AS psf, contract_month, quantile_cont(v, [0.1, 0.25, 0.5, 0.75, 0.9]) AS cuts, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 4),
 r AS (SELECT CASE WHEN contract_month < DATE '2000-01-01' THEN 'cal' ELSE 'test' END AS split, psf, unnest([0.1, 0.25, 0.5, 0.75, 0.9]::DOUBLE[]) AS q, unnest(cuts) AS level FROM g)
 SELECT split, q, count(*) AS n, avg(CAST(psf > level AS INT)) AS above FROM r GROUP BY 1, 2""")(lambda spark, d: E.guidance_rates(*inputs(spark, d), [0.1, 0.25, 0.5, 0.75, 0.9]))
+_MOVED = f"{CAP} * exp({LEVEL('s_area')} - {LEVEL('c_area')})"
+_SCOPES = [median_sql("LA1", pair_sql(["property_type", *k], 24, COMPAT), _MOVED) + " WHERE n >= 3" for k in (["district"], ["market_segment"], [])]
+LA1 = f"""WITH la AS ({_SCOPES[0]}), lb AS ({_SCOPES[1]}), lc AS ({_SCOPES[2]}) SELECT * FROM la UNION ALL SELECT * FROM lb WHERE s_id NOT IN (SELECT s_id FROM la)
+UNION ALL SELECT * FROM lc WHERE s_id NOT IN (SELECT s_id FROM la) AND s_id NOT IN (SELECT s_id FROM lb)"""
+query("la1_ladder", LA1)(lambda spark, d: E.la1_ladder(*inputs(spark, d)))
+query("lv1_point", f"WITH f1 AS ({ORACLES['lc2_curve']}), f2 AS ({LA1}) SELECT * REPLACE ('LV1' AS method), false AS fallback FROM f1 UNION ALL SELECT * REPLACE ('LV1' AS method), true AS fallback FROM f2 WHERE s_id NOT IN (SELECT s_id FROM f1)")(
+    lambda spark, d: (lambda i: E.otherwise(E.lc2_curve(*i), E.la1_ladder(*i), "LV1"))(inputs(spark, d))
+)
