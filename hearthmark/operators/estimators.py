@@ -116,30 +116,30 @@ def lc2_curve(subjects: DataFrame, comps: DataFrame, index: DataFrame) -> DataFr
 def la1_ladder(subjects: DataFrame, comps: DataFrame, index: DataFrame, least: int = 3) -> DataFrame:
     """Median of the lease-matched pool of the type along the size curve, 24 months: the district, then the segment, then
     all, whichever first holds least. A pool depends on date, keys and lease alone, as the curve's factor of the subject
-    leaves the median; a wider pool is only formed for subjects that the narrower ones left."""
-    rest, found, level = subjects.select("s_id", "as_of", "asof_idx", "s_area_sqft", "s_district", "s_market_segment", "s_property_type", "s_tenure_type", "s_lease_start"), None, F.lit(1000.0)
-    for scope in (["district"], ["market_segment"], []):
-        keys = ["property_type", *scope]
-        by = ["as_of", "s_tenure_type", "s_lease_start", *(f"s_{k}" for k in keys)]
-        near = A.time_factor(A.pairs(rest.select("asof_idx", *by).distinct(), comps, keys, 24, lease_compatible(lease("s_"), lease())), index)
+    leaves the median; pools are aggregated before subjects join them, so the pairs grow with the comparables alone."""
+    rows, level = subjects.select("s_id", "as_of", "s_area_sqft", "s_district", "s_market_segment", "s_property_type", "s_tenure_type", "s_lease_start"), F.lit(1000.0)
+    scopes = [["s_district"], ["s_market_segment"], []]
+    for i, scope in enumerate(scopes):
+        keys = ["s_property_type", *scope]
+        by = ["as_of", "s_tenure_type", "s_lease_start", *keys]
+        near = A.pairs(subjects.select("asof_idx", *by).distinct(), comps, [k.removeprefix("s_") for k in keys], 24, lease_compatible(lease("s_"), lease()))
         value = F.col("psf") * A.capped() * size_factor("area_sqft", level)
-        pools = near.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("m"), F.count("*").alias("n_comps")).filter(F.col("n_comps") >= least)
-        pools = pools.select("m", "n_comps", *(F.col(c).alias(f"pool_{c}") for c in by))
+        pools = A.time_factor(near, index).groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("m"), F.count("*").alias("n_comps")).filter(F.col("n_comps") >= least)
+        pools = pools.select(F.struct("m", "n_comps").alias(f"pool{i}"), *(F.col(c).alias(f"pool{i}_{c}") for c in by))
         cond = F.lit(True)
         for c in by:
-            cond = cond & F.col(c).eqNullSafe(F.col(f"pool_{c}"))
-        factor = size_factor(level, "s_area_sqft")
-        band = lambda i: F.when(F.col("n_comps") >= 4, F.col("m")[i] * factor * F.col("s_area_sqft"))  # noqa: B023, E731
-        own = rest.join(pools, cond).select("s_id", F.lit("LA1").alias("method"), (F.col("m")[1] * factor).alias("psf"), band(0).alias("low"), band(2).alias("high"), "n_comps")
-        rest = rest.join(own.select("s_id"), "s_id", "left_anti")
-        found = own if found is None else found.unionByName(own)
-    return found
+            cond = cond & F.col(c).eqNullSafe(F.col(f"pool{i}_{c}"))
+        rows = rows.join(pools, cond, "left")
+    factor, pool = size_factor(level, "s_area_sqft"), F.coalesce(*(F.col(f"pool{i}") for i in range(len(scopes))))
+    rows = rows.withColumn("pool", pool).filter("pool is not null")
+    band = lambda i: F.when(F.col("pool.n_comps") >= 4, F.col("pool.m")[i] * factor * F.col("s_area_sqft"))
+    return rows.select("s_id", F.lit("LA1").alias("method"), (F.col("pool.m")[1] * factor).alias("psf"), band(0).alias("low"), band(2).alias("high"), "pool.n_comps")
 
 
 def otherwise(first: DataFrame, second: DataFrame, method: str) -> DataFrame:
     """The first method's estimates, and the second's for subjects that the first declines; fallback says which."""
-    rest = second.join(first.select("s_id"), "s_id", "left_anti")
-    return first.withColumn("fallback", F.lit(False)).unionByName(rest.withColumn("fallback", F.lit(True))).withColumn("method", F.lit(method))
+    a, b = (df.select("s_id", F.struct("psf", "low", "high", "n_comps").alias(p)) for df, p in ((first, "a"), (second, "b")))
+    return a.join(b, "s_id", "full").select("s_id", F.lit(method).alias("method"), F.coalesce("a", "b").alias("e"), F.col("a").isNull().alias("fallback")).select("s_id", "method", "e.*", "fallback")
 
 
 def guidance_rates(subjects: DataFrame, comps: DataFrame, index: DataFrame, quantiles: list[float], cut: str = "2000-01-01", least: int = 4) -> DataFrame:

@@ -121,19 +121,6 @@ SELECT id AS s_id, 'A2' AS method, psf, psf * (1 - half) * area_sqft AS low, psf
 query("a2_pooled", A2)(lambda spark, d: E.a2_pooled(*inputs(spark, d)))
 
 
-def e2(spark, d):
-    s, c, i = inputs(spark, d)
-    return E.blend(E.c1_grid(s, c, i), E.a2_pooled(s, c, i), "E2")
-
-
-def blend_sql(method: str, a: str, b: str) -> str:
-    return f"""SELECT s_id, '{method}' AS method, CASE WHEN a.psf IS NULL THEN b.psf WHEN b.psf IS NULL THEN a.psf ELSE (0.5 + 0.5 * least(a.n_comps, 10) / 10) * a.psf + (1 - (0.5 + 0.5 * least(a.n_comps, 10) / 10)) * b.psf END AS psf,
- least(a.low, b.low) AS low, greatest(a.high, b.high) AS high, coalesce(a.n_comps, 0) AS n_comps FROM ({a}) a FULL JOIN ({b}) b USING (s_id)"""
-
-
-query("e2_blend", blend_sql("E2", ORACLES["c1_grid"], A2))(e2)
-
-
 def walked(spark, d):
     s, c, i = inputs(spark, d)
     return E.walk_forward(s, [E.b1_latest(s, c), E.b2_last3(s, c), E.b3_filtered(s, c)], ["B1", "B2", "B3"])
