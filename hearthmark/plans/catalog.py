@@ -1,6 +1,6 @@
 """The registered queries of the library and their SQL."""
 
-from hearthmark.plans import analytics, engines, valuation
+from hearthmark.plans import analytics, engines, records, valuation
 
-QUERIES = valuation.QUERIES | analytics.QUERIES | engines.QUERIES
-ORACLES = valuation.ORACLES | analytics.ORACLES | engines.ORACLES
+QUERIES = valuation.QUERIES | analytics.QUERIES | engines.QUERIES | records.QUERIES
+ORACLES = valuation.ORACLES | analytics.ORACLES | engines.ORACLES | records.ORACLES
