@@ -2,12 +2,14 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hearthmark.operators import asof as A
 from hearthmark.operators import models as M
+from hearthmark.plans import engines
 from hearthmark.plans.caveats import caveats
 
 SF = "/root/testdata/sf0.001"
@@ -71,6 +73,16 @@ def test_trend_sees_through_a_mix_shift(spark):
     assert abs(level[2020 * 12 + 20] - level[2020 * 12 + 2] - 0.18) < 0.01
 
 
+def test_neighbours_equal_brute_force(spark):
+    con = duckdb.connect()
+    for t in "nation customer supplier part orders lineitem".split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    want = {r[0]: r[2:] for r in con.execute(engines.A3).fetchall()}
+    got = {r["s_id"]: tuple(r)[2:] for r in engines.QUERIES["a3_knn"](spark, SF).collect()}
+    assert got.keys() == want.keys() and len(got) > 1000
+    assert all(np.allclose(got[k], want[k], rtol=1e-9) for k in got)
+
+
 ESTIMATE = "s_id string, method string, psf double, low double, high double, n_comps long"
 
 
