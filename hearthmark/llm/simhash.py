@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthmark.llm.common import components, partitions, stored
@@ -186,5 +186,103 @@ def representatives(docs: DataFrame, **how) -> DataFrame:
     return best.select("best.doc.*")
 
 
+WIDTH, ALIKE = 5, 0.8  # the pipeline's settings: words a shingle, least Jaccard of the shingle sets
+REACH, TABLES, ROWS = 20, 20, 5  # bits: 9.7 expected at ALIKE, deviation 2.9; a pair at ALIKE misses all tables once in 2,900
+KEYS = np.random.default_rng(8).integers(0, 2**63, (TABLES, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+SKETCH = "fp long, n int, shards array<long>"
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the WIDTH-word shingles; a shorter text is one shingle, as is a text without words."""
+    words = (text or "").encode().lower().split()
+    known = {w: xxhash.xxh64_intdigest(w, 42) for w in set(words)}
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n, width = max(1, len(h) - WIDTH + 1), min(WIDTH, len(h))
+    out = np.full(n, width, np.uint64)
+    for i in range(width):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
+    return np.unique(out)
+
+
+def sketch(text: str | None) -> tuple[int, int, list[int]]:
+    """SimHash of the shingle set, the set's size and a key a table: of its ROWS least hashes under as many orders."""
+    s = shingle_set(text)
+    sums, least = np.zeros(BITS, np.int64), np.full(KEYS.size, 2**64 - 1, np.uint64)
+    for i in range(0, len(s), 2048):
+        part = s[i : i + 2048]
+        sums += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        least = np.minimum(least, (KEYS.reshape(-1, 1) * part).min(axis=1))
+    keys = np.arange(TABLES, dtype=np.uint64)
+    for column in least.reshape(TABLES, ROWS).T:
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + column)
+    fp = np.packbits(2 * sums > len(s), bitorder="little").view("<u8")
+    return int(fp.view(np.int64)[0]), len(s), keys.view(np.int64).tolist()
+
+
+def sketches(text: str) -> Column:
+    @F.pandas_udf(SKETCH)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sketch(t) for t in texts], columns=["fp", "n", "shards"])
+
+    return run(text)
+
+
+def jaccard(a: str, b: str) -> Column:
+    def of(x: str | None, y: str | None) -> float:
+        x, y = shingle_set(x), shingle_set(y)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both / (len(x) + len(y) - both)
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([of(*t) for t in zip(x, y, strict=True)], dtype=float)
+
+    return run(a, b)
+
+
+def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts have a Jaccard of at least ALIKE, by their whole shingle sets."""
+    pairs = stored(pairs.distinct(), "candidates")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("tk")).distinct()
+    own = stored(texts.join(need, "tk", "left_semi").groupBy("tk").agg(F.min("text").alias("text")), "texts")
+    both = pairs.join(own.select(F.col("tk").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("tk").alias("b"), F.col("text").alias("tb")), "b")
+    return both.withColumn("j", jaccard("ta", "tb")).filter(F.col("j") >= ALIKE).select("a", "b")
+
+
+def near_representatives(docs: DataFrame) -> DataFrame:
+    """One document of each group of texts linked by a Jaccard of ALIKE, with the columns of documents: that of smallest id.
+
+    Fingerprints within REACH bits are looked for in shards. Bands of the bits are of no use so far out, as 21 bands of three bits
+    would send every pair to some shard; a shard here is of fingerprints whose texts share their least shingles. Candidates are
+    held against ALIKE in full before they link. First each meets the least of its shard; then all pairs of a shard that this
+    left apart meet, so a large group of copies costs its size and no link among the candidates is lost."""
+    whole = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
+    ids = stored(whole.select("doc_id", "tk", sketches("text").alias("s")).select("doc_id", "tk", "s.*"), "sketches")
+    nodes = ids.groupBy("tk").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("shards").alias("shards"))
+    held = Window.partitionBy("key")
+    shards = nodes.select("tk", "fp", "n", F.explode("shards").alias("key")).withColumns({"lead": F.min(F.struct("tk", "fp", "n")).over(held), "held": F.count("*").over(held)})
+    shards = stored(shards.filter("held > 1").select("key", "tk", "fp", "n", "lead"), "shards")
+    near = lambda a, b: (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= REACH) & (F.least(f"{a}.n", f"{b}.n") >= ALIKE * F.greatest(f"{a}.n", f"{b}.n"))
+    texts = whole.select("tk", "text")
+    first = shards.alias("x").filter(F.col("x.tk") != F.col("x.lead.tk")).filter(near("x", "x.lead")).select(F.col("x.lead.tk").alias("a"), F.col("x.tk").alias("b"))
+    links = stored(alike(first, texts), "alike")
+    roots = components(links).withColumnRenamed("node", "tk")
+    rooted = shards.join(roots, "tk", "left").withColumn("root", F.coalesce("root", "tk"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    apart = stored(rooted.join(split, "key").select("key", "tk", "fp", "n", "root"), "apart")
+    rest = apart.alias("x").join(apart.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & near("x", "y")).select(F.least("x.tk", "y.tk").alias("a"), F.greatest("x.tk", "y.tk").alias("b"))
+    links = links.unionByName(alike(rest.join(first, ["a", "b"], "left_anti"), texts))
+    named = ids.select("doc_id", "tk").join(components(links).withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
+    kept = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tk"))).alias("k")).select(F.col("k.tk").alias("tk"), F.col("k.doc_id").alias("kept_id"))
+    best = whole.join(kept, "tk").filter(F.col("doc_id").eqNullSafe(F.col("kept_id"))).groupBy("tk").agg(F.min("doc").alias("doc"))
+    return best.select("doc.*")
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return cluster(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -187,6 +187,30 @@ def test_stages_keep_clashing_columns_and_empty_tables(spark, docs, none):
             assert {r["x"] for r in out.collect()} <= {0.5}
 
 
+def test_pipeline_drops_near_copies_and_keeps_what_is_less_alike(spark):
+    words = [f"w{i}" for i in range(400)]
+    cut = lambda k, tag: " ".join(f"{tag}{i}" if i % (400 // k) == 7 else w for i, w in enumerate(words))
+    texts = [" ".join(words), cut(4, "x"), cut(8, "y"), cut(25, "z"), " ".join(f"v{i}" for i in range(300)), " ".join(words).upper()]
+    rows = spark.createDataFrame([(i, t, None, None, len(t), "x", 1, 2, 0.5, 3, 4) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, rows, SF).collect()) == [0, 3, 4]  # against 0: 0.90, 0.82, 0.52, 0, 1
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    grams, at, hits, root = {}, {}, {}, {}
+    for r in docs.collect():
+        w = (r["text"] or "").encode().lower().split()
+        grams[r["doc_id"]] = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    for i in sorted(grams):
+        root[i], hits = i, {}
+        for g in grams[i]:
+            for j in at.setdefault(g, []):
+                hits[j] = hits.get(j, 0) + 1
+            at[g].append(i)
+        for j, n in hits.items():
+            if n >= 0.8 * (len(grams[i]) + len(grams[j]) - n):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, SF).collect()) == sorted(set(root.values()))
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = docs
