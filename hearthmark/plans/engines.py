@@ -63,7 +63,7 @@ SELECT s_id, 'LV1' AS method, psf, pred * (1 + (lo - 1) * k) AS low, pred * (1 +
 
 def trend(spark, d):
     s, c, _ = inputs(spark, d)
-    dates = s.select("as_of").filter(F.month("as_of").isin(6, 12)).distinct()
+    dates = s.select("as_of").distinct()
     return dates, M.local_trend(c, dates, ["street", "property_type"]), c
 
 

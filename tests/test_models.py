@@ -65,6 +65,16 @@ def test_trend_equals_dummy_regression(spark, market):
     assert np.allclose([got[m] for m in months], b - b.mean(), atol=1e-8)
 
 
+def test_trend_and_bridge_serve_every_valuation_month(spark, market):
+    comps = market[1]
+    want = {r["as_of"] for r in A.subjects(comps).select("as_of").distinct().collect()}
+    assert len({d.month for d in want}) == 12
+    assert {r["as_of"] for r in engines.QUERIES["two_way_fe"](spark, SF).select("as_of").distinct().collect()} == want
+    got = engines.QUERIES["bridge_adjust"](spark, SF).groupBy("as_of").agg(F.sum("n").alias("n")).collect()
+    seen = [r["contract_month"] for r in comps.select(F.last_day("contract_month").alias("contract_month")).collect()]
+    assert {r["as_of"]: r["n"] for r in got} == {d: sum((d - m).days >= 56 for m in seen) for d in want}
+
+
 def test_trend_sees_through_a_mix_shift(spark):
     rows = [(g, m, math.exp(math.log(p) + 0.01 * m)) for m in range(24) for g, p, n in (("dear", 3000.0, 24 - m), ("cheap", 1000.0, m + 1)) for _ in range(n)]
     df = spark.createDataFrame(rows, "street string, k int, psf double").withColumn("contract_month", F.add_months(F.lit("2020-01-01").cast("date"), F.col("k"))).withColumn("month_idx", 2020 * 12 + F.col("k"))
