@@ -1,7 +1,8 @@
 """HTML main text by consensus host paths.
 
-Each page scores its containers by their clean text and votes for the generalised tag-class path of the best one; votes
-are counted per host; pages are then read again and the text comes from the container on the host's winning path. Menus,
+Each page votes for the generalised tag-class path of the container that holds all its article text; votes are counted per
+host; pages are then read again and the text comes from the container on the host's winning path, or from the page's own
+where that path would lose a block of article text. Menus,
 adverts, comments and the like are left out by tag, role and class wherever they stand.
 """
 
@@ -27,13 +28,11 @@ CONTAINERS = frozenset("article main section div td body blockquote".split())
 
 
 class Node:
-    __slots__ = ("clean", "direct", "kind", "left_out", "linked", "parent", "path", "score", "tag")
+    __slots__ = ("kind", "left_out", "parent", "path", "tag")
 
     def __init__(self, tag: str, parent: Node | None, kind: str, left_out: bool):
         self.tag, self.parent, self.kind, self.left_out = tag, parent, kind, left_out
         self.path = f"{parent.path}>{kind}" if parent else kind
-        self.clean = self.linked = self.direct = 0
-        self.score = 0.0
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -126,32 +125,29 @@ def blocks(html: str | None) -> list[tuple[Node, str, int]]:
 
 
 def best_container(found: list[tuple[Node, str, int]]) -> Node | None:
-    """The container of most clean text near it; it widens while a parent below the body holds a tenth more."""
-    nodes: dict[int, Node] = {}
-    for node, words, linked in found:
-        weight = len(words) * (1 - linked / len(words))
-        for up, n in enumerate(ancestors(node)):
-            if n.tag in CONTAINERS:
-                nodes[id(n)] = n
-                n.clean += len(words) - linked
-                n.score += weight * (1.0, 0.5)[up > 0] if up < 4 else 0
-    if not nodes:
+    """The innermost container, body included, that holds every block of article text; an article or main around it is taken
+    whole. Blocks that are links for the most part do not widen it, unless a page has no others."""
+    own = [node for node, words, linked in found if 2 * linked <= len(words)] or [node for node, _, _ in found]
+    if not own:
         return None
-    inner = [n for n in nodes.values() if n.tag != "body"] or [*nodes.values()]
-    best = max(inner, key=lambda n: (n.score, n.path))
-    for n in [*ancestors(best.parent)]:
-        if n.tag in CONTAINERS and n.tag != "body" and (n.clean > 1.1 * best.clean or n.tag in ("article", "main") and best.tag not in ("article", "main")):
-            best = n
-    return best
+    common = [*ancestors(own[0])]
+    for node in {id(n): n for n in own}.values():
+        up = {id(n) for n in ancestors(node)}
+        common = [n for n in common if id(n) in up]
+    common = [n for n in common if n.tag in CONTAINERS]
+    return next((n for n in common if n.tag in ("article", "main")), common[0]) if common else None
 
 
 def extract(html: str | None, paths: list[str] | None = None) -> tuple[str, str | None, int]:
-    """Main text, path and clean length of the page's own best container, or of the first given path that has text."""
+    """Main text, path and clean length of the page's own best container, or of the first given path that holds all its blocks
+    of article text."""
     found = blocks(html)
     best = best_container(found)
+    text = [2 * linked <= len(words) for _, words, linked in found]
     for path in paths or []:
-        own = [words for node, words, _ in found if any(n.path == path for n in ancestors(node))]
-        if own:
+        inside = [any(n.path == path for n in ancestors(node)) for node, _, _ in found]
+        if any(inside) and (all(i or not t for i, t in zip(inside, text, strict=True)) if any(text) else all(inside)):
+            own = [words for (_, words, _), i in zip(found, inside, strict=True) if i]
             return "\n\n".join(own), path, sum(map(len, own))
     if best is None:
         own = [words for _, words, _ in found]
@@ -179,7 +175,7 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     """(page_id, url, text, n_chars) of every page.
 
     A null or empty html gives an empty text; a null url is a host of its own; repeated rows stay; no rows give no rows.
-    A page without any winning path falls back to its own best container.
+    A page that no winning path holds whole falls back to its own best container.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")))

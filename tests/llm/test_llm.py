@@ -113,6 +113,20 @@ def test_html(spark):
     assert html.main_text(rows.limit(0)).count() == 0
 
 
+def test_html_keeps_article_text_outside_the_largest_container(spark):
+    pages = {
+        "<body><h1>T</h1><p>One one one.</p><blockquote>Two two two two.</blockquote><p>Three.</p><nav>menu</nav></body>": "T\n\nOne one one.\n\nTwo two two two.\n\nThree.",
+        "<body><div class=a><p>First half.</p></div><div class=b><p>Second half, longer.</p></div><footer>f</footer></body>": "First half.\n\nSecond half, longer.",
+        f"<body><div class=p><h1>T</h1><div class=s><p>{'long ' * 200}</p></div></div></body>": "T\n\n" + ("long " * 200).strip(),
+        "<body><div class=s><p>Story.</p></div><ul><li><a href=/x>elsewhere</a></ul></body>": "Story.",
+    }
+    for page, text in pages.items():
+        assert html.extract(page)[0] == text
+    other = "<body><div class=t><p>Short.</p></div><div class=u><p>A much longer story stands here.</p></div></body>"
+    rows = spark.createDataFrame([(i, "http://a.com/x", "<body><div class=t><p>Mine.</p></div></body>" if i else other) for i in range(4)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.main_text(rows).collect()}[0] == "Short.\n\nA much longer story stands here."
+
+
 def test_mixing(spark, docs, none):
     assert mixing.mix_report(none).count() == 0
     got = mixing.mix_report(docs).collect()
