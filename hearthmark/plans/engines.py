@@ -11,7 +11,7 @@ from hearthmark.plans import valuation as V
 
 QUERIES, ORACLES = {}, {}
 ORIGIN = 1995 * 12  # the first month of these tables
-NEAR = 1000.0  # places of these tables hold hundreds of sales each, so half the default radius fills a pool
+NEAR = 2000.0  # metres, as the operator and the reference have it
 query = lambda name, f, sql=None: (QUERIES.update({name: f}), ORACLES.update({name: sql} if sql else {}))
 inputs = V.inputs
 

@@ -1,5 +1,6 @@
 """Fitted models against plain solvers, and the blends' rules case by case."""
 
+import inspect
 import math
 
 import duckdb
@@ -83,6 +84,13 @@ def test_trend_sees_through_a_mix_shift(spark):
     assert abs(level[2020 * 12 + 20] - level[2020 * 12 + 2] - 0.18) < 0.01
 
 
+def test_neighbours_run_with_the_full_radius(spark):
+    assert engines.NEAR == inspect.signature(M.a3_knn).parameters["near"].default == 2000.0
+    s, c, i = engines.inputs(spark, SF)
+    want = {r["s_id"]: tuple(r) for r in M.a3_knn(s, c, i).collect()}
+    assert {r["s_id"]: tuple(r) for r in engines.QUERIES["a3_knn"](spark, SF).collect()} == want
+
+
 def test_neighbours_equal_brute_force(spark):
     con = duckdb.connect()
     for t in "nation customer supplier part orders lineitem".split():
