@@ -2,42 +2,111 @@
 
 Pre-tokens keep their positions as slots of a block's word list; each distinct word of the corpus is encoded once, its
 ids go back to the blocks, and each document is put together again by position. Words and slots travel packed, so the
-shuffles stay well below the size of the texts.
+shuffles stay well below the size of the texts. Splitting, numbering, decoding and joining run on whole Arrow arrays.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import tiktoken
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 from pyspark.taskcontext import TaskContext
+from tokenizers.pre_tokenizers import ByteLevel
 
-from hearthmark.llm.common import few_rows, partitions, stored
+from hearthmark.llm.common import partitions, stored
 
-# fixed values: the classes of the pre-token pattern for U+0000 to U+024F and general punctuation
-SPACE, LETTER, NUMBER = "\\t-\\r \\x85\\xa0", "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f", "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
+# fixed values: the general pattern, white space of Unicode, and the pattern's parts in the terms of Arrow's expressions
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 GENERAL = CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+RUN = f"([{WHITE}]+)([{WHITE}][^{WHITE}])"
+TOKEN = CONTRACTIONS + rf"| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}\x00]+|[{WHITE}]+"
+APART = r"[^\p{L}\p{M}\p{N}\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}\p{Co}]|\x00"  # the mark itself, and characters that Arrow's expressions do not know
+LONG = 256  # bytes of a word beyond which the library's merging, quadratic in the word, gives way to a heap
 
 
-def splitter(pattern: str = GENERAL):
-    """A function from text to pre-tokens. Latin texts take an equal pattern of explicit classes, which is faster."""
-    full = regex.compile(pattern)
+def pre_tokens(texts: pa.Array, pattern: str = GENERAL) -> pa.Array:
+    """The pre-tokens of texts without nulls as lists of strings, which may hold empty strings besides.
+
+    The general pattern runs in Arrow: a mark goes between the last two characters of a run of white space before other
+    text, then after every match. A text with a character that those expressions do not know is split by the library.
+    """
     if pattern != GENERAL:
-        return full.findall
-    beyond = re.compile("[^\\x00-\\u024f\\u2010-\\u2027\\u2030-\\u205e]")
-    latin = re.compile(f"{CONTRACTIONS}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-    return lambda text: full.findall(text) if beyond.search(text) else latin.findall(text)
+        split = regex.compile(pattern).findall
+        return pa.array([split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    marked = pc.replace_substring_regex(pc.replace_substring_regex(texts, RUN, "\\1\0\\2"), TOKEN, "\\0\0")
+    lists = pc.split_pattern(marked, "\0")
+    apart = np.flatnonzero(pc.match_substring_regex(texts, APART).to_numpy(zero_copy_only=False)).tolist()
+    if not apart:
+        return lists
+    split, parts, at = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str, [], 0
+    for i in apart:
+        text = texts[i].as_py()
+        parts += [lists.slice(at, i - at), pa.array([[text[a:b] for _, (a, b) in split(text)]], lists.type)]
+        at = i + 1
+    return pa.concat_arrays([*parts, lists.slice(at)])
+
+
+def numbered(texts: pa.Array, pattern: str = GENERAL) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct pre-tokens of texts, the number of the one at every position, and how many positions each text has."""
+    lists = pre_tokens(texts, pattern)
+    stops = np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)
+    flat = lists.flatten().dictionary_encode()
+    words, order = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
+    blank = words.index("").as_py()
+    if blank >= 0:
+        keep = order != blank
+        stops = np.concatenate([[0], np.cumsum(keep)])[stops]
+        order = order[keep]
+        order -= order > blank
+        words = pa.concat_arrays([words.slice(0, blank), words.slice(blank + 1)])
+    return words, order, np.diff(stops, prepend=0)
+
+
+def gather(flat: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs of flat, given by their lengths, in the order of at."""
+    own = lengths[at]
+    ends = np.cumsum(own, dtype=np.int64)
+    shift = (np.cumsum(lengths, dtype=np.int64) - lengths)[at] - (ends - own)
+    return flat[np.repeat(shift, own) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def text_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts (null: empty) in runs of whole documents of about block_bytes; a longer document is a run of its own."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> tuple[pa.Array, pa.Array]:
+        ids = pa.concat_arrays([b.column(0) for b in held])
+        return ids, pc.fill_null(pa.concat_arrays([b.column(1) for b in held]), "")
+
+    for batch in batches:
+        lengths = np.nan_to_num(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)).astype(np.int64) + 1
+        ends, at = np.cumsum(lengths), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(int(np.searchsorted(ends, before + block_bytes - size, "right")), at if held else at + 1)
+            if stop > at:
+                held.append(batch.slice(at, stop - at))
+                size += int(ends[stop - 1]) - before
+            if stop < batch.num_rows:
+                yield joined()
+                held, size = [], 0
+            at = stop
+    if held:
+        yield joined()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -70,14 +139,6 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-class Slots(dict):
-    """Numbers for words in the order in which they are first seen."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def pack(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
@@ -86,11 +147,6 @@ def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def pack_words(words: list[str]) -> bytes:
-    raw = [w.encode() for w in words]
-    return pack(np.fromiter(map(len, raw), "<i4", len(raw)).tobytes() + b"".join(raw))
-
-
 def unpack_words(data: bytes, n: int) -> list[bytes]:
     raw = unpack(data)
     ends = 4 * n + np.cumsum(np.frombuffer(raw, "<i4", n), dtype=np.int64)
@@ -110,58 +166,51 @@ BLOCKS = "block long, ids binary, nulls binary, counts binary, slots binary, sha
 BLOCK_FIELDS = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("ids", "nulls", "counts", "slots", "shares")), ("buckets", pa.list_(pa.struct([("bucket", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])))])
 
 
-def block_rows(pattern: str, block_chars: int, buckets: int):
+def block_rows(pattern: str, block_bytes: int, buckets: int):
     """Documents to blocks: their slots by position, and the block's distinct words by hash bucket."""
 
-    def close(number, ids, nulls, counts, parts, slots):
-        order = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        words = np.array(list(slots), object)
+    def block(number: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        words, order, counts = numbered(texts, pattern)
         often = np.argsort(-np.bincount(order, minlength=len(words)), kind="stable")  # frequent words get small slots
-        words, slot_of = words[often], np.empty(len(words), np.int64)
+        slot_of = np.empty(len(words), np.int64)
         slot_of[often] = np.arange(len(words))
-        share = (pd.util.hash_array(words, categorize=False) % buckets).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+        names = words.to_numpy(zero_copy_only=False)[often]
+        share = (pd.util.hash_array(names, categorize=False) % buckets).astype(np.int64) if len(names) else np.zeros(0, np.int64)
         by = np.argsort(share, kind="stable")
+        dealt = words.take(pa.array(often[by])).cast(pa.binary())
+        sizes = pc.binary_length(dealt).to_numpy().astype("<i4")
+        at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        raw = b"".join(dealt.to_pylist())
         cuts = np.flatnonzero(np.diff(share[by], prepend=-1))
         lists = []
-        for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True):
-            lists.append({"bucket": int(share[by[a]]), "n": int(b - a), "words": pack_words(words[by[a:b]].tolist())})
-        row = {"block": (TaskContext.get().partitionId() << 32) + number, "ids": np.array(ids, "<i8").tobytes(), "nulls": np.array(nulls, bool).tobytes(), "counts": np.array(counts, "<i8").tobytes(), "slots": planes(slot_of[order]), "shares": planes(share), "buckets": lists}
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(names)], strict=True):
+            lists.append({"bucket": int(share[by[a]]), "n": b - a, "words": pack(sizes[a:b].tobytes() + raw[at[a] : at[b]])})
+        row = {"block": (TaskContext.get().partitionId() << 32) + number, "ids": pc.fill_null(ids, 0).to_numpy().astype("<i8").tobytes(), "nulls": ids.is_null().to_numpy(zero_copy_only=False).tobytes(), "counts": counts.astype("<i8").tobytes(), "slots": planes(slot_of[order]), "shares": planes(share), "buckets": lists}
         return pa.RecordBatch.from_pylist([row], BLOCK_FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, number, size = splitter(pattern), 0, 0
-        ids, nulls, counts, parts, slots = [], [], [], [], Slots()
-        for key, text in few_rows(batches):
-            words = split(text) if text else []
-            ids.append(key or 0)
-            nulls.append(key is None)
-            counts.append(len(words))
-            parts.append(np.fromiter(map(slots.__getitem__, words), np.int32, len(words)))
-            size += len(text or "") + 1
-            if size >= block_chars:
-                yield close(number, ids, nulls, counts, parts, slots)
-                number, size = number + 1, 0
-                ids, nulls, counts, parts, slots = [], [], [], [], Slots()
-        if ids:
-            yield close(number, ids, nulls, counts, parts, slots)
+        for number, (ids, texts) in enumerate(text_blocks(batches, block_bytes)):
+            yield block(number, ids, texts)
 
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text", pattern: str = GENERAL, block_chars: int = 8_000_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text", pattern: str = GENERAL, block_bytes: int = 8_000_000) -> DataFrame:
     """(doc_id, ids array<int>) of every document by the ranks, without special tokens.
 
     A null text counts as empty and gives no ids; repeated rows give repeated rows; a null id stays null; other columns
     are left out, whatever their names. A table without rows gives no rows. A block holds whole documents of about
-    block_chars characters (one longer document makes a block of its own).
+    block_bytes bytes (one longer document makes a block of its own).
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))  # one entry per token of a fixed vocabulary
     n = partitions(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = stored(slim.mapInArrow(block_rows(pattern, block_chars, n), BLOCKS), "blocks", bucket_by="block")
+    blocks = stored(slim.mapInArrow(block_rows(pattern, block_bytes, n), BLOCKS), "blocks", bucket_by="block")
 
     def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a pre-token is matched as one piece again when it stands alone
+        short = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary
         table, bucket, known = ranks.value, None, {}
         for frame in frames:
             out = []
@@ -171,9 +220,10 @@ def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col
                 words = unpack_words(row.words, row.n)
                 for w in words:
                     if w not in known:
-                        known[w] = np.array(merge(w, table), "<u4")
+                        known[w] = np.array(short(w.decode()) if len(w) <= LONG else merge(w, table), "<u4").tobytes()
                 found = [known[w] for w in words]
-                out.append((row.block, row.bucket, planes(np.fromiter(map(len, found), np.uint32, len(found))), planes(np.concatenate(found))))
+                sizes = np.fromiter(map(len, found), np.uint32, len(found)) // 4
+                out.append((row.block, row.bucket, planes(sizes), planes(np.frombuffer(b"".join(found), "<u4"))))
             yield pd.DataFrame(out, columns=["block", "bucket", "sizes", "tokens"])
 
     lists = blocks.select("block", F.explode("buckets").alias("x")).select("block", "x.*")
@@ -181,50 +231,75 @@ def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col
 
     def rejoined(left: pa.Table, right: pa.Table) -> pa.Table:
         row, right = left.slice(0, 1).to_pylist()[0], right.sort_by("bucket")
-        sizes = np.concatenate([from_planes(x) for x in right["sizes"].to_pylist()] or [np.zeros(0, np.uint32)]).astype(np.int32)
+        sizes = np.concatenate([from_planes(x) for x in right["sizes"].to_pylist()] or [np.zeros(0, np.uint32)]).astype(np.int64)
         flat = np.concatenate([from_planes(x) for x in right["tokens"].to_pylist()] or [np.zeros(0, np.uint32)]).astype(np.int32)
-        place = np.empty(len(sizes), np.int32)
-        place[np.argsort(from_planes(row["shares"]), kind="stable")] = np.arange(len(sizes), dtype=np.int32)  # ids come bucket by bucket
+        place = np.empty(len(sizes), np.int64)
+        place[np.argsort(from_planes(row["shares"]), kind="stable")] = np.arange(len(sizes))  # ids come bucket by bucket
         at = place[from_planes(row["slots"])]
-        lengths = sizes[at]
-        ends = np.cumsum(lengths, dtype=np.int32)
-        shift = (np.cumsum(sizes, dtype=np.int32) - sizes)[at] - (ends - lengths)
-        ids = flat[np.repeat(shift, lengths) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
-        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.frombuffer(row["counts"], "<i8"))])]
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        cuts = ends[np.concatenate([[0], np.cumsum(np.frombuffer(row["counts"], "<i8"))])]
         keys = pa.array(np.frombuffer(row["ids"], "<i8"), mask=np.frombuffer(row["nulls"], bool))
-        return pa.table({id_col: keys, "ids": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))})
+        return pa.table({id_col: keys, "ids": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(gather(flat, sizes, at)))})
 
     body = blocks.select("block", "ids", "nulls", "counts", "slots", "shares")
     return body.groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(lambda a, b: rejoined(a, b), f"{id_col} long, ids array<int>")
 
 
+def token_table(ranks: dict[bytes, int]) -> pa.Array:
+    """The token-byte table by id; ids that the file leaves out are null."""
+    table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, i in ranks.items():
+        table[i] = token
+    return pa.array(table, pa.binary())
+
+
+def joined_bytes(ids: pa.Array, table: pa.Array, between: bytes) -> pa.Array:
+    """For each list of ids the table's entries end to end. An id outside the table is an error."""
+    taken = table.take(ids.flatten())
+    if taken.null_count:
+        raise ValueError("an id is not in the token-byte table")
+    offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]).astype(np.int32)
+    out = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), taken), pa.scalar(between, table.type))
+    return pc.if_else(ids.is_valid(), out, pa.scalar(None, table.type)) if ids.null_count else out
+
+
 def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the bytes of each id list; the token-byte table is bounded by its vocabulary and joined map-side.
 
     Null ids stay null, an empty list gives no bytes, and an id outside the table fails the job.
     """
-    ranks = encoded.sparkSession.sparkContext.broadcast({i: token for token, i in read_ranks(ranks_path).items()})
+    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     rest = [c for c in encoded.columns if c != out_col]
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks.value
+        table = token_table(ranks.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = [None if x is None else b"".join(map(table.__getitem__, x)) for x in part.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*rest, out_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, joined_bytes(part.column(ids_col), table, b"")], [*rest, out_col])
 
     schema = StructType([*(encoded.schema[c] for c in rest), StructField(out_col, BinaryType())])
     return encoded.select(rest).mapInArrow(joined, schema)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Encodes, decodes, and keeps counts and SHA-256 digests per document."""
-    both = decode(encode(docs, ranks_path, pattern=pattern), ranks_path)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Encodes, decodes, and keeps counts and SHA-256 digests per document: of the decimal ids and of the decoded bytes."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_table(ranks.value)
+        decimal = pa.array([str(i).encode() for i in range(len(table))], pa.binary())
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                keys, ids = batch.slice(i, 256).columns
+                sha = [[hashlib.sha256(x.as_buffer()).hexdigest() for x in joined_bytes(ids, t, b)] for t, b in ((decimal, b" "), (table, b""))]
+                yield pa.RecordBatch.from_arrays([keys, pc.cast(pc.list_value_length(ids), pa.int64()), *map(pa.array, sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encode(docs, ranks_path, pattern=pattern).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every document's token count and digests of its ids and of the bytes decoded from them; null texts count as empty."""
     import public_tokenizers
 
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

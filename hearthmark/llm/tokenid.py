@@ -1,29 +1,31 @@
 """Token-id files: concatenated id arrays with Elias-Fano document boundaries.
 
 Documents are range-sorted by id; a range is a shard, a shard is a run of blocks, and a block is one row of the file:
-the ids of its documents end to end, and two Elias-Fano lists, of the documents' ends and of their ids. Offsets come from
-select on those lists, in about two bits and log2(mean length) a document; no table of 64-bit offsets is kept.
+the ids of its documents end to end, and two Elias-Fano lists, of the documents' ends and of their ids. A reader gets a
+document's offsets by select on those lists, which take about two bits and log2(mean length) a document; no table of
+64-bit offsets is kept.
 """
 
 from __future__ import annotations
 
-import struct
+import json
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
+from tokenizers import Tokenizer
 
-from hearthmark.llm.bpe import splitter
-from hearthmark.llm.common import few_rows, partitions, shared_dir
+from hearthmark.llm.bpe import gather, numbered, text_blocks
+from hearthmark.llm.common import partitions, shared_dir
 
-END, BLOCK_IDS, SELECT_EVERY = 0, 1_000_000, 64
-LONG, KEPT = 64, 300_000  # characters of a word worth keeping, and how many a worker keeps
+END, BLOCK_BYTES, SELECT_EVERY = 0, 8_000_000, 64
+KEPT = 500_000  # pre-tokens whose ids a worker keeps before it starts anew
 
 
 class EliasFano:
@@ -43,29 +45,21 @@ class EliasFano:
         high[at] = 1
         return cls(n, bits, np.packbits(low, bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), at[::SELECT_EVERY].astype("<u4").tobytes())
 
-    def select(self, i: int) -> int:
-        """The i-th value: from the sampled bit before it, only the bits up to it are read."""
-        start = int(np.frombuffer(self.sample, "<u4")[i // SELECT_EVERY])
-        left, byte, width = i % SELECT_EVERY, start // 8, SELECT_EVERY
-        while True:  # the window widens until it holds enough set bits
-            bits = np.unpackbits(np.frombuffer(self.high, np.uint8)[byte : byte + width], bitorder="little")
-            bits[: start % 8] = 0
-            ones = np.flatnonzero(bits)
-            if len(ones) > left:
-                at = 8 * byte + int(ones[left])
-                break
-            width *= 2
-        value = 0
-        for j in range(self.bits):
-            k = i * self.bits + j
-            value |= (self.low[k // 8] >> (k % 8) & 1) << j
-        return ((at - i) << self.bits) | value
-
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        at = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))
-        low = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.bits].reshape(self.n, self.bits)
-        return ((at - np.arange(self.n)) << self.bits) + (low.astype(np.int64) << np.arange(self.bits)).sum(axis=1)
+    def select(self, first: int, stop: int) -> np.ndarray:
+        """The values of places first to stop - 1: of both parts only the bytes between their select samples are read."""
+        if first >= stop:
+            return np.zeros(0, np.int64)
+        sample = np.frombuffer(self.sample, "<u4")
+        own, last = first // SELECT_EVERY, (stop - 1) // SELECT_EVERY + 1
+        start = int(sample[own])
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8)[start // 8 : int(sample[last]) // 8 + 1 if last < len(sample) else None], bitorder="little")
+        bits[: start % 8] = 0
+        skip = first - own * SELECT_EVERY
+        at = 8 * (start // 8) + np.flatnonzero(bits)[skip : skip + stop - first]
+        begin = first * self.bits
+        low = np.unpackbits(np.frombuffer(self.low, np.uint8)[begin // 8 : (stop * self.bits + 7) // 8], bitorder="little")
+        low = low[begin % 8 : begin % 8 + (stop - first) * self.bits].reshape(stop - first, self.bits).astype(np.int64)
+        return ((at - np.arange(first, stop)) << self.bits) + (low << np.arange(self.bits)).sum(axis=1)
 
 
 LIST = "struct<n: int, bits: int, low: binary, high: binary, sample: binary>"
@@ -74,76 +68,89 @@ _LIST = pa.struct([("n", pa.int32()), ("bits", pa.int32()), ("low", pa.binary())
 FIELDS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("total", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("no_id", pa.int32()), ("first", pa.int64()), ("ends", _LIST), ("keys", _LIST)])
 
 
-class WordIds:
-    """Ids of texts by the tokenizers library's model; a pre-token is encoded when met and then looked up."""
-
-    def __init__(self, json: str):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(json)
-        self.kind, code = ("<u2", "H") if tokenizer.get_vocab_size() <= 0x10000 else ("<u4", "I")
-        # a byte-level vocabulary writes a byte as its Latin-1 character where that is printable, the others as U+0100 on
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        alphabet = dict(zip([*plain, *(b for b in range(256) if b not in plain)], [*plain, *range(256, 324)], strict=True))
-        space, tokenize, self.split = chr(alphabet[32]), tokenizer.model.tokenize, splitter()
-
-        def encoded(word: str) -> bytes:
-            if word.isascii() and word[1:].isalnum() and word[0] == " ":
-                letters = space + word[1:]
-            else:
-                letters = word.encode().decode("latin-1").translate(alphabet)
-            ids = [t.id for t in tokenize(letters)]
-            return struct.pack(f"<{len(ids)}{code}", *ids)
-
-        self.encoded, self.kept = encoded, lru_cache(KEPT)(encoded)
-
-    def __call__(self, text: str) -> bytes:
-        words = self.split(text)
-        if max(map(len, words), default=0) <= LONG:
-            return b"".join(map(self.kept, words))
-        return b"".join([self.kept(w) if len(w) <= LONG else self.encoded(w) for w in words])
+class TextIds:
+    """Ids of texts as the tokenizers library gives them: distinct pre-tokens of a block meet the library's model, and what
+    it says of a pre-token, which does not depend on its neighbours, is kept.
 
+    Texts that hold an added token's string go through the library whole, as does every text if the file normalizes text,
+    or splits it in another way than at a byte-level pattern.
+    """
 
-def write_ids(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = END, block_ids: int = BLOCK_IDS) -> None:
+    def __init__(self, file: str):
+        self.library, how = Tokenizer.from_str(file), json.loads(file)
+        kind = how.get("pre_tokenizer") or {}
+        self.plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not how.get("normalizer")
+        self.added = [t["content"] for t in how.get("added_tokens", [])]
+        self.kind = "<u2" if self.library.get_vocab_size() <= 0x10000 else "<u4"
+        self.known: dict[str, bytes] = {}
+        # fixed values: a byte-level vocabulary writes a byte as its Latin-1 character where that is printable, the others as U+0100 on
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = dict(zip([*seen, *(b for b in range(256) if b not in seen)], [*seen, *range(256, 324)], strict=True))
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def words(self, words: list[str]) -> list[bytes]:
+        known, tokenize, out = self.known, self.library.model.tokenize, []
+        if len(known) > KEPT:
+            known.clear()
+        for w in words:
+            ids = known.get(w)
+            if ids is None:
+                ids = known[w] = np.array([t.id for t in tokenize(w.encode().decode("latin-1").translate(self.letters))], self.kind).tobytes()
+            out.append(ids)
+        return out
+
+    def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts end to end, the end id after each, and the place after each end id."""
+        special = np.full(len(texts), not self.plain)
+        for token in self.added:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        apart = np.flatnonzero(special)
+        words, order, counts = numbered(pc.if_else(pa.array(special), "", texts) if len(apart) else texts)
+        found = [*self.words(words.to_pylist()), *(self.whole(texts[i].as_py()) for i in apart.tolist()), np.array([end], self.kind).tobytes()]
+        # a text apart has no words of its own: what the library gave stands in their place, before its end id
+        rows = np.concatenate([apart, np.arange(len(texts))])
+        more = np.concatenate([len(words) + np.arange(len(apart)), np.full(len(texts), len(found) - 1)])
+        by = np.argsort(rows, kind="stable")
+        order = np.insert(order, np.cumsum(counts)[rows[by]], more[by])
+        counts[apart] += 1
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.kind).itemsize
+        return gather(np.frombuffer(b"".join(found), self.kind), lengths, order), np.cumsum(lengths[order])[np.cumsum(counts + 1) - 1]
+
+
+def write_ids(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = END, block_bytes: int = BLOCK_BYTES) -> None:
     """Encodes every whole text, ends each document with the end id, and writes the file in ascending id order.
 
-    Documents without an id come first; those of equal id follow each other in order of text. A null text counts as
-    empty and holds the end id alone. A block is closed at block_ids ids; one longer document makes a block of its own.
+    Documents without an id come first; those of equal id follow each other in order of their text's hash, so that a
+    range may begin among them. A null text counts as empty and holds the end id alone. A block holds whole documents of
+    about block_bytes bytes; one longer document makes a block of its own.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         model = spark.sparkContext.broadcast(f.read())  # the file of a fixed vocabulary
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(model.value)
-        size = np.dtype(ids.kind).itemsize
-        mark = np.array([end], ids.kind).tobytes()
-        shard, block, start, held, count, keys, ends = TaskContext.get().partitionId(), 0, 0, [], 0, [], []
-
-        def close() -> pa.RecordBatch:
-            own = np.array([k for k in keys if k is not None], np.int64)
-            lists = [vars(EliasFano.of(v)) for v in (np.array(ends), own - own[0] if len(own) else own)]
-            return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "start": start, "total": count, "width": size, "ids": b"".join(held), "no_id": len(keys) - len(own), "first": int(own[0]) if len(own) else 0, "ends": lists[0], "keys": lists[1]}], FIELDS)
-
-        for key, text in few_rows(batches):
-            own = ids(text) + mark if text else mark
-            if keys and count + len(own) // size > block_ids:
-                yield close()
-                block, start, held, count, keys, ends = block + 1, start + count, [], 0, [], []
-            held.append(own)
-            count += len(own) // size
-            keys.append(key)
-            ends.append(count)
-        if keys:
-            yield close()
-
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = slim.repartitionByRange(partitions(spark), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+        encoder = TextIds(model.value)
+        shard, start = TaskContext.get().partitionId(), 0
+        for block, (keys, texts) in enumerate(text_blocks(batches, block_bytes)):
+            ids, ends = encoder(texts, end)
+            own = keys.drop_null().to_numpy()
+            lists = [vars(EliasFano.of(v)) for v in (ends, own - own[0] if len(own) else own)]
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "start": start, "total": len(ids), "width": ids.itemsize, "ids": ids.tobytes(), "no_id": keys.null_count, "first": int(own[0]) if len(own) else 0, "ends": lists[0], "keys": lists[1]}], FIELDS)
+            start += len(ids)
+
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    order = [F.col("id").asc_nulls_first(), F.col("hash").asc()]
+    ordered = slim.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("id", "text")
     ordered.mapInArrow(blocks, FILE).write.parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document of a file; ids are little-endian unsigned 32-bit integers."""
+def read_ids(spark: SparkSession, path: str, *, id_col: str = "doc_id", step: int = 2048) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document of a file; ids are little-endian unsigned 32-bit integers.
+
+    Offsets and ids of documents are selected step documents at a time.
+    """
     files = spark.read.parquet(path)
     totals = sorted(files.groupBy("shard").agg(F.sum("total").alias("n")).collect(), key=lambda r: r["shard"])  # one row a shard
     bases = dict(zip([r["shard"] for r in totals], np.cumsum([0] + [r["n"] for r in totals[:-1]]).tolist(), strict=True)) if totals else {}
@@ -151,18 +158,23 @@ def read_ids(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataF
     def docs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
-                ends = EliasFano(**r.ends).values()
-                starts = np.concatenate([[0], ends[:-1]])
-                keys = [None] * r.no_id + (EliasFano(**r.keys).values() + r.first).tolist()
-                raw = np.frombuffer(r.ids, f"<u{r.width}").astype("<u4").tobytes()
-                for i in range(0, len(ends), 2000):
-                    a, b = starts[i : i + 2000], ends[i : i + 2000]
-                    yield pd.DataFrame({id_col: pd.array(keys[i : i + 2000], "Int64"), "start": a + (bases[r.shard] + r.start), "n_tokens": b - a, "ids": [raw[4 * x : 4 * y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]})
+                ends, keys = EliasFano(**r.ends), EliasFano(**r.keys)
+                raw, at = np.frombuffer(r.ids, f"<u{r.width}"), 0
+                for i in range(0, ends.n, step):
+                    stop = min(i + step, ends.n)
+                    b = ends.select(i, stop)
+                    a = np.concatenate([[at], b[:-1]])
+                    own = keys.select(max(0, i - r.no_id), max(0, stop - r.no_id)) + r.first
+                    part = raw[at : int(b[-1])].astype("<u4").tobytes()
+                    cuts = zip((4 * (a - at)).tolist(), (4 * (b - at)).tolist(), strict=True)
+                    yield pd.DataFrame({id_col: pd.array([None] * (stop - i - len(own)) + own.tolist(), "Int64"), "start": a + (bases[r.shard] + r.start), "n_tokens": b - a, "ids": [part[x:y] for x, y in cuts]})
+                    at = int(b[-1])
 
     return files.select("shard", "start", "width", "ids", "no_id", "first", "ends", "keys").mapInPandas(docs, f"{id_col} long, start long, n_tokens long, ids binary")
 
 
 def op5_token_ids(spark, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of every document's ids, read back from the file; null texts hold the end id alone."""
     import public_tokenizers
 
     path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"

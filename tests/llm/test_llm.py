@@ -1,15 +1,18 @@
 """The training-data operators against brute force, with nulls, empty tables, ties, repeated rows and clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 import corpus_pipeline
 from hearthmark.llm import bpe, chat, fingerprint, html, language, mixing, neighbours, quality, queries, simhash, tokenid
@@ -91,7 +94,7 @@ def test_token_ids(spark, docs, none, tmp_path):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     for name, table, rows in (("some", docs, TEXTS), ("none", none, [])):
         path = str(tmp_path / name)
-        tokenid.write_ids(table, path, P.path("byte_bpe_50k.json"), block_ids=1000)
+        tokenid.write_ids(table, path, P.path("byte_bpe_50k.json"), block_bytes=3000)
         got = sorted((r["start"], r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in tokenid.read_ids(spark, path).collect())
         order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
         want, at = [], 0
@@ -102,7 +105,10 @@ def test_token_ids(spark, docs, none, tmp_path):
         assert got == want
     values = np.sort(np.random.default_rng(0).integers(0, 100_000, 3000))
     ef = tokenid.EliasFano.of(values)
-    assert (ef.values() == values).all() and all(ef.select(i) == values[i] for i in range(0, 3000, 11))
+    for a, b in [(0, 3000), (0, 0), (5, 6), (63, 65), (64, 128), (2900, 3000), (2999, 3000), *((i, min(3000, i + 97)) for i in range(0, 3000, 89))]:
+        assert ef.select(a, b).tolist() == values[a:b].tolist()
+    same = tokenid.EliasFano.of(np.zeros(130, np.int64))
+    assert same.select(1, 130).tolist() == [0] * 129 and tokenid.EliasFano.of(np.zeros(0, np.int64)).select(0, 0).tolist() == []
 
 
 def test_html(spark):
@@ -238,19 +244,44 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in out} <= kept
 
 
-def test_word_ids_equal_the_library_on_odd_texts():
-    """Runs of white space, control characters, special strings, long words and other scripts."""
-    import random
-
-    from tokenizers import Tokenizer
-
-    import public_tokenizers
-    from hearthmark.llm.tokenid import WordIds
-
-    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        json = f.read()
-    library, own, rng = Tokenizer.from_str(json), WordIds(json), random.Random(5)
-    library.encode_special_tokens = True
-    parts = ["a", "b's", " ", "  ", "\n", "\t", "é", "\x1c", "\xa0", "\x85", "　", "7", "!", "'s", "<|endoftext|>", "\r\n", "日本", "😀", "word", "long" * 40]
-    for text in ["", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(3000))]:
-        assert own(text) == np.array(library.encode(text, add_special_tokens=False).ids, own.kind).tobytes()
+def odd_texts():
+    """Runs of white space, control characters, the mark, special strings, long words, other scripts, new characters."""
+    rng = random.Random(5)
+    parts = ["a", "b's", " ", "  ", "\n", "\t", "é", "\x1c", "\xa0", "\x85", "\u3000", "7", "!", "'s", "<|endoftext|>", "\r\n", "日本", "😀", "word", "long" * 40, "\0", "\u1c89", "\U00010d40", "'", "\u0378", "ⅷ", "²"]
+    return ["", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(3000))]
+
+
+def test_token_ids_equal_the_library_on_odd_texts():
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        file = f.read()
+    library, texts = Tokenizer.from_str(file), odd_texts()
+    want = [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    for how in (file, file.replace('"add_prefix_space":false', '"add_prefix_space":true').replace('"add_prefix_space": false', '"add_prefix_space": true')):
+        library = Tokenizer.from_str(how)
+        want = [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        ids, ends = tokenid.TextIds(how)(pa.array(texts), 0)
+        assert ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+        assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_pre_tokens_equal_the_library():
+    split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    every = [f"a{chr(c)}1 {chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = odd_texts() + every
+    got = [[w for w in x if w] for x in bpe.pre_tokens(pa.array(texts)).to_pylist()]
+    assert got == [[t[a:b] for _, (a, b) in split(t)] for t in texts]
+    words, order, counts = bpe.numbered(pa.array(texts))
+    names = words.to_pylist()
+    assert "" not in names and [names[i] for i in order] == [w for x in got for w in x] and counts.tolist() == [len(x) for x in got]
+    ranks = bpe.read_ranks(RANKS)
+    for w in {"".join(x) for x in got[:300]}:  # the heap's merging, which long words take, against the library's
+        assert bpe.merge(w.encode(), ranks) == [i for i in tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary(w)] or len(w) > 500
+
+
+def test_text_blocks_hold_whole_documents():
+    def blocks(sizes, most):
+        rows = [pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in part], pa.int64()), "text": pa.array([None if n is None else "x" * n for _, n in part], pa.string())}) for part in sizes]
+        return [(ids.to_pylist(), [len(t) for t in texts.to_pylist()]) for ids, texts in bpe.text_blocks(iter(rows), most)]
+
+    assert blocks([], 10) == [] and blocks([[]], 10) == []
+    assert blocks([[(1, 3), (2, 3)], [(3, 1), (4, 50), (5, None)]], 10) == [([1, 2, 3], [3, 3, 1]), ([4], [50]), ([5], [0])]
