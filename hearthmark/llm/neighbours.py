@@ -2,9 +2,10 @@
 
 Vectors get one more component so that the largest inner product is the smallest distance. A Gaussian (2-stable)
 projection to DIMS dimensions has, for a pair at distance d, a squared projected distance of d^2 times a chi-square with
-DIMS degrees of freedom. A kd-tree over projections, its cuts fitted on a bounded sample, deals every row to a leaf. A
-query first searches its home leaf; leaves and rows are then taken by projected distance and verified on the original
-vectors until the next projected distance is one that a closer neighbour would exceed with probability 1 - SURE only.
+DIMS degrees of freedom. A kd-tree over projections, its cuts fitted on a bounded sample, deals every row to a leaf, and
+a leaf has a kd-tree of its own down to small cells. A query visits leaves in rounds of growing number by projected
+distance, and within a leaf takes cell after cell: rows are verified on the original vectors until the next cell's projected
+distance is one that a closer neighbour would exceed with the probability of the normal quantile SURE_Z only (1 in 20).
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from hearthmark.llm.common import partitions, stored
 
-DIMS, SURE_Z, LEAF, SAMPLE, K = 12, 2.576, 8192, 8192, 20
-QUERY_PACK = 4096
+DIMS, SURE_Z, LEAF, SAMPLE, K = 24, 1.645, 4096, 16_384, 20
+LEAVES = SAMPLE // 16  # at most: beyond LEAVES * LEAF rows a leaf is dealt out in chunks by hash
+CELL, PACK, FIRST, MORE = 64, 8192, 2, 8  # rows of a cell, queries that share one copy of a leaf, leaves of a round and their growth
 
 
 def chi_square(dims: int, z: float = SURE_Z) -> float:
@@ -69,41 +71,55 @@ class Tree:
         return (gap * gap).sum(axis=1)
 
 
-def search(ids: list[np.ndarray], data: np.ndarray, projected: np.ndarray, queries: np.ndarray, targets: np.ndarray, bound: np.ndarray, top2: float, k: int, limit: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the best k rows (scores, ids) of one leaf.
-
-    Rows are taken by projected distance and verified, k at first and then twice as many, until the next one's squared
-    projected distance exceeds limit times the k-th best squared distance so far (bound: what other leaves have given).
-    """
-    norms, out = (queries * queries).sum(axis=1), []
-    sizes = np.fromiter(map(len, ids), int, len(ids))
-    near = (projected * projected).sum(axis=1)
-    for q in range(len(queries)):
-        p2 = near - 2 * (projected @ targets[q]) + targets[q] @ targets[q]
+class Leaf:
+    """The rows of a leaf in the cells of a kd-tree over their projections."""
+
+    def __init__(self, ids: list[np.ndarray], data: np.ndarray, projected: np.ndarray):
+        tree = Tree(projected, -(-len(data) // CELL))
+        cell = tree.leaf(projected)
+        by = np.argsort(cell, kind="stable")
+        self.ids, self.data, self.projected = [ids[i] for i in by.tolist()], data[by], projected[by]
+        self.sizes = np.fromiter(map(len, self.ids), int, len(self.ids))
+        self.starts = np.flatnonzero(np.diff(cell[by], prepend=-1))
+        self.stops = np.append(self.starts[1:], len(by))
+        self.low, self.high = (f.reduceat(self.projected, self.starts) for f in (np.minimum, np.maximum))
+
+    def search(self, query: np.ndarray, target: np.ndarray, bound: float, top2: float, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """The best k of the leaf's rows that score no less than bound (what other leaves have given): scores and ids.
+
+        Cells are taken nearest first, a few and then twice as many, until the next one's squared projected distance
+        exceeds limit times the k-th best squared distance so far.
+        """
+        gap = np.maximum(0, np.maximum(self.low - target, target - self.high))
+        gap = (gap * gap).sum(axis=1)
+        cells, done, step = np.argsort(gap, kind="stable"), 0, max(2, 2 * k // CELL)
+        own, worst = float(query @ query) + top2, bound
         best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
-        worst, done, step = bound[q], 0, max(64, 4 * k)
-        order = np.argsort(p2) if len(p2) <= 4 * step else np.argpartition(p2, step)
-        order[:step] = order[:step][np.argsort(p2[order[:step]])]
-        while done < len(p2):
-            reach = limit * max(0.0, norms[q] + top2 - 2 * worst)
-            if done == 0:
-                rows = order[:step]
-            else:
-                rows = order[done:]
-                rows = rows[p2[rows] <= reach]
-            rows = rows[p2[rows] <= reach] if worst > -np.inf else rows
-            scores = (data[rows] * queries[q]).sum(axis=1)
-            ok = scores >= worst
-            rows, scores = rows[ok], scores[ok]
-            best_s = np.concatenate([best_s, np.repeat(scores, sizes[rows])])
-            best_i = np.concatenate([best_i, *(ids[r] for r in rows)])
-            keep = np.lexsort((best_i, -best_s))[:k]
-            best_s, best_i = best_s[keep], best_i[keep]
-            if len(best_s) >= k:
-                worst = max(worst, best_s[-1])
-            done = step if done == 0 else len(p2)
-        out.append((best_s, best_i))
-    return out
+        while done < len(cells):
+            reach = limit * max(0.0, own - 2 * worst)
+            now = cells[done : done + step]
+            now = now[gap[now] <= reach]
+            if not len(now):
+                break
+            # first by fast products, cell by cell in place; what is near the best so far then in full precision
+            starts, lengths = self.starts[now], self.stops[now] - self.starts[now]
+            rough = np.concatenate([self.data[a:b] @ query for a, b in zip(starts.tolist(), self.stops[now].tolist(), strict=True)])
+            least = max(worst, np.partition(rough, -k)[-k]) if len(rough) > k else worst
+            near = np.flatnonzero(rough >= least - 1e-9 * own)
+            ends = np.cumsum(lengths)
+            at = np.searchsorted(ends, near, "right")
+            rows = starts[at] + near - (ends - lengths)[at]
+            scores = (self.data[rows] * query).sum(axis=1)
+            rows, scores = rows[scores >= worst], scores[scores >= worst]
+            if len(rows):
+                best_s = np.concatenate([best_s, np.repeat(scores, self.sizes[rows])])
+                best_i = np.concatenate([best_i, *(self.ids[r] for r in rows.tolist())])
+                keep = np.lexsort((best_i, -best_s))[:k]
+                best_s, best_i = best_s[keep], best_i[keep]
+                if len(best_s) >= k:
+                    worst = max(worst, best_s[-1])
+            done, step = done + step, 2 * step
+        return best_s, best_i
 
 
 def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, leaf: int = LEAF, dims: int = DIMS, z: float = SURE_Z) -> DataFrame:
@@ -131,7 +147,9 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_
         more = np.sqrt(np.maximum(0, top2 - (x * x).sum(axis=1))) if data else np.zeros(len(x))
         return np.column_stack([x, more]) @ planes
 
-    tree = Tree(project(np.array([r["v"] for r in sample], float).reshape(-1, width), True), -(-count // leaf))
+    tree = Tree(project(np.array([r["v"] for r in sample], float).reshape(-1, width), True), min(LEAVES, -(-count // leaf)))
+    leaves = 2**tree.depth
+    chunks = max(1, -(-count // (4 * leaf * leaves)))
 
     def kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Equal vectors of a frame become one row with their k + 1 smallest ids."""
@@ -146,57 +164,70 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_
             distinct = np.frombuffer(b"".join(ids), float).reshape(-1, width)
             yield pd.DataFrame({"leaf": tree.leaf(project(distinct, True)), "v": list(distinct), "ids": [np.array(sorted(i)) for i in ids.values()]})
 
-    shape = "leaf int, v array<double>, ids array<long>"
     few = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
-    local = rows.select("v", F.array("id").alias("ids")).mapInPandas(kept, shape)
+    local = rows.select("v", F.array("id").alias("ids")).mapInPandas(kept, "leaf int, v array<double>, ids array<long>")
     halves = local.groupBy("leaf", "v", (F.spark_partition_id() % 64).alias("part")).agg(few.alias("ids"))
-    index = stored(halves.groupBy("leaf", "v").agg(few.alias("ids")), "leaves")
+    part = F.col("leaf").cast("long") * chunks + F.pmod(F.xxhash64("v"), F.lit(chunks))
+    index = stored(halves.groupBy("leaf", "v").agg(few.alias("ids")).select(part.alias("part"), "v", "ids"), "leaves")
 
     # equal query vectors are searched once
     asked = stored(rows.filter("q").select("id", (F.transform("v", lambda x: x + F.lit(0.0))).alias("v")), "queries")
     distinct = asked.groupBy("v").agg(F.min("id").alias("qid"))
 
-    @F.pandas_udf("int")
-    def home(v: pd.Series) -> pd.Series:
-        return pd.Series(tree.leaf(project(np.stack(v), True)), index=v.index) if len(v) else pd.Series([], dtype="int32")
+    def next_leaves(first: int, stop: int):
+        """The leaves of places first to stop - 1 by projected distance that are still within reach."""
 
-    packs = max(1, -(-count // (20 * QUERY_PACK)))
+        @F.pandas_udf("array<long>")
+        def run(v: pd.Series, bound: pd.Series) -> pd.Series:
+            out = []
+            for x, least in zip(v, bound, strict=True):
+                gap = tree.distance2(project(x[None], False)[0])
+                near = np.argsort(gap, kind="stable")[first:stop]
+                out.append(near[gap[near] <= limit * max(0.0, x @ x + top2 - 2 * least)])
+            return pd.Series(out, index=v.index, dtype=object)
 
-    def found(queries_: DataFrame) -> DataFrame:
-        """(qid, leaf, bound) rows joined with their leaves' rows, leaf by leaf and pack by pack of queries."""
+        return run
 
-        def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return pd.DataFrame({"qid": [], "vec_id": [], "score": []})
-            data, q = np.stack(right["v"]), np.stack(left["v"])
-            got = search(list(right["ids"]), data, project(data, True), q, project(q, False), left["bound"].to_numpy(), top2, k + 1, limit)
-            lengths = [len(s) for s, _ in got]
-            return pd.DataFrame({"qid": np.repeat(left["qid"].to_numpy(), lengths), "vec_id": np.concatenate([i for _, i in got]), "score": np.concatenate([s for s, _ in got])})
-
-        copies = index.select("leaf", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("pack"), "v", "ids")
-        dealt = queries_.withColumn("pack", F.pmod(F.xxhash64("qid"), F.lit(packs)).cast("int"))
-        return dealt.groupBy("leaf", "pack").cogroup(copies.groupBy("leaf", "pack")).applyInPandas(lambda a, b: one(a, b), "qid long, vec_id long, score double")
+    def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come by part of a leaf and pack, the part's vectors before the queries: the best k + 1 of each query there."""
+        here, held, tree_of = None, [], None
+        for frame in frames:
+            turns = np.flatnonzero((frame[["part", "pack", "qid"]].ffill().diff().fillna(1) != 0)[["part", "pack"]].any(axis=1)) if len(frame) else []
+            for a, b in zip(turns, [*turns[1:], len(frame)], strict=True):
+                own = frame.iloc[a:b]
+                if here != (own["part"].iloc[0], own["pack"].iloc[0]):
+                    here, held, tree_of = (own["part"].iloc[0], own["pack"].iloc[0]), [], None
+                data, queries_ = own[own["qid"].isna()], own[own["qid"].notna()]
+                if len(data):
+                    held.append(data[["v", "ids"]])
+                if not len(queries_) or not held:
+                    continue
+                if tree_of is None:
+                    all_rows = pd.concat(held)
+                    x = np.stack(all_rows["v"])
+                    tree_of = Leaf(list(all_rows["ids"]), x, project(x, True))
+                q = np.stack(queries_["v"])
+                got = [tree_of.search(*one, top2, k + 1, limit) for one in zip(q, project(q, False), queries_["bound"].tolist(), strict=True)]
+                lengths = [len(s) for s, _ in got]
+                yield pd.DataFrame({"qid": np.repeat(queries_["qid"].to_numpy().astype(np.int64), lengths), "vec_id": np.concatenate([i for _, i in got]), "score": np.concatenate([s for s, _ in got])})
 
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    first = stored(found(distinct.select("qid", "v", home("v").alias("leaf"), F.lit(float("-inf")).alias("bound"))), "home")
-    bounds = first.groupBy("qid").agg(F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("bound"))
-
-    @F.pandas_udf("array<int>")
-    def leaves(v: pd.Series, bound: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        x = np.stack(v)
-        p, own, norms = project(x, False), tree.leaf(project(x, True)), (x * x).sum(axis=1)
-        lists = []
-        for i in range(len(x)):
-            inside = tree.distance2(p[i]) <= limit * max(0.0, norms[i] + top2 - 2 * bound.iloc[i])
-            inside[own[i]] = False  # the home leaf has been searched
-            lists.append(np.flatnonzero(inside).astype(np.int32))
-        return pd.Series(lists, index=v.index)
-
-    open_ = distinct.join(bounds, "qid", "left").na.fill(float("-inf"), ["bound"])
-    rest = found(open_.select("qid", "v", F.explode(leaves("v", "bound")).alias("leaf"), "bound"))
-    top = first.unionByName(rest).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
+    top, done, stop = None, 0, min(FIRST, leaves)
+    while done < leaves:
+        open_ = distinct.withColumn("bound", F.lit(float("-inf")))
+        if top is not None:
+            bounds = top.groupBy("qid").agg(F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("bound"))
+            open_ = distinct.join(bounds, "qid", "left").na.fill(float("-inf"), ["bound"])
+        asks = open_.select("qid", "v", "bound", F.explode(next_leaves(done, stop)("v", "bound")).alias("leaf"))
+        asks = stored(asks.select("qid", "v", "bound", F.explode(F.sequence(F.col("leaf") * chunks, F.col("leaf") * chunks + chunks - 1)).alias("part")), "asks")
+        packs = asks.groupBy("part").agg(F.ceil(F.count("*") / PACK).cast("int").alias("packs"))  # copies of a part follow its queries
+        data = index.join(packs, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)).alias("pack"), F.lit(None).cast("long").alias("qid"), "v", "ids", F.lit(0.0).alias("bound"))
+        wanted = asks.join(packs, "part").select("part", F.pmod(F.xxhash64("qid"), F.col("packs")).cast("int").alias("pack"), "qid", "v", F.lit(None).cast("array<long>").alias("ids"), "bound")
+        dealt = data.unionByName(wanted).repartition(n, "part", "pack").sortWithinPartitions("part", "pack", F.col("qid").asc_nulls_first())
+        new = dealt.mapInPandas(found, "qid long, vec_id long, score double")
+        both = new if top is None else top.select("qid", "vec_id", "score").unionByName(new)
+        top = stored(both.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1), "top")
+        done, stop = stop, min(leaves, stop * MORE)
     lists = top.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
     named = asked.join(distinct, "v").select("id", "qid").join(lists, "qid")
     others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("id")), 1, k)
@@ -204,4 +235,5 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_
 
 
 def op10_neighbours(spark, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every twentieth vector among all others; unusable vectors take no part."""
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)

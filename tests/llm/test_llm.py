@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
@@ -193,12 +194,31 @@ def test_neighbours(spark):
         hit += len({v for _, v in found} & set(ids[np.argsort(-s)[:20]].tolist()))
     assert hit >= 0.9 * 20 * len(got) and len(got) == sum(i % 20 == 0 for i in rows)
     odd = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [0.0, 2.0]), (None, [1.0, 1.0]), (8, [1.0])], "vec_id long, embedding array<double>")
-    from pyspark.sql import functions as F
-
     assert [tuple(r) for r in neighbours.nearest(odd, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 6, 0.0)]
     assert neighbours.nearest(odd.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_in_many_small_leaves_with_repeated_ids_and_clashing_columns(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.standard_normal((600, 8)), 2)
+    x[100:160] = x[7]  # a group of equal vectors
+    rows = [(int(i % 590), v.tolist(), 1.0, 2, "p") for i, v in enumerate(x)]  # ids 0 to 9 stand for two vectors each
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v double, part int, qid string")
+    got = {}
+    for r in neighbours.nearest(table, F.col("vec_id") % 50 == 20, k=5, leaf=40).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    ids, hit = np.array([r[0] for r in rows]), 0
+    for q, found in got.items():
+        own = {}
+        for i in np.flatnonzero(ids != q):
+            s = float((x[i] * x[q]).sum())
+            own[int(ids[i])] = max(s, own.get(int(ids[i]), -np.inf))
+        want = sorted(own.items(), key=lambda t: (-t[1], t[0]))[:5]
+        assert [r for r, _, _ in sorted(found)] == [1, 2, 3, 4, 5]
+        hit += len({i for i, _ in want} & {i for _, i, _ in found})
+    assert len(got) == 12 and hit >= 0.9 * 60
+
+
 def test_stages_keep_clashing_columns_and_empty_tables(spark, docs, none):
     for name, stage in corpus_pipeline.STAGES[:4]:
         for table in (docs, none):
