@@ -1,20 +1,24 @@
 """HTML main text by consensus host paths.
 
-Each page votes for the generalised tag-class path of the container that holds all its article text; votes are counted per
-host; pages are then read again and the text comes from the container on the host's winning path, or from the page's own
-where that path would lose a block of article text. Menus,
-adverts, comments and the like are left out by tag, role and class wherever they stand.
+Each page is parsed once, into its clean blocks and the paths of the containers around them, and votes for the generalised
+tag-class path of the container that holds all its article text; votes are counted per host; the text is then taken again
+from the container on the host's winning path, or from the page's own where that path would lose a block of article text.
+What moves between hosts' tasks are parsed blocks and path counts, never html. Menus, adverts, comments and the like are
+left out by tag, role and class names, unless a page's evidence speaks against it.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthmark.llm.common import stored
+
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<(script|style|noscript|template|iframe|svg|textarea|select|title|object|math)\b(?:"[^"]*"|'[^']*'|[^>"'])*(?:(?<=/)>|>.*?(?:</\1\s*>|$))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|$)|<[!?/][^>]*>""", re.S | re.I)
 ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -23,16 +27,26 @@ BLOCK = frozenset("address article aside blockquote body caption dd details dial
 CLOSES_P = BLOCK - {"body", "html", "tr", "li", "caption", "tbody", "thead", "tfoot"}
 LEFT_OUT = frozenset("nav footer aside form button dialog menu head input label audio video canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-WORDS = re.compile(r"(?:^|[-_\s])(?:nav(?:bar|igation)?|menus?|header|footer|foot|sidebars?|aside|rail|ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|comments?|disqus|respond|replies|reply|discussion|share|sharing|social|related|recommend\w*|subscri\w*|newsletter|signup|login|breadcrumbs?|popup|modal|overlay|widgets?|pagination|pager|toolbar|masthead|skip|search|hidden)(?:$|[-_\s]|\d)", re.I)
+COMMENTS = re.compile("comments?|disqus|respond|replies|reply|discussion")
+WORDS = re.compile(r"nav(?:bar|igation)?|menus?|header|footer|foot|sidebars?|aside|rail|ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|share|sharing|social|related|recommend\w*|subscri\w*|newsletter|signup|login|breadcrumbs?|popup|modal|overlay|widgets?|pagination|pager|toolbar|masthead|skip|search|hidden|" + COMMENTS.pattern)
+BESIDE = frozenset("area bar block body bottom box button buttons center col column container content desktop dropdown entry fixed form global group holder inline inner item items js left level line link links list main mobile module outer page panel part post posts primary region right row secondary section site slot small sticky tertiary text title to top unit user v wrap wrapper x".split())
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 
 
+SALTS = 64
+DEPTH = 512  # elements nested deeper stand beside each other, as in browsers
+KEPT, DOUBTED, OUT = range(3)
+
+
 class Node:
-    __slots__ = ("kind", "left_out", "parent", "path", "tag")
+    __slots__ = ("comments", "doubt", "kind", "parent", "path", "state", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, kind: str, left_out: bool):
-        self.tag, self.parent, self.kind, self.left_out = tag, parent, kind, left_out
+    def __init__(self, tag: str, parent: Node | None, kind: str, state: int, comments: bool = False):
+        """state is that of the element itself or of what is around it; doubt is the nearest doubted element, itself included."""
+        self.tag, self.parent, self.kind, self.comments = tag, parent, kind, comments
         self.path = f"{parent.path}>{kind}" if parent else kind
+        self.state = max(state, parent.state) if parent else state
+        self.doubt = self if state == DOUBTED else parent.doubt if parent else None
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -45,15 +59,37 @@ def generalised(tag: str, attrs: dict[str, str]) -> str:
     return ".".join([tag, *(re.sub(r"\d+", "#", n) for n in name)])
 
 
-def left_out(tag: str, attrs: dict[str, str], parent: Node) -> bool:
-    if tag in LEFT_OUT or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
-    if tag == "header" and not any(n.tag in ("article", "main") for n in ancestors(parent)):
-        return True
+@lru_cache(100_000)
+def named(word: str) -> tuple[bool, bool]:
+    """Whether a class or id names a part that is no article text, and whether that is reader comments.
+
+    All its parts must be such words or words that go beside them: has-sidebar and social-science are neither.
+    """
+    parts = [p for p in re.split(r"[-_\d]+", word.lower()) if p]
+    hits = [p for p in parts if WORDS.fullmatch(p)]
+    own = bool(hits) and all(p in BESIDE or WORDS.fullmatch(p) for p in parts)
+    return own and hits != ["header"], own and any(COMMENTS.fullmatch(p) for p in hits)
+
+
+def state_of(tag: str, attrs: dict[str, str], parent: Node) -> tuple[int, bool]:
+    """Whether an element is kept, doubted or left out, and whether it is reader comments.
+
+    Tags, roles and hiding leave out for certain. Names and forms only raise a doubt. A header, by tag or name, is left
+    out but inside an article or main.
+    """
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+    found = [named(w) for w in names]
+    comments = tag not in ("html", "body", "main") and any(c for _, c in found)
+    if (tag in LEFT_OUT and tag != "form") or (attrs.get("role", "").lower() in ROLES) or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+        return OUT, comments
+    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
+        return OUT, comments
     if tag in ("html", "body", "article", "main"):
-        return False
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return bool(names.strip() and WORDS.search(names)) or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
+        return (DOUBTED, True) if comments else (KEPT, False)
+    heads = tag == "header" or any(re.fullmatch(r"(?:[a-z]+[-_])?header(?:[-_][a-z]+)?", w.lower()) and all(p in BESIDE or p == "header" for p in re.split("[-_]", w.lower())) for w in names)
+    if heads and not any(n.tag in ("article", "main") for n in ancestors(parent)):
+        return (OUT if tag == "header" else DOUBTED), comments
+    return (DOUBTED if tag == "form" or any(n for n, _ in found) else KEPT), comments
 
 
 def ancestors(node: Node | None):
@@ -63,20 +99,24 @@ def ancestors(node: Node | None):
 
 
 def blocks(html: str | None) -> list[tuple[Node, str, int]]:
-    """The clean blocks of a page in order: their innermost container, text, and characters inside links."""
-    root = Node("#", None, "#", False)
-    stack, out, text, linked = [root], [], [], 0
+    """The clean blocks of a page in order: their innermost container, text, and characters inside links.
+
+    A doubted element is kept if it is not reader comments and holds every article and main of the page, or if it is a
+    form that holds most of the unlinked text. Elements nested deeper than DEPTH stand beside each other.
+    """
+    root = Node("#", None, "#", KEPT)
+    stack, out, text, linked, cores = [root], [], [], 0, []
 
     def flush() -> None:
         nonlocal text, linked
         words = " ".join(unescape("".join(text)).split())
         node = stack[-1]
-        if words and not node.left_out:
-            out.append((next(n for n in ancestors(node) if n.tag in CONTAINERS or n.parent is None), words, min(linked, len(words))))
+        if words and node.state != OUT:
+            out.append((node, words, min(linked, len(words))))
         text, linked = [], 0
 
     def pop(to: int) -> None:
-        if any(n.tag in BLOCK or n.left_out for n in stack[to:]):
+        if any(n.tag in BLOCK or n.state != n.parent.state or n.doubt is n for n in stack[to:]):
             flush()
         del stack[to:]
 
@@ -114,14 +154,34 @@ def blocks(html: str | None) -> list[tuple[Node, str, int]]:
                     break
         attrs = attributes(m[4])
         parent = stack[-1]
-        out_of_text = parent.left_out or left_out(tag, attrs, parent)
-        if tag in BLOCK or out_of_text != parent.left_out:
+        state, comments = state_of(tag, attrs, parent)
+        if tag in BLOCK or state == DOUBTED or state > parent.state:
             flush()
         if not m[4].rstrip().endswith("/") or tag in BLOCK:
-            stack.append(Node(tag, parent, generalised(tag, attrs) if tag in CONTAINERS else tag, out_of_text))
+            if len(stack) > DEPTH:
+                pop(DEPTH)
+                parent = stack[-1]
+            stack.append(Node(tag, parent, generalised(tag, attrs) if tag in CONTAINERS else tag, state, comments))
+            if tag in ("article", "main") and stack[-1].state != OUT and not any(n.comments for n in ancestors(stack[-1])):
+                cores.append(stack[-1])
     text.append((html or "")[at:])
     flush()
-    return out
+    return [(next(n for n in ancestors(node) if n.tag in CONTAINERS or n.parent is None), words, linked) for node, words, linked in out if trusted(node, out, cores)]
+
+
+def trusted(node: Node, found: list[tuple[Node, str, int]], cores: list[Node]) -> bool:
+    """Whether a page's evidence clears every doubted element around a node."""
+    doubt = node.doubt
+    while doubt:
+        inside = lambda n, d=doubt: any(a is d for a in ancestors(n))
+        clear = not doubt.comments and bool(cores) and all(map(inside, cores))
+        if not clear and doubt.tag == "form" and not doubt.comments:
+            own = sum(len(words) - linked for n, words, linked in found if inside(n))
+            clear = 2 * own > sum(len(words) - linked for _, words, linked in found)
+        if not clear:
+            return False
+        doubt = doubt.parent.doubt if doubt.parent else None
+    return True
 
 
 def best_container(found: list[tuple[Node, str, int]]) -> Node | None:
@@ -138,55 +198,68 @@ def best_container(found: list[tuple[Node, str, int]]) -> Node | None:
     return next((n for n in common if n.tag in ("article", "main")), common[0]) if common else None
 
 
-def extract(html: str | None, paths: list[str] | None = None) -> tuple[str, str | None, int]:
-    """Main text, path and clean length of the page's own best container, or of the first given path that holds all its blocks
-    of article text."""
+PARSED = "path string, words array<string>, own array<int>, choices array<struct<path: string, at: array<int>>>"
+
+
+def parse(html: str | None) -> tuple[str | None, list[str], list[int], list[dict]]:
+    """A page's vote, its blocks, the places of those in its own best container, and for each generalised path that holds
+    all blocks of article text the places of the blocks inside."""
     found = blocks(html)
     best = best_container(found)
-    text = [2 * linked <= len(words) for _, words, linked in found]
-    for path in paths or []:
-        inside = [any(n.path == path for n in ancestors(node)) for node, _, _ in found]
-        if any(inside) and (all(i or not t for i, t in zip(inside, text, strict=True)) if any(text) else all(inside)):
-            own = [words for (_, words, _), i in zip(found, inside, strict=True) if i]
-            return "\n\n".join(own), path, sum(map(len, own))
-    if best is None:
-        own = [words for _, words, _ in found]
-        return "\n\n".join(own), None, sum(map(len, own))
-    own = [words for node, words, _ in found if any(n is best for n in ancestors(node))]
-    return "\n\n".join(own), best.path, sum(map(len, own))
+    around: dict[int, tuple[Node, set[str]]] = {}
+    for node, _, _ in found:
+        if id(node) not in around:
+            around[id(node)] = (node, {n.path for n in ancestors(node)})
+    paths = [around[id(node)][1] for node, _, _ in found]
+    text = [p for p, (_, words, linked) in zip(paths, found, strict=True) if 2 * linked <= len(words)] or paths
+    shared = set.intersection(*text) if text else set()
+    choices = [{"path": p, "at": [i for i, own in enumerate(paths) if p in own]} for p in sorted(shared)]
+    own = [i for i, (node, _, _) in enumerate(found) if best is None or any(n is best for n in ancestors(node))]
+    return best.path if best else None, [words for _, words, _ in found], own, choices
+
+
+def extract(html: str | None, paths: list[str] | None = None) -> tuple[str, str | None]:
+    """Main text and path by the first given path that holds all blocks of article text, or else of the page's own container."""
+    path, words, own, choices = parse(html)
+    at = {c["path"]: c["at"] for c in choices}
+    path = next((p for p in paths or [] if p in at), path)
+    return "\n\n".join(words[i] for i in at.get(path, own)), path
 
 
 def host_paths(pages: DataFrame, least: float = 0.2) -> DataFrame:
-    """(host, paths): the paths with at least a share of their host's votes, most votes first, ties by name.
+    """(host, paths) from (host, path): the paths with at least a share of their host's votes, most votes first, ties by name.
 
     Votes are counted map-side first, so a host of a third of all pages sends one row a task and path.
     """
-
-    @F.pandas_udf("string")
-    def vote(htmls: pd.Series) -> pd.Series:
-        return htmls.map(lambda h: extract(h)[1])
-
-    votes = pages.select("host", vote("html").alias("path")).filter("path is not null").groupBy("host", "path").count()
-    shares = votes.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("host"))).filter(F.col("share") >= least)
+    votes = pages.filter("path is not null").groupBy("host", "path").count()
+    totals = votes.groupBy("host").agg(F.sum("count").alias("votes"))
+    shares = votes.join(totals, "host").filter(F.col("count") >= least * F.col("votes"))
     return shares.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "path"))).alias("won")).select("host", F.transform("won", lambda x: x["path"]).alias("paths"))
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
-    A null or empty html gives an empty text; a null url is a host of its own; repeated rows stay; no rows give no rows.
-    A page that no winning path holds whole falls back to its own best container.
+    A null or empty html gives an empty text; a null url is a host of its own; repeated rows stay; no rows give no rows;
+    other columns are left out. An unclosed element ends with the page. A page that no winning path holds whole falls
+    back to its own best container. A host's pages are spread over SALTS keys, each with the host's few paths.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = rows.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")))
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
-    @F.pandas_udf("string")
-    def read(htmls: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([extract(h, None if p is None else list(p))[0] for h, p in zip(htmls, paths, strict=True)], index=htmls.index, dtype=object)
+    @F.pandas_udf(PARSED)
+    def read(htmls: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse(h) for h in htmls], columns=["path", "words", "own", "choices"], index=htmls.index)
 
-    won = host_paths(rows)
-    return rows.join(won, "host", "left").select("page_id", "url", read("html", "paths").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    parsed = stored(rows.select("page_id", "url", host.alias("host"), read("html").alias("p")).select("page_id", "url", "host", "p.*"), "blocks")
+    won = host_paths(parsed.select("host", "path")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "words"), F.lit(SALTS)).cast("int"))
+    held = F.transform(F.coalesce("paths", F.array().cast("array<string>")), lambda p: F.get(F.filter("choices", lambda c: c["path"] == p), F.lit(0))["at"])
+    at = F.coalesce(F.get(F.filter(held, lambda x: x.isNotNull()), F.lit(0)), F.col("own"))
+    text = F.array_join(F.transform(at, lambda i: F.get("words", i)), "\n\n")
+    return salted.join(won, ["host", "salt"], "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6_html(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page; a null or empty html gives an empty text."""
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
