@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -191,12 +191,14 @@ def block_rows(pattern: str, block_bytes: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, (ids, texts) in enumerate(text_blocks(batches, block_bytes)):
             yield block(number, ids, texts)
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text", pattern: str = GENERAL, block_bytes: int = 8_000_000) -> DataFrame:
-    """(doc_id, ids array<int>) of every document by the ranks, without special tokens.
+def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text", pattern: str = GENERAL, block_bytes: int = 8_000_000, then: Callable[[pa.Table], pa.Table] | None = None, schema: str = "") -> DataFrame:
+    """(doc_id, ids array<int>) of every document by the ranks, without special tokens; or what then makes of tables of
+    those columns, with the given schema, in the task that puts the documents together.
 
     A null text counts as empty and gives no ids; repeated rows give repeated rows; a null id stays null; other columns
     are left out, whatever their names. A table without rows gives no rows. A block holds whole documents of about
@@ -239,10 +241,13 @@ def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col
         ends = np.concatenate([[0], np.cumsum(sizes[at])])
         cuts = ends[np.concatenate([[0], np.cumsum(np.frombuffer(row["counts"], "<i8"))])]
         keys = pa.array(np.frombuffer(row["ids"], "<i8"), mask=np.frombuffer(row["nulls"], bool))
-        return pa.table({id_col: keys, "ids": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(gather(flat, sizes, at)))})
+        out = pa.table({id_col: keys, "ids": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(gather(flat, sizes, at)))})
+        out = then(out) if then else out
+        pa.default_memory_pool().release_unused()
+        return out
 
     body = blocks.select("block", "ids", "nulls", "counts", "slots", "shares")
-    return body.groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(lambda a, b: rejoined(a, b), f"{id_col} long, ids array<int>")
+    return body.groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(lambda a, b: rejoined(a, b), schema or f"{id_col} long, ids array<int>")
 
 
 def token_table(ranks: dict[bytes, int]) -> pa.Array:
@@ -286,16 +291,17 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Encodes, decodes, and keeps counts and SHA-256 digests per document: of the decimal ids and of the decoded bytes."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(rows: pa.Table) -> pa.Table:
         table = token_table(ranks.value)
         decimal = pa.array([str(i).encode() for i in range(len(table))], pa.binary())
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                keys, ids = batch.slice(i, 256).columns
-                sha = [[hashlib.sha256(x.as_buffer()).hexdigest() for x in joined_bytes(ids, t, b)] for t, b in ((decimal, b" "), (table, b""))]
-                yield pa.RecordBatch.from_arrays([keys, pc.cast(pc.list_value_length(ids), pa.int64()), *map(pa.array, sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encode(docs, ranks_path, pattern=pattern).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        ids, sha = rows["ids"].combine_chunks(), ([], [])
+        for i in range(0, len(ids), 256):  # decoding joins the token-byte table; so do the ids their decimal digits
+            for out, t, between in zip(sha, (decimal, table), (b" ", b""), strict=True):
+                out.extend(hashlib.sha256(x.as_buffer()).hexdigest() for x in joined_bytes(ids.slice(i, 256), t, between))
+        text = [pa.array(x, pa.string()) for x in sha]
+        return pa.table([rows["doc_id"], pc.cast(pc.list_value_length(ids), pa.int64()), *text], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encode(docs, ranks_path, pattern=pattern, then=digest, schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:

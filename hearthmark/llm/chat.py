@@ -55,13 +55,18 @@ def conversations(turns: DataFrame, *, id_col: str = "conv_id") -> DataFrame:
 def preferences(pairs: DataFrame, *, chosen_col: str = "chosen", rejected_col: str = "rejected") -> DataFrame:
     """Turns chosen and rejected (arrays of role and text) into prompt, completions and their trained spans.
 
-    Equal conversations give empty completions; an empty side gives an empty prompt; other columns are kept.
+    Equal conversations give empty completions; an empty side gives an empty prompt; a null side counts as empty. Other
+    columns are kept whatever their names, but for those of the result, which replaces them; repeated rows stay.
     """
-    rest = [c for c in pairs.columns if c not in (chosen_col, rejected_col)]
-    rows = pairs.withColumn("prefix_turns", common_prefix(F.col(chosen_col), F.col(rejected_col)))
-    after = lambda c: F.slice(c, F.col("prefix_turns") + 1, F.size(c))
-    rows = rows.select(*rest, "prefix_turns", F.slice(chosen_col, 1, F.col("prefix_turns")).alias("p"), after(F.col(chosen_col)).alias("c"), after(F.col(rejected_col)).alias("r"))
-    return rows.select(*rest, "prefix_turns", render(F.col("p")).alias("prompt"), render(F.col("c")).alias("chosen"), spans(F.col("c")).alias("chosen_spans"), render(F.col("r")).alias("rejected"), spans(F.col("r")).alias("rejected_spans"))
+    made = ("prefix_turns", "prompt", "chosen", "chosen_spans", "rejected", "rejected_spans")
+    rest = [c for c in pairs.columns if c not in (chosen_col, rejected_col, *made)]
+    side = lambda c: F.coalesce(F.col(c), F.array().cast("array<struct<role:string,text:string>>"))
+    rows = pairs.select(F.struct(F.lit(0).alias("_"), *rest).alias("rest"), side(chosen_col).alias("c"), side(rejected_col).alias("r"))
+    rows = rows.withColumn("n", common_prefix(F.col("c"), F.col("r")))
+    after = lambda c: F.slice(c, F.col("n") + 1, F.size(c))
+    rows = rows.select("rest", "n", F.slice("c", 1, F.col("n")).alias("p"), after(F.col("c")).alias("c"), after(F.col("r")).alias("r"))
+    out = (F.col("n"), render(F.col("p")), render(F.col("c")), spans(F.col("c")), render(F.col("r")), spans(F.col("r")))
+    return rows.select(*(F.col("rest")[c].alias(c) for c in rest), *(x.alias(name) for x, name in zip(out, made, strict=True)))
 
 
 def swapped_pairs(convs: DataFrame) -> DataFrame:
@@ -81,6 +86,7 @@ def swapped_pairs(convs: DataFrame) -> DataFrame:
 
 
 def op3_preferences(spark, sf_dir: str) -> DataFrame:
+    """Conversations as preference pairs against their partner's last answer; null roles and texts have defined values."""
     rows = preferences(swapped_pairs(conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return rows.select("conv_id", "prefix_turns", "prompt", "chosen", text(F.col("chosen_spans")).alias("chosen_spans"), "rejected", text(F.col("rejected_spans")).alias("rejected_spans"))

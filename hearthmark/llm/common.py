@@ -4,34 +4,64 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a local session takes a temporary folder; on a cluster, whose machines share no such folder, that
+    is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new place in the session's own part of the shared folder."""
+    return f"{shared_dir(spark)}/stored-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str, bucket_by: str | None = None) -> DataFrame:
     """Write df once to the shared folder and return the table read back: cuts lineage and survives lost executors.
 
-    With bucket_by the table is bucketed, so that grouping or joining by that column does not shuffle it again.
+    With bucket_by the table is bucketed, so that grouping or joining by that column does not shuffle it again; df comes
+    partitioned by it, or in few rows, as each task writes a file for each of its buckets.
     """
-    name = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(df.sparkSession)}/{name}"
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     if bucket_by:
-        df.write.option("path", path).bucketBy(partitions(df.sparkSession), bucket_by).saveAsTable(name)
-        return df.sparkSession.table(name)
+        table = f"stored_{uuid.uuid4().hex}"
+        df.write.option("path", path).option("compression", "zstd").bucketBy(partitions(spark), bucket_by).saveAsTable(table)
+        return spark.table(table)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes stored tables of which all that was made is stored itself."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            _delete(table.sparkSession, folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all that this session's operators have stored; to be called once their results have been read or written."""
+    for table in spark.catalog.listTables():
+        if table.name.startswith("stored_"):
+            spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+    _delete(spark, f"{shared_dir(spark)}/stored-{spark.sparkContext.applicationId}".replace(" ", "%20"))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -70,17 +100,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = big.groupBy("a").agg(F.min("b").alias("m"))
         kept = big.join(small, "a")
         new = kept.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(new.unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "links")
+        last, now = now, stored(new.unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "links")
+        drop(last)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_000_007).alias("h")).first()
         if mark == seen:
             break
         mark = seen
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
-
-
-def few_rows(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
-    """The rows of Arrow batches as tuples; only step rows at a time become Python objects."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, step):
-            yield from zip(*(c.to_pylist() for c in batch.slice(i, step).columns), strict=True)

@@ -2,7 +2,7 @@
 
 A paragraph hashes to a wide vector: EXACT lanes of 64 random bits, and LANES small counters into which its character
 windows are thrown with random signs. A document is the sum of its paragraphs' vectors, lane by lane modulo 2^64 and
-2^16. Sums commute, so paragraph order does not matter, and a paragraph is inserted or deleted by adding or subtracting
+2^32. Sums commute, so paragraph order does not matter, and a paragraph is inserted or deleted by adding or subtracting
 its vector. The squared distance of two counter parts estimates how many windows differ, which gives a likeness.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from hearthmark.llm.common import partitions, range_bucket
 
 EXACT, LANES, WINDOW = 4, 128, 16
-DIGITS = 16 * EXACT + 4 * LANES
+DIGITS = 16 * EXACT + 8 * LANES
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,9 +34,9 @@ def paragraphs(text: str) -> list[str]:
 
 
 def vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The exact lanes (uint64) and counters (uint16) of a text: the sum over its paragraphs; zeros for an empty text."""
+    """The exact lanes (uint64) and counters (uint32) of a text: the sum over its paragraphs; zeros for an empty text."""
     parts = paragraphs(text or "")
-    exact, counters = np.zeros(EXACT, np.uint64), np.zeros(LANES, np.uint16)
+    exact, counters = np.zeros(EXACT, np.uint64), np.zeros(LANES, np.uint32)
     if not parts:
         return exact, counters
     digests = b"".join(hashlib.blake2b(p.encode(), digest_size=8 * EXACT).digest() for p in parts)
@@ -53,16 +53,16 @@ def vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     h = _mix(h[np.repeat(starts - (ends - windows), windows) + np.arange(ends[-1])])
     lane, sign = (h & np.uint64(LANES - 1)).astype(np.int64), ((h >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
     sums = 2 * np.bincount(lane, weights=sign, minlength=LANES).astype(np.int64) - np.bincount(lane, minlength=LANES)
-    return exact, (sums & 0xFFFF).astype(np.uint16)
+    return exact, (sums & 0xFFFFFFFF).astype(np.uint32)
 
 
 def to_hex(v: tuple[np.ndarray, np.ndarray]) -> str:
-    return v[0].astype("<u8").tobytes().hex() + v[1].astype("<u2").tobytes().hex()
+    return v[0].astype("<u8").tobytes().hex() + v[1].astype("<u4").tobytes().hex()
 
 
 def from_hex(text: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(text)
-    return np.frombuffer(raw, "<u8", EXACT), np.frombuffer(raw, "<u2", LANES, 8 * EXACT)
+    return np.frombuffer(raw, "<u8", EXACT), np.frombuffer(raw, "<u4", LANES, 8 * EXACT)
 
 
 def combine(a: str, b: str, sign: int = 1) -> str:
@@ -75,8 +75,8 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     """1 for equal fingerprints, else 1 less the squared distance of the counters over the sum of their squares, 0 to 1."""
     if all(map(np.array_equal, a, b)):
         return 1.0
-    u, v = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
-    apart = (a[1] - b[1]).view(np.int16).astype(np.float64)
+    u, v = a[1].view(np.int32).astype(np.float64), b[1].view(np.int32).astype(np.float64)
+    apart = (a[1] - b[1]).view(np.int32).astype(np.float64)
     both = u @ u + v @ v
     return float(min(1.0, max(0.0, 1 - apart @ apart / both))) if both else 0.0
 
@@ -141,4 +141,5 @@ def compare_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def op2_fingerprint(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints and likenesses along descending ids; null texts count as empty."""
     return compare_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))

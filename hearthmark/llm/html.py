@@ -1,9 +1,9 @@
 """HTML main text by consensus host paths.
 
-Each page is parsed once, into its clean blocks and the paths of the containers around them, and votes for the generalised
-tag-class path of the container that holds all its article text; votes are counted per host; the text is then taken again
-from the container on the host's winning path, or from the page's own where that path would lose a block of article text.
-What moves between hosts' tasks are parsed blocks and path counts, never html. Menus, adverts, comments and the like are
+Each page votes for the generalised tag-class path of the container that holds all its article text; votes are counted per
+host; pages are then parsed again, into clean blocks and the paths of the containers around them, and the text is that of
+the container on the host's winning path, or of the page's own where that path would lose a block of article text. What
+moves between hosts' tasks are parsed blocks and path counts, never html. Menus, adverts, comments and the like are
 left out by tag, role and class names, unless a page's evidence speaks against it.
 """
 
@@ -14,11 +14,9 @@ from functools import lru_cache
 from html import unescape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthmark.llm.common import stored
-
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<(script|style|noscript|template|iframe|svg|textarea|select|title|object|math)\b(?:"[^"]*"|'[^']*'|[^>"'])*(?:(?<=/)>|>.*?(?:</\1\s*>|$))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|$)|<[!?/][^>]*>""", re.S | re.I)
 ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,6 +31,7 @@ BESIDE = frozenset("area bar block body bottom box button buttons center col col
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 
 
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SALTS = 64
 DEPTH = 512  # elements nested deeper stand beside each other, as in browsers
 KEPT, DOUBTED, OUT = range(3)
@@ -71,25 +70,30 @@ def named(word: str) -> tuple[bool, bool]:
     return own and hits != ["header"], own and any(COMMENTS.fullmatch(p) for p in hits)
 
 
-def state_of(tag: str, attrs: dict[str, str], parent: Node) -> tuple[int, bool]:
-    """Whether an element is kept, doubted or left out, and whether it is reader comments.
+def described(tag: str, text: str) -> tuple[str, int, bool, bool]:
+    """By its tag and attributes an element's generalised name, state, and whether it is reader comments or a header.
 
     Tags, roles and hiding leave out for certain. Names and forms only raise a doubt. A header, by tag or name, is left
     out but inside an article or main.
     """
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
-    found = [named(w) for w in names]
+    attrs = attributes(text)
+    kind = generalised(tag, attrs) if tag in CONTAINERS else tag
+    words = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
+    found = [named(w) for w in words]
     comments = tag not in ("html", "body", "main") and any(c for _, c in found)
-    if (tag in LEFT_OUT and tag != "form") or (attrs.get("role", "").lower() in ROLES) or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return OUT, comments
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
-        return OUT, comments
+    hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDING.search(attrs.get("style", "")) is not None
+    if (tag in LEFT_OUT and tag != "form") or attrs.get("role", "").lower() in ROLES or hidden:
+        return kind, OUT, comments, False
     if tag in ("html", "body", "article", "main"):
-        return (DOUBTED, True) if comments else (KEPT, False)
-    heads = tag == "header" or any(re.fullmatch(r"(?:[a-z]+[-_])?header(?:[-_][a-z]+)?", w.lower()) and all(p in BESIDE or p == "header" for p in re.split("[-_]", w.lower())) for w in names)
-    if heads and not any(n.tag in ("article", "main") for n in ancestors(parent)):
-        return (OUT if tag == "header" else DOUBTED), comments
-    return (DOUBTED if tag == "form" or any(n for n, _ in found) else KEPT), comments
+        return kind, DOUBTED if comments else KEPT, comments, False
+    if tag == "form" or any(n for n, _ in found):
+        return kind, DOUBTED, comments, False
+    parts = [re.split("[-_]", w) for w in words]
+    heads = tag == "header" or any("header" in p and all(x in BESIDE or x == "header" for x in p) for p in parts)
+    return kind, (OUT if tag == "header" else DOUBTED) if heads else KEPT, comments, heads
+
+
+often = lru_cache(50_000)(described)
 
 
 def ancestors(node: Node | None):
@@ -105,7 +109,7 @@ def blocks(html: str | None) -> list[tuple[Node, str, int]]:
     form that holds most of the unlinked text. Elements nested deeper than DEPTH stand beside each other.
     """
     root = Node("#", None, "#", KEPT)
-    stack, out, text, linked, cores = [root], [], [], 0, []
+    stack, out, text, linked, cores, links = [root], [], [], 0, [], False
 
     def flush() -> None:
         nonlocal text, linked
@@ -125,7 +129,7 @@ def blocks(html: str | None) -> list[tuple[Node, str, int]]:
         if m.start() > at:
             piece = html[at : m.start()]
             text.append(piece)
-            if any(n.tag == "a" for n in stack[-4:]):
+            if links and any(n.tag == "a" for n in stack[-4:]):
                 linked += len(piece.strip())
         at = m.end()
         tag = (m[3] or "").lower()
@@ -152,16 +156,18 @@ def blocks(html: str | None) -> list[tuple[Node, str, int]]:
                     break
                 if stack[i].tag in CONTAINERS or stack[i].tag in LEFT_OUT or stack[i].tag in ("ul", "ol", "dl", "table"):
                     break
-        attrs = attributes(m[4])
         parent = stack[-1]
-        state, comments = state_of(tag, attrs, parent)
+        kind, state, comments, heads = (often if len(m[4]) < 200 else described)(tag, m[4])
+        if heads and any(n.tag in ("article", "main") for n in ancestors(parent)):
+            state = KEPT
         if tag in BLOCK or state == DOUBTED or state > parent.state:
             flush()
         if not m[4].rstrip().endswith("/") or tag in BLOCK:
+            links = links or tag == "a"
             if len(stack) > DEPTH:
                 pop(DEPTH)
                 parent = stack[-1]
-            stack.append(Node(tag, parent, generalised(tag, attrs) if tag in CONTAINERS else tag, state, comments))
+            stack.append(Node(tag, parent, kind, state, comments))
             if tag in ("article", "main") and stack[-1].state != OUT and not any(n.comments for n in ancestors(stack[-1])):
                 cores.append(stack[-1])
     text.append((html or "")[at:])
@@ -198,7 +204,7 @@ def best_container(found: list[tuple[Node, str, int]]) -> Node | None:
     return next((n for n in common if n.tag in ("article", "main")), common[0]) if common else None
 
 
-PARSED = "path string, words array<string>, own array<int>, choices array<struct<path: string, at: array<int>>>"
+PARSED = "words array<string>, own array<int>, choices array<struct<path: string, at: array<int>>>"
 
 
 def parse(html: str | None) -> tuple[str | None, list[str], list[int], list[dict]]:
@@ -232,8 +238,7 @@ def host_paths(pages: DataFrame, least: float = 0.2) -> DataFrame:
     Votes are counted map-side first, so a host of a third of all pages sends one row a task and path.
     """
     votes = pages.filter("path is not null").groupBy("host", "path").count()
-    totals = votes.groupBy("host").agg(F.sum("count").alias("votes"))
-    shares = votes.join(totals, "host").filter(F.col("count") >= least * F.col("votes"))
+    shares = votes.withColumn("votes", F.sum("count").over(Window.partitionBy("host"))).filter(F.col("count") >= least * F.col("votes"))
     return shares.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "path"))).alias("won")).select("host", F.transform("won", lambda x: x["path"]).alias("paths"))
 
 
@@ -249,10 +254,15 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
     @F.pandas_udf(PARSED)
     def read(htmls: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(h) for h in htmls], columns=["path", "words", "own", "choices"], index=htmls.index)
+        return pd.DataFrame([parse(h)[1:] for h in htmls], columns=["words", "own", "choices"], index=htmls.index)
+
+    @F.pandas_udf("string")
+    def vote(htmls: pd.Series) -> pd.Series:
+        best = [best_container(blocks(h)) for h in htmls]
+        return pd.Series([b.path if b else None for b in best], index=htmls.index, dtype=object)
 
-    parsed = stored(rows.select("page_id", "url", host.alias("host"), read("html").alias("p")).select("page_id", "url", "host", "p.*"), "blocks")
-    won = host_paths(parsed.select("host", "path")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    parsed = rows.select("page_id", "url", host.alias("host"), read("html").alias("p")).select("page_id", "url", "host", "p.words", "p.own", "p.choices")
+    won = host_paths(rows.select(host.alias("host"), vote("html").alias("path"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "words"), F.lit(SALTS)).cast("int"))
     held = F.transform(F.coalesce("paths", F.array().cast("array<string>")), lambda p: F.get(F.filter("choices", lambda c: c["path"] == p), F.lit(0))["at"])
     at = F.coalesce(F.get(F.filter(held, lambda x: x.isNotNull()), F.lit(0)), F.col("own"))

@@ -127,4 +127,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:
+    """Every document's language; und where the text is null or has no letter."""
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

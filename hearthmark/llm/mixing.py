@@ -65,18 +65,18 @@ def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     rows is spread over BUCKETS groups.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source_key"), size.alias("size"), place_key(id_col).alias("place"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source_key"), F.coalesce(F.concat(F.lit("="), source_col), F.lit("")).alias("part"), size.alias("size"), place_key(id_col).alias("place"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     rows = rows.withColumn("bucket", F.conv(F.substring("place", 1, 2), 16, 10).cast("int"))
     rows = rows if keep else stored(rows, "sizes")
-    buckets = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
-    base = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = rows.groupBy("part", "bucket").agg(F.first("source_key").alias("source_key"), F.sum("size").alias("bucket_size"))
+    base = Window.partitionBy("part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = buckets.groupBy("source_key").agg(F.sum("bucket_size").alias("source_size")).withColumnRenamed("source_key", "source")
     plan = targets(sizes, **mix).withColumnRenamed("source", "plan_source")
     starts = buckets.withColumn("base", F.coalesce(F.sum("bucket_size").over(base), F.lit(0))).join(plan, F.col("source_key").eqNullSafe(F.col("plan_source")))
-    starts = starts.select(F.col("source_key").alias("start_source"), F.col("bucket").alias("start_bucket"), "base", "source_size", "rank", "target")
-    within = Window.partitionBy("source_key", "bucket").orderBy("place", F.col("doc_id").asc_nulls_first(), "size")
+    starts = starts.select("part", "bucket", "base", "source_size", "rank", "target")
+    within = Window.partitionBy("part", "bucket").orderBy("place", F.col("doc_id").asc_nulls_first(), "size")
     rows = rows.withColumn("upto", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = rows.join(starts, F.col("source_key").eqNullSafe(F.col("start_source")) & (F.col("bucket") == F.col("start_bucket")))
+    rows = rows.join(starts, ["part", "bucket"])  # keys without nulls, so that the window's partitioning serves the join
     before = F.col("base") + F.col("upto") - F.col("size")
     total = F.floor("target")
     rounds = F.when(F.col("source_size") > 0, F.floor(total / F.col("source_size"))).otherwise(0)
@@ -112,4 +112,5 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document and its first training position; null texts have size 0."""
     return mix_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -123,4 +123,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Data
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
+    """Every document's score; null texts count as empty, null labels are left out."""
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthmark.llm.common import components, partitions, stored
+from hearthmark.llm.common import components, drop, partitions, stored
 
 RADIUS, LARGE, FOREST = 2, 20_000, 50_000
 BITS = 64
@@ -189,7 +189,8 @@ def representatives(docs: DataFrame, **how) -> DataFrame:
 WIDTH, ALIKE = 5, 0.8  # the pipeline's settings: words a shingle, least Jaccard of the shingle sets
 REACH, TABLES, ROWS = 20, 20, 5  # bits: 9.7 expected at ALIKE, deviation 2.9; a pair at ALIKE misses all tables once in 2,900
 KEYS = np.random.default_rng(8).integers(0, 2**63, (TABLES, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-SKETCH = "fp long, n int, shards array<long>"
+ENOUGH = 62  # of the TABLES * ROWS least hashes: a pair at ALIKE agrees on 80, deviation 4, and falls short once in 100,000
+SKETCH = "fp long, n int, shards array<long>, least binary"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -210,8 +211,9 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
-def sketch(text: str | None) -> tuple[int, int, list[int]]:
-    """SimHash of the shingle set, the set's size and a key a table: of its ROWS least hashes under as many orders."""
+def sketch(text: str | None) -> tuple[int, int, list[int], bytes]:
+    """SimHash of the shingle set, the set's size, a key a table: of its ROWS least hashes under as many orders, and a byte
+    of each least hash."""
     s = shingle_set(text)
     sums, least = np.zeros(BITS, np.int64), np.full(KEYS.size, 2**64 - 1, np.uint64)
     for i in range(0, len(s), 2048):
@@ -222,13 +224,13 @@ def sketch(text: str | None) -> tuple[int, int, list[int]]:
     for column in least.reshape(TABLES, ROWS).T:
         keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + column)
     fp = np.packbits(2 * sums > len(s), bitorder="little").view("<u8")
-    return int(fp.view(np.int64)[0]), len(s), keys.view(np.int64).tolist()
+    return int(fp.view(np.int64)[0]), len(s), keys.view(np.int64).tolist(), mixed(least).astype(np.uint8).tobytes()
 
 
 def sketches(text: str) -> Column:
     @F.pandas_udf(SKETCH)
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sketch(t) for t in texts], columns=["fp", "n", "shards"])
+        return pd.DataFrame([sketch(t) for t in texts], columns=["fp", "n", "shards", "least"])
 
     return run(text)
 
@@ -246,13 +248,32 @@ def jaccard(a: str, b: str) -> Column:
     return run(a, b)
 
 
-def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts have a Jaccard of at least ALIKE, by their whole shingle sets."""
-    pairs = stored(pairs.distinct(), "candidates")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("tk")).distinct()
-    own = stored(texts.join(need, "tk", "left_semi").groupBy("tk").agg(F.min("text").alias("text")), "texts")
-    both = pairs.join(own.select(F.col("tk").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("tk").alias("b"), F.col("text").alias("tb")), "b")
-    return both.withColumn("j", jaccard("ta", "tb")).filter(F.col("j") >= ALIKE).select("a", "b")
+def agreeing(a: str, b: str) -> Column:
+    """How many least hashes of two texts agree."""
+
+    @F.pandas_udf("int")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        u, v = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, TABLES * ROWS) for s in (x, y))
+        return pd.Series((u == v).sum(axis=1), index=x.index)
+
+    return run(a, b)
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts have a Jaccard of at least ALIKE, by their whole shingle sets.
+
+    Pairs whose least hashes agree on fewer than ENOUGH places do not meet: only the others move texts.
+    """
+
+    def beside(table: DataFrame, by: str) -> DataFrame:
+        left = table.join(nodes.select(F.col("tk").alias("a"), F.col(by).alias("x")), "a")
+        return left.join(nodes.select(F.col("tk").alias("b"), F.col(by).alias("y")), "b")
+
+    near = beside(pairs.distinct(), "least").filter(agreeing("x", "y") >= ENOUGH).select("a", "b")
+    near = stored(near, "candidates")
+    need = near.select(F.explode(F.array("a", "b")).alias("tk")).distinct()
+    nodes = stored(texts.join(need, "tk", "left_semi").groupBy("tk").agg(F.min("text").alias("text")), "texts")
+    return beside(near, "text").withColumn("j", jaccard("x", "y")).filter(F.col("j") >= ALIKE).select("a", "b")
 
 
 def near_representatives(docs: DataFrame) -> DataFrame:
@@ -262,27 +283,33 @@ def near_representatives(docs: DataFrame) -> DataFrame:
     would send every pair to some shard; a shard here is of fingerprints whose texts share their least shingles. Candidates are
     held against ALIKE in full before they link. First each meets the least of its shard; then all pairs of a shard that this
     left apart meet, so a large group of copies costs its size and no link among the candidates is lost."""
-    whole = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
-    ids = stored(whole.select("doc_id", "tk", sketches("text").alias("s")).select("doc_id", "tk", "s.*"), "sketches")
-    nodes = ids.groupBy("tk").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("shards").alias("shards"))
+    n = partitions(docs.sparkSession)
+    # the documents move once, by their text's key; what later needs texts or rows by that key finds them in place
+    keyed = docs.select(F.xxhash64("text").alias("tk"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
+    rows = stored(keyed.repartition(n, "tk"), "rows", bucket_by="tk")
+    ids = stored(rows.select("tk", "doc.doc_id", sketches("doc.text").alias("s")).select("doc_id", "tk", "s.*"), "sketches")
+    nodes = stored(ids.groupBy("tk").agg(F.min(F.struct("fp", "n", "shards", "least")).alias("s")).select("tk", "s.*"), "nodes")
     held = Window.partitionBy("key")
     shards = nodes.select("tk", "fp", "n", F.explode("shards").alias("key")).withColumns({"lead": F.min(F.struct("tk", "fp", "n")).over(held), "held": F.count("*").over(held)})
     shards = stored(shards.filter("held > 1").select("key", "tk", "fp", "n", "lead"), "shards")
     near = lambda a, b: (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= REACH) & (F.least(f"{a}.n", f"{b}.n") >= ALIKE * F.greatest(f"{a}.n", f"{b}.n"))
-    texts = whole.select("tk", "text")
+    texts = rows.select("tk", F.col("doc.text").alias("text"))
     first = shards.alias("x").filter(F.col("x.tk") != F.col("x.lead.tk")).filter(near("x", "x.lead")).select(F.col("x.lead.tk").alias("a"), F.col("x.tk").alias("b"))
-    links = stored(alike(first, texts), "alike")
+    links = stored(alike(first, nodes, texts), "alike")
     roots = components(links).withColumnRenamed("node", "tk")
     rooted = shards.join(roots, "tk", "left").withColumn("root", F.coalesce("root", "tk"))
     split = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
     apart = stored(rooted.join(split, "key").select("key", "tk", "fp", "n", "root"), "apart")
     rest = apart.alias("x").join(apart.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & near("x", "y")).select(F.least("x.tk", "y.tk").alias("a"), F.greatest("x.tk", "y.tk").alias("b"))
-    links = links.unionByName(alike(rest.join(first, ["a", "b"], "left_anti"), texts))
-    named = ids.select("doc_id", "tk").join(components(links).withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
+    more = stored(alike(rest.join(first, ["a", "b"], "left_anti"), nodes, texts), "alike")
+    named = ids.select("doc_id", "tk").join(components(links.unionByName(more)).withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
     kept = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tk"))).alias("k")).select(F.col("k.tk").alias("tk"), F.col("k.doc_id").alias("kept_id"))
-    best = whole.join(kept, "tk").filter(F.col("doc_id").eqNullSafe(F.col("kept_id"))).groupBy("tk").agg(F.min("doc").alias("doc"))
+    kept = stored(kept, "kept")
+    drop(ids, nodes, shards, links, apart, more)
+    best = rows.join(kept, "tk").filter(F.col("doc.doc_id").eqNullSafe(F.col("kept_id"))).groupBy("tk").agg(F.min("doc").alias("doc"))
     return best.select("doc.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest id of its component; null and blank texts have fingerprint zero."""
     return cluster(spark.read.parquet(f"{sf_dir}/documents.parquet"))

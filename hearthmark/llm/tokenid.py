@@ -9,7 +9,6 @@ document's offsets by select on those lists, which take about two bits and log2(
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.taskcontext import TaskContext
 from tokenizers import Tokenizer
 
 from hearthmark.llm.bpe import gather, numbered, text_blocks
-from hearthmark.llm.common import partitions, shared_dir
+from hearthmark.llm.common import new_path, partitions
 
 END, BLOCK_BYTES, SELECT_EVERY = 0, 8_000_000, 64
 KEPT = 500_000  # pre-tokens whose ids a worker keeps before it starts anew
@@ -139,6 +138,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str =
             lists = [vars(EliasFano.of(v)) for v in (ends, own - own[0] if len(own) else own)]
             yield pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "start": start, "total": len(ids), "width": ids.itemsize, "ids": ids.tobytes(), "no_id": keys.null_count, "first": int(own[0]) if len(own) else 0, "ends": lists[0], "keys": lists[1]}], FIELDS)
             start += len(ids)
+            pa.default_memory_pool().release_unused()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     order = [F.col("id").asc_nulls_first(), F.col("hash").asc()]
@@ -177,6 +177,6 @@ def op5_token_ids(spark, sf_dir: str) -> DataFrame:
     """Start, length and checksum of every document's ids, read back from the file; null texts hold the end id alone."""
     import public_tokenizers
 
-    path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    path = new_path(spark, "token-ids")
     write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

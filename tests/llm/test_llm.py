@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -134,6 +135,118 @@ def test_html_keeps_article_text_outside_the_largest_container(spark):
     assert {r["page_id"]: r["text"] for r in html.main_text(rows).collect()}[0] == "Short.\n\nA much longer story stands here."
 
 
+def test_html_leaves_out_by_whole_names_and_evidence():
+    cases = {
+        '<div class="content has-sidebar"><article><h1>T</h1><p>Body text</p></article></div>': "T\n\nBody text",
+        "<body><form action=x><p>Long body text here.</p><p>More</p></form></body>": "Long body text here.\n\nMore",
+        '<main><section class="social-science"><p>Text one</p></section></main>': "Text one",
+        '<article><div class="entry-header"><h1>Title</h1></div><p>Body</p></article>': "Title\n\nBody",
+        '<main><p>hi</p></main><div class="comments-area"><article><p>nasty</p></article></div>': "hi",
+        '<article class="comment"><p>bad</p></article><p>story</p>': "story",
+        '<div class="site-header"><p>x</p></div><p>story</p>': "story",
+        "<div><p>story text</p><form><p>name</p></form></div>": "story text",
+        '<div class="related-posts"><article>tease</article></div><article>story</article>': "story",
+        "<p>unclosed <b>text <script>zzz": "unclosed text",
+        "<p>a &lt;b&gt; &amp; c&nbsp;d<!-- <p>no": "a <b> & c d",
+    }
+    for page, text in cases.items():
+        assert html.extract(page)[0] == text, page
+    deep = html.extract("<div>" * 20_000 + "end" + "<p>x" * 2000)[0]
+    assert deep == "\n\n".join(["end", *["x"] * 2000])
+    assert len(html.extract("<p>" + "word " * 400_000)[0]) == 5 * 400_000 - 1
+
+
+def test_html_reads_clashing_columns_repeated_rows_and_null_ids(spark):
+    page = "<body><article><p>Story.</p></article></body>"
+    rows = spark.createDataFrame([(k, "http://h.com/a", page, "host", 1, "p") for k in (1, 1, None, 2)], "page_id long, url string, html string, host string, salt int, words string")
+    got = html.main_text(rows).collect()
+    assert sorted(map(str, (r["page_id"] for r in got))) == ["1", "1", "2", "None"] and {(r["text"], r["n_chars"]) for r in got} == {("Story.", 6)}
+
+
+def test_likeness_is_near_the_share_of_common_windows():
+    words = [f"word{i}" for i in range(2000)]
+    text = lambda w: "\n".join(" ".join(w[i : i + 20]) for i in range(0, len(w), 20))
+    windows = lambda t: Counter(p[i : i + 16] for p in fingerprint.paragraphs(t) for i in range(max(1, len(p) - 15)))
+    a = text(words)
+    for k in (0, 200, 700, 1400, 2000):
+        b = text([f"other{i}" for i in range(k)] + words[k:])
+        x, y = windows(a), windows(b)
+        both = sum((c - y[w]) ** 2 for w, c in x.items()) + sum(c * c for w, c in y.items() if w not in x)
+        exact = 1 - both / (sum(c * c for c in x.values()) + sum(c * c for c in y.values()))
+        assert abs(fingerprint.likeness(fingerprint.vector(a), fingerprint.vector(b)) - exact) < 0.25
+    line = "the same line again " * 2
+    many = fingerprint.likeness(fingerprint.vector("\n".join([line] * 70_000)), fingerprint.vector("\n".join([line] * 60_000)))
+    assert 0.95 < many < 1  # far more windows of a kind than two bytes hold
+
+
+def test_quality_scores_equal_a_dense_discriminant(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = {r["doc_id"]: quality.statistics(r["text"]) for r in docs.collect()}
+    learn = [i for i in rows if i in marks and zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([rows[i] for i in learn]), np.array([marks[i] for i in learn])
+    spread = sum(((x[y == k] - x[y == k].mean(axis=0)) ** 2).sum(axis=0) for k in (0, 1)) / len(y)
+    logs = []
+    for k in (0, 1):
+        own = x[y == k]
+        low = min(1.0, quality.SHRINK + x.shape[1] / (x.shape[1] + len(own)))
+        cov = (1 - low) * np.cov(own.T, bias=True) + low * np.diag(np.maximum(spread, 1e-4))
+        away = np.array([*rows.values()]) - own.mean(axis=0)
+        logs.append(np.log((len(own) + 1) / (len(y) + 2)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (away @ np.linalg.inv(cov) * away).sum(axis=1))
+    want = dict(zip(rows, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700))), strict=True))
+    got = {r["doc_id"]: r["score"] for r in queries.op4_quality(spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in got)
+
+
+def test_languages_equal_direct_cosines(spark):
+    docs = [(r["doc_id"], r["lang"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2, (language.SYMBOLS, language.WIDTH)) * 2 - 1
+
+    def profile(text):
+        codes = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        out = np.zeros(language.WIDTH)
+        row = " " + " ".join(codes) + " "
+        number = lambda c: 0 if c == " " else ord(c) if ord(c) < 0x250 else 0x250 + ord(c) % (language.SYMBOLS - 0x250)
+        for a, b, c in zip(row, row[1:], row[2:], strict=False):
+            out += np.roll(base[number(a)], 2) * np.roll(base[number(b)], 1) * base[number(c)]
+        return out / (np.linalg.norm(out) or 1)
+
+    own = {i: profile(t) for i, _, t in docs if any(map(str.isalpha, t or ""))}
+    sums = {}
+    for i, lang, _ in docs:
+        if i in own and lang is not None and zlib.crc32(str(i).encode()) % 5:
+            sums[lang] = sums.get(lang, 0) + own[i]
+    protos = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    mean = np.mean([*protos.values()], axis=0)
+    got = {r["doc_id"]: r["lang_pred"] for r in queries.op9_language(spark, SF).collect()}
+    for i, _, _ in docs:
+        cos = {k: (own[i] - mean) @ (v - mean) / np.linalg.norm(v - mean) / np.linalg.norm(own[i] - mean) for k, v in protos.items()} if i in own else {}
+        best = sorted(cos.values())[-2:]
+        assert got[i] == (max(cos, key=cos.get) if cos else "und") or best[1] - best[0] < 1e-3
+
+
+def test_preferences_with_clashing_columns_repeated_rows_and_long_texts(spark):
+    long = "x" * 300_000
+    rows = spark.createDataFrame([(0, 0, "user", long, "p"), (0, 1, "assistant", "yo", "c"), (0, 1, "assistant", "yo", "c"), (1, 0, "user", "hi", "r"), (1, 1, "assistant", "no", "last")], "conv_id long, turn long, role string, text string, last string")
+    got = {r["conv_id"]: r for r in chat.preferences(chat.swapped_pairs(chat.conversations(rows)).withColumn("p", F.lit(7))).collect()}
+    assert got[0]["p"] == 7 and got[0]["prefix_turns"] == 2 and got[0]["prompt"].count("<|assistant|>") == 1 and len(got[0]["prompt"]) > 300_000
+    assert got[0]["chosen"] == "<|assistant|>\nyo\n<|end|>\n" and got[0]["rejected"] == "<|assistant|>\nno\n<|end|>\n"
+
+
+def test_stored_tables_can_be_released(spark):
+    from hearthmark.llm import common
+
+    table = common.stored(spark.range(5), "five")
+    assert table.count() == 5
+    common.drop(table)
+    kept = common.stored(spark.range(5).withColumn("k", F.col("id") % 2), "kept", bucket_by="k")
+    assert kept.groupBy("k").count().count() == 2
+    common.release(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("stored_")]
+
+
 def test_mixing(spark, docs, none):
     assert mixing.mix_report(none).count() == 0
     got = mixing.mix_report(docs).collect()
@@ -253,15 +366,14 @@ def test_pipeline_drops_near_copies_and_keeps_what_is_less_alike(spark):
 
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = docs
-    for name, stage in corpus_pipeline.STAGES[:3]:
-        rows = stage(spark, rows, SF)
-        assert rows.columns == docs.columns, name
     out = corpus_pipeline.run(spark, SF).collect()
     e, texts = tik(), {r["doc_id"]: r["text"] for r in docs.collect()}
     assert out and all(r["ids_sha256"] == hashlib.sha256(" ".join(map(str, e.encode_ordinary(texts[r["doc_id"]]))).encode()).hexdigest() for r in out)
-    kept = {r["doc_id"] for r in rows.collect()}
-    assert {r["doc_id"] for r in out} <= kept
+    assert {r["doc_id"] for r in out} < {r["doc_id"] for r in docs.collect()}
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs.limit(0), SF).count() == 0
+    odd = spark.createDataFrame([(1, None), (1, ""), (None, "a b")], "doc_id long, text string")
+    assert sorted(str((r["doc_id"], r["n_tokens"])) for r in last(spark, odd, SF).collect()) == ["(1, 0)", "(1, 0)", "(None, 2)"]
 
 
 def odd_texts():
