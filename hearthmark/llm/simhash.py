@@ -8,6 +8,7 @@ bits, which is as exact. The trees are not broadcast: fingerprints grow with the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -236,8 +237,10 @@ def sketches(text: str) -> Column:
 
 
 def jaccard(a: str, b: str) -> Column:
+    known = lru_cache(256)(shingle_set)  # the first of a group meets many others
+
     def of(x: str | None, y: str | None) -> float:
-        x, y = shingle_set(x), shingle_set(y)
+        x, y = known(x), known(y)
         both = len(np.intersect1d(x, y, assume_unique=True))
         return both / (len(x) + len(y) - both)
 
