@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthmark.functions.columns import INDEX_LAG_DAYS, LAG_DAYS, asof_date, clamp, month_idx, visible
+from hearthmark.functions.columns import INDEX_LAG_DAYS, LAG_DAYS, asof_date, clamp, month_idx, quarter_idx, visible
 
 SUBJECT = ["id", "project", "street", "property_type", "market_segment", "district", "contract_month", "area_sqft", "price", "tenure_type", "lease_start", "floor_lo", "floor_hi", "x", "y"]
 
@@ -15,6 +15,26 @@ def hygiene(rows: DataFrame, low: float = 500.0, high: float = 6500.0) -> DataFr
     return rows.filter((F.col("no_of_units") <= 1) & F.col("psf").between(low, high))
 
 
+# fixed values: the strata types of the condo universe, and the land types by exact and by partial name
+CONDO_TYPES, LANDED_TYPES, LANDED_WORDS = ("Condominium", "Apartment"), ("Terrace", "Semi-detached", "Detached"), ("terrace", "semi-detached", "detached", "bungalow")
+
+
+def universe(rows: DataFrame, name: str, condo: tuple[str, ...] = CONDO_TYPES, landed: tuple[str, ...] = LANDED_TYPES, words: tuple[str, ...] = LANDED_WORDS) -> DataFrame:
+    """The rows of a universe: condo (its types, never on land), landed (on land, or a type that holds a landed word),
+    pure_landed (on land and a landed type by exact name), strata_landed (landed but not on land). A null type or kind of
+    area belongs to none that asks for it."""
+    land, kind = F.coalesce(F.col("type_of_area") == "Land", F.lit(False)), F.coalesce(F.col("property_type"), F.lit(""))
+    held = F.lower(kind).rlike("|".join(words))
+    rule = {"condo": kind.isin(*condo) & ~land, "landed": land | held, "pure_landed": land & kind.isin(*landed), "strata_landed": held & ~land}
+    return rows.filter(rule[name])
+
+
+def hash_sample(rows: DataFrame, n: int, seed: int = 7, id_col: str = "id") -> DataFrame:
+    """At most n rows in a fixed pseudo-random order of their ids: the same for every run and partitioning."""
+    place = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
+    return rows.orderBy(place, id_col).limit(n)
+
+
 def subjects(rows: DataFrame, sale_type: str = "F", from_month: str = "1997-01-01") -> DataFrame:
     """The sales to be valued, with their valuation date; columns carry the prefix s_."""
     chosen = rows.filter((F.col("type_of_sale") == sale_type) & (F.col("contract_month") >= F.lit(from_month).cast("date")))
@@ -43,18 +63,24 @@ def asof_quarters(rows: DataFrame, index: DataFrame, lag: int = INDEX_LAG_DAYS)
     return dates.join(F.broadcast(index.select("q")), F.date_add(end, lag) <= F.col("as_of")).groupBy("as_of").agg(F.max("q").alias("asof_q"))
 
 
-def index_levels(index: DataFrame) -> DataFrame:
-    """(q, level) for every quarter of the span: a missing one takes the latest earlier value. A few dozen rows."""
-    span = index.agg(F.explode(F.sequence(F.min("q"), F.max("q"))).alias("q"))
+def index_levels(index: DataFrame, beyond: int = 0) -> DataFrame:
+    """(q, level) for every quarter of the span and some beyond: a missing one takes the latest earlier value. A few hundred rows."""
+    span = index.agg(F.explode(F.sequence(F.min("q"), F.max("q") + beyond)).alias("q"))
     back = Window.partitionBy(F.lit(0)).orderBy("q").rowsBetween(Window.unboundedPreceding, 0)
     return span.join(index, "q", "left").select("q", F.last("value", ignorenulls=True).over(back).alias("level"))
 
 
-def time_factor(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Adds tf, the index ratio from a comparable's quarter to the as-of quarter; 1 where either is missing."""
-    levels = index_levels(index)
-    to = asof_quarters(rows, index).join(levels, F.col("asof_q") == levels["q"], "left").select("as_of", F.col("level").alias("to_level"))
-    out = rows.join(F.broadcast(to), "as_of", "left").join(F.broadcast(levels.withColumnRenamed("level", "from_level")), "q", "left")
+def time_factor(rows: DataFrame, index: DataFrame, lag: int = INDEX_LAG_DAYS, beyond: int = 400) -> DataFrame:
+    """Adds tf, the index ratio from a comparable's quarter to the as-of quarter; 1 where either is missing.
+
+    The as-of quarter is the last that ended lag days before the date, by calendar alone: rows are read once, and quarters
+    after the index's last one, up to a century, take its level.
+    """
+    levels = index_levels(index, beyond)
+    to = levels.select(F.col("q").alias("_q"), F.col("level").alias("to_level"))
+    ended = quarter_idx(F.date_add(F.col("as_of"), 1 - lag)) - 1
+    out = rows.withColumn("_q", ended).join(F.broadcast(to), "_q", "left").drop("_q")
+    out = out.join(F.broadcast(index_levels(index).withColumnRenamed("level", "from_level")), "q", "left")
     return out.withColumn("tf", F.coalesce(F.when(F.col("from_level") != 0, F.col("to_level") / F.col("from_level")), F.lit(1.0))).drop("to_level", "from_level")
 
 

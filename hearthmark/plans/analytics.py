@@ -157,7 +157,7 @@ query("value_flag", "WITH b AS (SELECT p_brand, quantile_cont(p_retailprice, 0.2
 BSD = lambda p: " + ".join(f"greatest(0.0, {f'least({p}, {hi})' if hi else p} - {lo}) * {r}" for lo, hi, r in C.BSD_TIERS)
 query("bsd", f"SELECT o_orderkey, {BSD('(o_totalprice * 10)')} AS duty FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", C.bsd(F.col("o_totalprice") * 10).alias("duty")))
 PROFILE = "CASE c_custkey % 6 WHEN 0 THEN 'SC' WHEN 1 THEN 'PR' WHEN 2 THEN 'FOREIGNER' WHEN 3 THEN 'ENTITY' WHEN 4 THEN 'TRUSTEE' ELSE 'OTHER' END"
-query("absd", f"SELECT c_custkey, {PROFILE} AS profile, CASE {PROFILE} " + " ".join(f"WHEN '{k}' THEN CASE least(greatest(c_nationkey % 5, 1), 3) WHEN 1 THEN {a} WHEN 2 THEN {b} ELSE {c} END" for k, (a, b, c) in C.ABSD_RATES.items()) + " END AS rate FROM customer")(
+query("absd", f"SELECT c_custkey, {PROFILE} AS profile, CASE {PROFILE} " + " ".join(f"WHEN '{k}' THEN CASE least(greatest(c_nationkey % 5, 1), 3) WHEN 1 THEN CAST({a} AS DOUBLE) WHEN 2 THEN CAST({b} AS DOUBLE) ELSE CAST({c} AS DOUBLE) END" for k, (a, b, c) in C.ABSD_RATES.items()) + " END AS rate FROM customer")(
     lambda s, d: table(s, d, "customer").withColumn("profile", F.get(F.array(*map(F.lit, ["SC", "PR", "FOREIGNER", "ENTITY", "TRUSTEE", "OTHER"])), (F.col("c_custkey") % 6).cast("int"))).select("c_custkey", "profile", C.absd_rate("profile", F.col("c_nationkey") % 5).alias("rate"))
 )
 query("ssd", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice * CASE WHEN l_quantity / 10 <= 1 THEN 0.16 WHEN l_quantity / 10 <= 2 THEN 0.12 WHEN l_quantity / 10 <= 3 THEN 0.08 WHEN l_quantity / 10 <= 4 THEN 0.04 ELSE 0 END AS duty FROM lineitem")(lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_extendedprice") * C.ssd_rate(F.col("l_quantity") / 10)).alias("duty")))

@@ -200,3 +200,20 @@ query("la1_ladder", LA1)(lambda spark, d: E.la1_ladder(*inputs(spark, d)))
 query("lv1_point", f"WITH f1 AS ({ORACLES['lc2_curve']}), f2 AS ({LA1}) SELECT * REPLACE ('LV1' AS method), false AS fallback FROM f1 UNION ALL SELECT * REPLACE ('LV1' AS method), true AS fallback FROM f2 WHERE s_id NOT IN (SELECT s_id FROM f1)")(
     lambda spark, d: (lambda i: E.otherwise(E.lc2_curve(*i), E.la1_ladder(*i), "LV1"))(inputs(spark, d))
 )
+
+# these tables name six types by material; the lowest two floors stand for land
+KINDS = {"condo": ("ECONOMY", "STANDARD"), "landed": ("PROMO", "SMALL"), "words": ("promo", "small")}
+
+
+def universes(spark, d):
+    rows = caveats(spark, d).withColumn("type_of_area", F.when(F.col("floor_lo") <= 2, "Land").otherwise("Strata"))
+    parts = [A.universe(rows, n, **KINDS).select("id", F.lit(n).alias("universe")) for n in ("condo", "landed", "pure_landed", "strata_landed")]
+    return parts
+
+
+_AREA = f"WITH {CAVEATS_SQL}, k AS (SELECT id, property_type AS t, floor_lo <= 2 AS land FROM caveats)"
+_HELD = "regexp_matches(lower(t), 'promo|small')"
+query("universe_condo", f"{_AREA} SELECT id, 'condo' AS universe FROM k WHERE t IN ('ECONOMY', 'STANDARD') AND NOT land")(lambda spark, d: universes(spark, d)[0])
+query("universe_landed", f"""{_AREA} SELECT id, 'landed' AS universe FROM k WHERE land OR {_HELD} UNION ALL SELECT id, 'pure_landed' FROM k WHERE land AND t IN ('PROMO', 'SMALL')
+UNION ALL SELECT id, 'strata_landed' FROM k WHERE NOT land AND {_HELD}""")(lambda spark, d: (lambda p: p[1].unionByName(p[2]).unionByName(p[3]))(universes(spark, d)))
+query("hash_sample", f"{BASE} SELECT id AS s_id FROM subj ORDER BY md5('7:' || id), id LIMIT 500")(lambda spark, d: A.hash_sample(inputs(spark, d)[0], 500, id_col="s_id").select("s_id"))

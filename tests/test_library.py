@@ -124,3 +124,11 @@ def test_upsert_statuses(spark):
 def test_transactions_are_unique(spark):
     rows = caveats(spark, SF)
     assert rows.select("id").distinct().count() == rows.count()
+
+
+def test_universes_and_seeded_sample(spark):
+    rows = spark.createDataFrame([("pure", "Terrace", "Land"), ("strata", "Strata Terrace", "Strata"), ("stray", "Apartment", "Land"), ("condo", "Condominium", "Strata"), ("ec", "Executive Condominium", "Strata"), ("none", None, None)], "id string, property_type string, type_of_area string")
+    got = {n: {r["id"] for r in A.universe(rows, n).collect()} for n in ("condo", "landed", "pure_landed", "strata_landed")}
+    assert got == {"condo": {"condo"}, "landed": {"pure", "strata", "stray"}, "pure_landed": {"pure"}, "strata_landed": {"strata"}}
+    some = A.hash_sample(rows, 3).collect()
+    assert len(some) == 3 and some == A.hash_sample(rows.repartition(4), 3).collect() and A.hash_sample(rows.limit(0), 3).count() == 0
