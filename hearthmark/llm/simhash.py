@@ -237,16 +237,16 @@ def sketches(text: str) -> Column:
 
 
 def jaccard(a: str, b: str) -> Column:
-    known = lru_cache(256)(shingle_set)  # the first of a group meets many others
-
-    def of(x: str | None, y: str | None) -> float:
-        x, y = known(x), known(y)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return both / (len(x) + len(y) - both)
+    """The Jaccard of two texts' shingle sets; a text that meets many others in a batch is cut once."""
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([of(*t) for t in zip(x, y, strict=True)], dtype=float)
+        known = lru_cache(256)(shingle_set)
+        out = []
+        for u, v in ((known(s), known(t)) for s, t in zip(x, y, strict=True)):
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            out.append(both / (len(u) + len(v) - both))
+        return pd.Series(out, index=x.index, dtype=float)
 
     return run(a, b)
 
