@@ -183,7 +183,7 @@ def block_rows(pattern: str, block_bytes: int, buckets: int):
         raw = b"".join(dealt.to_pylist())
         cuts = np.flatnonzero(np.diff(share[by], prepend=-1))
         lists = []
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(names)], strict=True):
+        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(names)).tolist()[: len(cuts)], strict=True):
             lists.append({"bucket": int(share[by[a]]), "n": b - a, "words": pack(sizes[a:b].tobytes() + raw[at[a] : at[b]])})
         row = {"block": (TaskContext.get().partitionId() << 32) + number, "ids": pc.fill_null(ids, 0).to_numpy().astype("<i8").tobytes(), "nulls": ids.is_null().to_numpy(zero_copy_only=False).tobytes(), "counts": counts.astype("<i8").tobytes(), "slots": planes(slot_of[order]), "shares": planes(share), "buckets": lists}
         return pa.RecordBatch.from_pylist([row], BLOCK_FIELDS)
