@@ -190,7 +190,10 @@ def representatives(docs: DataFrame, **how) -> DataFrame:
 WIDTH, ALIKE = 5, 0.8  # the pipeline's settings: words a shingle, least Jaccard of the shingle sets
 REACH, TABLES, ROWS = 20, 20, 5  # bits: 9.7 expected at ALIKE, deviation 2.9; a pair at ALIKE misses all tables once in 2,900
 KEYS = np.random.default_rng(8).integers(0, 2**63, (TABLES, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+TURNS = 2  # rounds in which a shard's members meet one lead
 ENOUGH = 62  # of the TABLES * ROWS least hashes: a pair at ALIKE agrees on 80, deviation 4, and falls short once in 100,000
+FINER = np.random.default_rng(9).integers(0, 2**63, 400, np.uint64) * np.uint64(2) + np.uint64(1)
+MOST = 286  # of the least hashes in FINER orders: 320 expected at ALIKE, deviation 8, the same chance to fall short
 SKETCH = "fp long, n int, shards array<long>, least binary"
 
 
@@ -228,6 +231,22 @@ def sketch(text: str | None) -> tuple[int, int, list[int], bytes]:
     return int(fp.view(np.int64)[0]), len(s), keys.view(np.int64).tolist(), mixed(least).astype(np.uint8).tobytes()
 
 
+def finer(text: str) -> Column:
+    """A byte of each least hash of a text's shingles under the FINER orders."""
+
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for s in map(shingle_set, texts):
+            least = np.full(FINER.size, 2**64 - 1, np.uint64)
+            for i in range(0, len(s), 2048):
+                least = np.minimum(least, (FINER.reshape(-1, 1) * s[i : i + 2048]).min(axis=1))
+            out.append(mixed(least).astype(np.uint8).tobytes())
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    return run(text)
+
+
 def sketches(text: str) -> Column:
     @F.pandas_udf(SKETCH)
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -256,27 +275,35 @@ def agreeing(a: str, b: str) -> Column:
 
     @F.pandas_udf("int")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        u, v = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, TABLES * ROWS) for s in (x, y))
+        u, v = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1 if len(s) else 1) for s in (x, y))
         return pd.Series((u == v).sum(axis=1), index=x.index)
 
     return run(a, b)
 
 
-def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts have a Jaccard of at least ALIKE, by their whole shingle sets.
+def beside(pairs: DataFrame, table: DataFrame, by: str) -> DataFrame:
+    """The pairs (a, b) with a column of their texts as x and y."""
+    left = pairs.join(table.select(F.col("tk").alias("a"), F.col(by).alias("x")), "a")
+    return left.join(table.select(F.col("tk").alias("b"), F.col(by).alias("y")), "b")
 
-    Pairs whose least hashes agree on fewer than ENOUGH places do not meet: only the others move texts.
-    """
 
-    def beside(table: DataFrame, by: str) -> DataFrame:
-        left = table.join(nodes.select(F.col("tk").alias("a"), F.col(by).alias("x")), "a")
-        return left.join(nodes.select(F.col("tk").alias("b"), F.col(by).alias("y")), "b")
+def candidates(pairs: DataFrame, nodes: DataFrame, tested: DataFrame | None, enough: int = ENOUGH) -> DataFrame:
+    """The pairs (a, b) not yet tested whose least hashes agree on enough places: only these move texts."""
+    pairs = pairs.distinct()
+    pairs = pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs
+    return stored(beside(pairs, nodes, "least").filter(agreeing("x", "y") >= enough).select("a", "b"), "candidates")
 
-    near = beside(pairs.distinct(), "least").filter(agreeing("x", "y") >= ENOUGH).select("a", "b")
-    near = stored(near, "candidates")
-    need = near.select(F.explode(F.array("a", "b")).alias("tk")).distinct()
-    nodes = stored(texts.join(need, "tk", "left_semi").groupBy("tk").agg(F.min("text").alias("text")), "texts")
-    return beside(near, "text").withColumn("j", jaccard("x", "y")).filter(F.col("j") >= ALIKE).select("a", "b")
+
+def alike(near: DataFrame, texts: DataFrame) -> DataFrame:
+    """The candidate pairs (a, b) whose texts have a Jaccard of at least ALIKE, by their whole shingle sets."""
+    need = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "tk")
+    held = stored(texts.join(need, "tk", "left_semi"), "texts")
+    return stored(beside(near, held, "text").withColumn("j", jaccard("x", "y")).filter(F.col("j") >= ALIKE).select("a", "b"), "alike")
+
+
+def close(a, b) -> Column:
+    """Whether two members (tk, fp, n) may be ALIKE by their fingerprints and sizes."""
+    return (F.bit_count(a("fp").bitwiseXOR(b("fp"))) <= REACH) & (F.least(a("n"), b("n")) >= ALIKE * F.greatest(a("n"), b("n")))
 
 
 def near_representatives(docs: DataFrame) -> DataFrame:
@@ -284,33 +311,51 @@ def near_representatives(docs: DataFrame) -> DataFrame:
 
     Fingerprints within REACH bits are looked for in shards. Bands of the bits are of no use so far out, as 21 bands of three bits
     would send every pair to some shard; a shard here is of fingerprints whose texts share their least shingles. Candidates are
-    held against ALIKE in full before they link. First each meets the least of its shard; then all pairs of a shard that this
-    left apart meet, so a large group of copies costs its size and no link among the candidates is lost."""
-    n = partitions(docs.sparkSession)
-    # the documents move once, by their text's key; what later needs texts or rows by that key finds them in place
+    held against ALIKE in full before they link. In each of TURNS rounds every member of a shard meets one lead, drawn anew, unless
+    both are linked already; then the pairs of a shard that this left apart meet, by finer sketches first. So what is alike costs a
+    few times its number. What is a little less alike than ALIKE costs pairs: nothing short of a comparison shows that it has
+    no link. Exact copies are one text from the start: the first aggregation leaves
+    one a task, so that they meet in no task as a group."""
+
+    def members(name: str):
+        return lambda c: F.col(f"{name}.{c}")
+
+    pair = lambda a, b: [F.least(a("tk"), b("tk")).alias("a"), F.greatest(a("tk"), b("tk")).alias("b")]
     keyed = docs.select(F.xxhash64("text").alias("tk"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
-    rows = stored(keyed.repartition(n, "tk"), "rows", bucket_by="tk")
-    ids = stored(rows.select("tk", "doc.doc_id", sketches("doc.text").alias("s")).select("doc_id", "tk", "s.*"), "sketches")
-    nodes = stored(ids.groupBy("tk").agg(F.min(F.struct("fp", "n", "shards", "least")).alias("s")).select("tk", "s.*"), "nodes")
-    held = Window.partitionBy("key")
-    shards = nodes.select("tk", "fp", "n", F.explode("shards").alias("key")).withColumns({"lead": F.min(F.struct("tk", "fp", "n")).over(held), "held": F.count("*").over(held)})
-    shards = stored(shards.filter("held > 1").select("key", "tk", "fp", "n", "lead"), "shards")
-    near = lambda a, b: (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= REACH) & (F.least(f"{a}.n", f"{b}.n") >= ALIKE * F.greatest(f"{a}.n", f"{b}.n"))
+    one = keyed.groupBy("tk").agg(F.min(F.struct(F.col("doc.doc_id").isNull(), F.col("doc.doc_id"), "doc")).alias("k"))
+    # the documents move once, by their text's key; what later needs texts or rows by that key finds them in place
+    rows = stored(one.select("tk", "k.doc"), "rows", bucket_by="tk")
     texts = rows.select("tk", F.col("doc.text").alias("text"))
-    first = shards.alias("x").filter(F.col("x.tk") != F.col("x.lead.tk")).filter(near("x", "x.lead")).select(F.col("x.lead.tk").alias("a"), F.col("x.tk").alias("b"))
-    links = stored(alike(first, nodes, texts), "alike")
-    roots = components(links).withColumnRenamed("node", "tk")
-    rooted = shards.join(roots, "tk", "left").withColumn("root", F.coalesce("root", "tk"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    apart = stored(rooted.join(split, "key").select("key", "tk", "fp", "n", "root"), "apart")
-    rest = apart.alias("x").join(apart.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & near("x", "y")).select(F.least("x.tk", "y.tk").alias("a"), F.greatest("x.tk", "y.tk").alias("b"))
-    more = stored(alike(rest.join(first, ["a", "b"], "left_anti"), nodes, texts), "alike")
-    named = ids.select("doc_id", "tk").join(components(links.unionByName(more)).withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
-    kept = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tk"))).alias("k")).select(F.col("k.tk").alias("tk"), F.col("k.doc_id").alias("kept_id"))
+    nodes = stored(rows.select("tk", "doc.doc_id", sketches("doc.text").alias("s")).select("tk", "doc_id", "s.*"), "nodes")
+    shards = nodes.select("tk", "fp", "n", F.explode("shards").alias("key"))
+    many = shards.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1").select("key")
+    apart = stored(shards.join(many, "key").select("key", "tk", "fp", "n", F.col("tk").alias("root")), "apart")
+    links = tested = roots = None
+    x, y = members("x"), members("y")
+    for turn in range(TURNS + 1):
+        if turn < TURNS:
+            lead = apart.groupBy("key").agg(F.min_by(F.struct("tk", "fp", "n", "root"), F.xxhash64("tk", F.lit(turn))).alias("y"))
+            met = apart.alias("x").join(lead, "key").filter((x("root") != y("root")) & close(x, y))
+        else:
+            met = apart.alias("x").join(apart.alias("y"), (x("key") == y("key")) & (x("root") < y("root")) & close(x, y))
+        if turn < TURNS:
+            near = candidates(met.select(*pair(x, y)), nodes, tested)
+        else:
+            fine = stored(texts.join(apart.select("tk").distinct(), "tk", "left_semi").select("tk", finer("text").alias("least")), "finer")
+            near = candidates(met.select(*pair(x, y)), fine, tested, MOST)
+        found = alike(near, texts)
+        links, tested = (found, near) if turn == 0 else (links.unionByName(found), tested.unionByName(near))
+        roots = components(links).withColumnRenamed("node", "tk")
+        if turn < TURNS:
+            rooted = apart.drop("root").join(roots, "tk", "left").withColumn("root", F.coalesce("root", "tk"))
+            split = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+            last, apart = apart, stored(rooted.join(split, "key").select("key", "tk", "fp", "n", "root"), "apart")
+            drop(last)
+    named = nodes.select("doc_id", "tk").join(roots, "tk", "left").withColumn("root", F.coalesce("root", "tk"))
+    kept = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tk"))).alias("k")).select("k.tk")
     kept = stored(kept, "kept")
-    drop(ids, nodes, shards, links, apart, more)
-    best = rows.join(kept, "tk").filter(F.col("doc.doc_id").eqNullSafe(F.col("kept_id"))).groupBy("tk").agg(F.min("doc").alias("doc"))
-    return best.select("doc.*")
+    drop(nodes, apart, links, tested)
+    return rows.join(kept, "tk").select("doc.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
