@@ -28,6 +28,11 @@ def pair_floor(rows: DataFrame, least_floors: float = 5.0) -> DataFrame:
     return found.groupBy(F.col("a_market_segment").alias("market_segment")).agg(F.percentile("premium", F.lit(0.5)).alias("median_premium"), F.count("*").alias("n"))
 
 
+def adjusted(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """Prices relative to the index of their quarter; rows of a quarter without a level go. One row a quarter is broadcast."""
+    return rows.join(F.broadcast(index.select("q", "value")), "q").withColumn("psf", F.col("psf") / F.col("value")).drop("value")
+
+
 def fe_slope(rows: DataFrame, group: str, by: str) -> DataFrame:
     """Within-group slope of log price on log area, from sums alone: no pair and no window over rows."""
     x, y = F.log("area_sqft"), F.log("psf")
@@ -51,6 +56,16 @@ def repeat_pairs(sales: DataFrame, key: str) -> DataFrame:
     return rows.filter("gap >= 3").select(key, "month_idx", "gap", ratio.alias("ratio"), (F.pow(ratio, 12 / F.col("gap")) - 1).alias("annualised"))
 
 
+def noise_floor(pairs: DataFrame, index: DataFrame, most: float = 0.60, short: int = 18) -> DataFrame:
+    """Median error of repeat pairs after the index's own move, over the root of two, by gap; pairs that move faster than
+    most a year count as errors in the data."""
+    at = lambda p: F.broadcast(index.select(F.col("q").alias(f"{p}_q"), F.col("value").alias(f"{p}_level")))
+    rows = pairs.filter(F.abs("annualised") <= most).withColumn("to_q", F.floor(F.col("month_idx") / 3)).withColumn("from_q", F.floor((F.col("month_idx") - F.col("gap")) / 3))
+    error = F.abs(F.log("ratio") - F.log(F.col("to_level") / F.col("from_level")))
+    bucket = F.when(F.col("gap") <= short, "short").otherwise("long").alias("bucket")
+    return rows.join(at("to"), "to_q").join(at("from"), "from_q").groupBy(bucket).agg(F.count("*").alias("n"), (F.percentile(error, F.lit(0.5)) / F.sqrt(F.lit(2.0))).alias("floor"))
+
+
 def returns_vol(index: DataFrame) -> DataFrame:
     """Quarterly log returns a kind and their annualised volatility."""
     r = F.log(F.col("value") / F.lag("value").over(Window.partitionBy("kind").orderBy("q")))

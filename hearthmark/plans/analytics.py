@@ -39,16 +39,17 @@ query("pair_elasticity", f"""{BASE}, p AS (SELECT a.market_segment, ln(b.psf / a
 SELECT market_segment, quantile_cont(e, 0.5) AS median_elasticity, count(*) AS n FROM p WHERE e > -1 AND e < 0.5 GROUP BY 1""")(lambda s, d: X.pair_elasticity(comps(s, d)))
 query("pair_floor", f"""{BASE}, p AS (SELECT a.market_segment, ln(b.psf / a.psf) / ((b.floor_lo + b.floor_hi - a.floor_lo - a.floor_hi) / 2) AS premium FROM comps a JOIN comps b ON a.project = b.project AND a.id < b.id AND abs(a.month_idx - b.month_idx) <= 3 AND abs(ln(b.area_sqft / a.area_sqft)) <= 0.10 AND abs(b.floor_lo + b.floor_hi - a.floor_lo - a.floor_hi) >= 4)
 SELECT market_segment, quantile_cont(premium, 0.5) AS median_premium, count(*) AS n FROM p WHERE abs(premium) < 0.05 GROUP BY 1""")(lambda s, d: X.pair_floor(comps(s, d), 2.0))  # these tables have seven floors
-query("fe_slope", f"""{BASE}, g AS (SELECT property_type, street, count(*) AS n, sum(ln(area_sqft)) AS x, sum(ln(psf)) AS y, sum(ln(area_sqft) * ln(psf)) AS xy, sum(ln(area_sqft) * ln(area_sqft)) AS xx FROM comps GROUP BY 1, 2)
-SELECT property_type, sum(xy - x * y / n) / sum(xx - x * x / n) AS slope, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY 1""")(lambda s, d: X.fe_slope(comps(s, d), "street", "property_type"))
+query("fe_slope", f"""{INDEX}, a AS (SELECT property_type, street, area_sqft, psf / value AS psf FROM comps JOIN mkt USING (q)), g AS (SELECT property_type, street, count(*) AS n, sum(ln(area_sqft)) AS x, sum(ln(psf)) AS y, sum(ln(area_sqft) * ln(psf)) AS xy, sum(ln(area_sqft) * ln(area_sqft)) AS xx FROM a GROUP BY 1, 2)
+SELECT property_type, sum(xy - x * y / n) / sum(xx - x * x / n) AS slope, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY 1""")(lambda s, d: X.fe_slope(X.adjusted(comps(s, d), market(s, d)), "street", "property_type"))
 plots = lambda s, d: caveats(s, d).withColumn("plot", F.concat_ws("/", "project", "street"))
 GROUPS_SQL = f"""{BASE}, u AS (SELECT concat_ws('/', project, street) AS plot, month_idx, price, min(type_of_sale) AS sale FROM caveats GROUP BY 1, 2, 3),
 g AS (SELECT plot FROM u GROUP BY 1 HAVING count(*) = count(DISTINCT month_idx) AND count(*) BETWEEN 2 AND 4 AND count(*) FILTER (sale = 'O') < 2), r AS (SELECT u.* FROM u JOIN g USING (plot))"""
 PAIRS_SQL = f"{GROUPS_SQL}, l AS (SELECT *, month_idx - lag(month_idx) OVER w AS gap, price / lag(price) OVER w AS ratio FROM r WINDOW w AS (PARTITION BY plot ORDER BY month_idx)), rp AS (SELECT plot, month_idx, gap, ratio, pow(ratio, 12 / gap) - 1 AS annualised FROM l WHERE gap >= 3)"
 query("repeat_groups", f"{GROUPS_SQL} SELECT plot, month_idx, price FROM r")(lambda s, d: X.repeat_groups(plots(s, d), "plot").select("plot", "month_idx", "price"))
 query("repeat_pairs", f"{PAIRS_SQL} SELECT * FROM rp")(lambda s, d: X.repeat_pairs(X.repeat_groups(plots(s, d), "plot"), "plot"))
-query("noise_floor", f"{PAIRS_SQL} SELECT CASE WHEN gap <= 18 THEN 'short' ELSE 'long' END AS bucket, count(*) AS n, quantile_cont(abs(ln(ratio)), 0.5) / sqrt(2) AS floor FROM rp WHERE abs(annualised) <= 0.60 GROUP BY 1")(
-    lambda s, d: X.repeat_pairs(X.repeat_groups(plots(s, d), "plot"), "plot").filter(F.abs("annualised") <= 0.60).groupBy(F.when(F.col("gap") <= 18, "short").otherwise("long").alias("bucket")).agg(F.count("*").alias("n"), (F.percentile(F.abs(F.log("ratio")), F.lit(0.5)) / F.sqrt(F.lit(2.0))).alias("floor"))
+query("noise_floor", f"""{PAIRS_SQL}, mkt AS (SELECT q, avg(psf) AS value FROM caveats GROUP BY 1)
+SELECT CASE WHEN gap <= 18 THEN 'short' ELSE 'long' END AS bucket, count(*) AS n, quantile_cont(abs(ln(ratio) - ln(t.value / f.value)), 0.5) / sqrt(2) AS floor FROM rp JOIN mkt t ON t.q = month_idx // 3 JOIN mkt f ON f.q = (month_idx - gap) // 3 WHERE abs(annualised) <= 0.60 GROUP BY 1""")(
+    lambda s, d: X.noise_floor(X.repeat_pairs(X.repeat_groups(plots(s, d), "plot"), "plot"), market(s, d))
 )
 query("returns_vol", f"{INDEX}, r AS (SELECT kind, ln(value / lag(value) OVER (PARTITION BY kind ORDER BY q)) AS r FROM idx) SELECT kind, count(r) AS n, avg(r) AS mean_return, stddev_samp(r) * 2 AS ann_vol FROM r GROUP BY 1")(lambda s, d: X.returns_vol(index(s, d)))
 query("drawdown", f"""{INDEX}, p AS (SELECT *, max(value) OVER (PARTITION BY kind ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM idx),

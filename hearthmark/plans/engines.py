@@ -54,11 +54,12 @@ def lv1(spark, d):
     return M.lv1_engine(s, E.otherwise(E.lc2_curve(s, c, i), E.la1_ladder(s, c, i), "LV1"), big=45.0)  # areas here end at 50
 
 
-query("lv1_engine", lv1, f"""{V.BASE}, pt AS (SELECT s_id, psf, CASE WHEN fallback THEN 0 ELSE n_comps END AS n_comps FROM ({V.ORACLES["lv1_point"]})),
+query("lv1_engine", lv1)
+SMALL = V.SMALL | {"a3_knn": A3, "lv1_engine": f"""{V.BASE}, pt AS (SELECT s_id, psf, CASE WHEN fallback THEN 0 ELSE n_comps END AS n_comps FROM ({V.SMALL["lv1_point"]})),
 r AS (SELECT p.*, {V.LIQ} AS liq, p.psf * area_sqft AS pred, price, area_sqft, property_type AS cell, contract_month FROM pt p JOIN subj s ON s.id = p.s_id),
 fit AS (SELECT CASE grouping(liq, cell) WHEN 0 THEN 'liq_cell' WHEN 2 THEN 'cell' ELSE 'all' END AS level, liq, cell, quantile_cont(price / pred, 0.1) AS lo, quantile_cont(price / pred, 0.9) AS hi, count(*) AS n FROM r WHERE contract_month < DATE '2000-01-01' GROUP BY GROUPING SETS ((liq, cell), (cell), ())),
 b AS (SELECT r.*, coalesce(f.lo, m.lo, w.lo) AS lo, coalesce(f.hi, m.hi, w.hi) AS hi, CASE WHEN area_sqft >= 45 THEN 1.6 ELSE 1.0 END AS k FROM r LEFT JOIN fit f ON f.level = 'liq_cell' AND f.n >= 40 AND f.liq = r.liq AND f.cell = r.cell LEFT JOIN fit m ON m.level = 'cell' AND m.cell = r.cell LEFT JOIN fit w ON w.level = 'all')
-SELECT s_id, 'LV1' AS method, psf, pred * (1 + (lo - 1) * k) AS low, pred * (1 + (hi - 1) * k) AS high, n_comps FROM b""")
+SELECT s_id, 'LV1' AS method, psf, pred * (1 + (lo - 1) * k) AS low, pred * (1 + (hi - 1) * k) AS high, n_comps FROM b"""}
 
 
 def trend(spark, d):

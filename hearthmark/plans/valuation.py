@@ -177,7 +177,7 @@ query("index_factor", f"{BASE} SELECT s.as_of, c.q, count(*) AS n, avg(coalesce(
     lambda spark, d: (lambda s, c, i: A.time_factor(s.select("as_of").distinct().join(c.select("q", "contract_month").distinct(), visible("contract_month", "as_of")), i).groupBy("as_of", "q").agg(F.count("*").alias("n"), F.avg("tf").alias("tf")))(*inputs(spark, d))
 )
 query("size_curve", f"WITH {CAVEATS_SQL} SELECT area_sqft, count(*) AS n, exp({LEVEL('4000.0')} - {LEVEL('area_sqft * 200')}) AS factor FROM caveats GROUP BY area_sqft")(lambda spark, d: caveats(spark, d).groupBy("area_sqft").agg(F.count("*").alias("n")).withColumn("factor", size_factor(F.col("area_sqft") * 200, F.lit(4000.0))))
-query("remaining_lease", f"WITH {CAVEATS_SQL} SELECT id, CASE WHEN tenure_type = 'freehold' OR lease_start IS NULL OR lease_start = 0 THEN 800.0 ELSE greatest(0.0, lease_start + 99.0 - year(contract_month)) END AS years_left FROM caveats")(
+query("remaining_lease", f"WITH {CAVEATS_SQL} SELECT id, CASE WHEN tenure_type = 'freehold' OR lease_start IS NULL OR lease_start = 0 THEN 800.0::DOUBLE ELSE CAST(greatest(0.0, lease_start + 99.0 - year(contract_month)) AS DOUBLE) END AS years_left FROM caveats")(
     lambda spark, d: caveats(spark, d).select("id", remaining_lease("tenure_type", F.lit("99 yrs lease"), "lease_start", F.year("contract_month")).alias("years_left"))
 )
 query("coverage", f"WITH {CAVEATS_SQL} SELECT market_segment, property_type, count(*) AS n, min(month_idx) AS first_month, max(month_idx) AS last_month FROM caveats GROUP BY 1, 2")(
@@ -196,8 +196,9 @@ _MOVED = f"{CAP} * exp({LEVEL('s_area')} - {LEVEL('c_area')})"
 _SCOPES = [median_sql("LA1", pair_sql(["property_type", *k], 24, COMPAT), _MOVED) + " WHERE n >= 3" for k in (["district"], ["market_segment"], [])]
 LA1 = f"""WITH la AS ({_SCOPES[0]}), lb AS ({_SCOPES[1]}), lc AS ({_SCOPES[2]}) SELECT * FROM la UNION ALL SELECT * FROM lb WHERE s_id NOT IN (SELECT s_id FROM la)
 UNION ALL SELECT * FROM lc WHERE s_id NOT IN (SELECT s_id FROM la) AND s_id NOT IN (SELECT s_id FROM lb)"""
-query("la1_ladder", LA1)(lambda spark, d: E.la1_ladder(*inputs(spark, d)))
-query("lv1_point", f"WITH f1 AS ({ORACLES['lc2_curve']}), f2 AS ({LA1}) SELECT * REPLACE ('LV1' AS method), false AS fallback FROM f1 UNION ALL SELECT * REPLACE ('LV1' AS method), true AS fallback FROM f2 WHERE s_id NOT IN (SELECT s_id FROM f1)")(
+query("la1_ladder")(lambda spark, d: E.la1_ladder(*inputs(spark, d)))
+SMALL = {"la1_ladder": LA1, "lv1_point": f"WITH f1 AS ({ORACLES['lc2_curve']}), f2 AS ({LA1}) SELECT * REPLACE ('LV1' AS method), false AS fallback FROM f1 UNION ALL SELECT * REPLACE ('LV1' AS method), true AS fallback FROM f2 WHERE s_id NOT IN (SELECT s_id FROM f1)"}  # on larger tables this SQL does not end within minutes; a test holds it on the smallest
+query("lv1_point")(
     lambda spark, d: (lambda i: E.otherwise(E.lc2_curve(*i), E.la1_ladder(*i), "LV1"))(inputs(spark, d))
 )
 
