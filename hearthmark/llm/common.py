@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +71,36 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def common_width(rows: DataFrame, column: str) -> int:
+    """The most common length of an array column, of equally common ones the smallest; 0 without rows."""
+    first = rows.groupBy(F.size(column).alias("w")).count().orderBy(F.desc("count"), "w").first()
+    return first["w"] if first else 0
+
+
+def matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Arrow lists of one width, without nulls, as the rows of a matrix."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """Runs of equal whole-number keys with their rows, across batches."""
+    here, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys])
+        starts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist()]
+        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            now = tuple(values[a].tolist())
+            if now != here:
+                if parts:
+                    yield here, pa.Table.from_batches(parts)
+                here, parts = now, []
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield here, pa.Table.from_batches(parts)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fifth of rows that no model may learn from; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -8,10 +8,13 @@ from hearthmark.llm.fingerprint import op2_fingerprint
 from hearthmark.llm.html import op6_html
 from hearthmark.llm.language import op9_language
 from hearthmark.llm.mixing import op7_mixing
+from hearthmark.llm.negatives import op13_hard_negatives
 from hearthmark.llm.neighbours import op10_neighbours
+from hearthmark.llm.pstable import op12_embedding_dups
 from hearthmark.llm.quality import op4_quality
 from hearthmark.llm.simhash import op8_simhash
 from hearthmark.llm.tokenid import op5_token_ids
+from hearthmark.llm.whitening import op11_whitening
 
 OP7_SQL = r"""
 WITH d AS (
@@ -43,5 +46,5 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken,
 FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_fingerprint, op3_preferences, op4_quality, op5_token_ids, op6_html, op7_mixing, op8_simhash, op9_language, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_fingerprint, op3_preferences, op4_quality, op5_token_ids, op6_html, op7_mixing, op8_simhash, op9_language, op10_neighbours, op11_whitening, op12_embedding_dups, op13_hard_negatives)}
 ORACLES = {"op3_preferences": OP3_SQL, "op7_mixing": OP7_SQL}
