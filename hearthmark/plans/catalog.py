@@ -1,6 +1,7 @@
 """The registered queries of the library and their SQL."""
 
-from hearthmark.plans import analytics, engines, records, valuation
+from hearthmark.plans import analytics, engines, factors, records, valuation
 
-QUERIES = valuation.QUERIES | analytics.QUERIES | engines.QUERIES | records.QUERIES
-ORACLES = valuation.ORACLES | analytics.ORACLES | engines.ORACLES | records.ORACLES
+PARTS = (valuation, analytics, engines, records, factors)
+QUERIES = {name: q for part in PARTS for name, q in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
