@@ -1,4 +1,4 @@
-"""Entity resolution: collapse, fingerprints, fuzzy sessions, merges, upserts and reconciliation."""
+"""Entity resolution: collapse, fingerprints, fuzzy sessions, merges and upserts."""
 
 from __future__ import annotations
 
@@ -37,17 +37,6 @@ def upsert(old: DataFrame, new: DataFrame, key: str, take: list[str], keep: list
     return both.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), *(F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in take), *(F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in keep), status.alias("status"))
 
 
-def reconcile(left: DataFrame, right: DataFrame, keys: list[str], measure: str) -> DataFrame:
-    """One-to-one matches of rows of equal keys in order of a measure, with what is left on either side."""
-    rank = lambda df: df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(measure, "id")))
-    a, b = rank(left).alias("a"), rank(right).alias("b")
-    cond = F.col("a.rn") == F.col("b.rn")
-    for k in keys:
-        cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    status = F.when(F.col("b.id").isNull(), "left_only").when(F.col("a.id").isNull(), "right_only").when(F.abs(F.col(f"a.{measure}") - F.col(f"b.{measure}")) > 2, "differs").otherwise("matched")
-    return a.join(b, cond, "full").select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), status.alias("status"))
-
-
 def alias_resolve(names: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:
     """A name as it is, else by its alias if that is known, else refused. The alias table is small by nature; Spark decides on its measured size."""
     rows = names.join(known.select(F.col("name").alias("direct")), F.col("name") == F.col("direct"), "left").join(aliases, "name", "left").join(known.select(F.col("name").alias("through")), F.col("alias") == F.col("through"), "left")

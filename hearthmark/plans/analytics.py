@@ -11,6 +11,7 @@ from hearthmark.operators import effects as X
 from hearthmark.operators import geo as G
 from hearthmark.operators import resolve as R
 from hearthmark.operators import scoring as K
+from hearthmark.operators import surfaces as U
 from hearthmark.operators import tokens as T
 from hearthmark.plans.caveats import CAVEATS_SQL, caveats, table
 from hearthmark.sources import ingest as S
@@ -89,10 +90,19 @@ query("upsert", """WITH a AS (SELECT p_partkey, p_retailprice, p_brand FROM part
 SELECT p_partkey, coalesce(b.p_retailprice, a.p_retailprice) AS p_retailprice, coalesce(a.p_brand, b.p_brand) AS p_brand, CASE WHEN a.p_brand IS NULL THEN 'new' WHEN b.p_brand IS NULL THEN 'missing' ELSE 'updated' END AS status FROM a FULL JOIN b USING (p_partkey)""")(
     lambda s, d: R.upsert(table(s, d, "part").filter("p_size <= 35").select("p_partkey", "p_retailprice", "p_brand"), table(s, d, "part").filter("p_size >= 15").select("p_partkey", (F.col("p_retailprice") * 2).alias("p_retailprice"), F.lower("p_brand").alias("p_brand")), "p_partkey", ["p_retailprice"], ["p_brand"])
 )
-query("reconcile", f"""{BASE}, a AS (SELECT *, row_number() OVER (PARTITION BY project, month_idx ORDER BY area_sqft, id) AS rn FROM caveats WHERE floor_lo <= 5), b AS (SELECT *, row_number() OVER (PARTITION BY project, month_idx ORDER BY area_sqft, id) AS rn FROM caveats WHERE floor_lo >= 3)
-SELECT a.id AS left_id, b.id AS right_id, CASE WHEN b.id IS NULL THEN 'left_only' WHEN a.id IS NULL THEN 'right_only' WHEN abs(a.area_sqft - b.area_sqft) > 2 THEN 'differs' ELSE 'matched' END AS status FROM a FULL JOIN b ON a.project = b.project AND a.month_idx = b.month_idx AND a.rn = b.rn""")(
-    lambda s, d: R.reconcile(caveats(s, d).filter("floor_lo <= 5"), caveats(s, d).filter("floor_lo >= 3"), ["project", "month_idx"], "area_sqft")
-)
+# a sale of one source meets one of the other in its project and month; the measure that pairs them is the area
+RECONCILE = f"""{BASE}, l AS (SELECT *, row_number() OVER (PARTITION BY project, month_idx ORDER BY id) AS n FROM caveats WHERE floor_lo <= 5),
+pools AS (SELECT project, month_idx, list(struct_pack(a := area_sqft, id := id) ORDER BY id) AS pool FROM caveats WHERE floor_lo >= 3 GROUP BY 1, 2),
+steps AS (
+  SELECT l.project, l.month_idx, CAST(0 AS BIGINT) AS n, coalesce(any_value(pool), CAST([] AS STRUCT(a DOUBLE, id VARCHAR)[])) AS pool, CAST(NULL AS VARCHAR) AS left_id, CAST(NULL AS STRUCT(a DOUBLE, id VARCHAR)) AS got, CAST(NULL AS DOUBLE) AS area FROM l LEFT JOIN pools USING (project, month_idx) GROUP BY 1, 2
+  UNION ALL
+  SELECT project, month_idx, n, list_filter(pool, lambda k: got IS NULL OR k.id <> got.id), id, got, area_sqft FROM (
+    SELECT s.project, s.month_idx, l.n, s.pool, l.id, l.area_sqft, list_filter(s.pool, lambda k: abs(k.a - l.area_sqft) = list_min(list_transform(s.pool, lambda j: abs(j.a - l.area_sqft))))[1] AS got FROM steps s JOIN l ON l.project = s.project AND l.month_idx = s.month_idx AND l.n = s.n + 1)
+), rest AS (SELECT unnest(pool) AS k FROM (SELECT pool, n, max(n) OVER (PARTITION BY project, month_idx) AS last FROM steps) WHERE n = last
+  UNION ALL SELECT unnest(pool) FROM pools ANTI JOIN l USING (project, month_idx))
+SELECT left_id, got.id AS right_id, CASE WHEN got IS NULL THEN 'left_only' WHEN abs(got.a - area) > 1.5 THEN 'differs' ELSE 'matched' END AS status FROM steps WHERE n > 0
+UNION ALL SELECT NULL, k.id, 'right_only' FROM rest""".replace("WITH ", "WITH RECURSIVE ", 1)
+query("reconcile", RECONCILE)(lambda s, d: U.nearest_matches(caveats(s, d).filter("floor_lo <= 5"), caveats(s, d).filter("floor_lo >= 3"), ["project", "month_idx"], "area_sqft", 1.5))
 query("alias_resolve", "SELECT s_name AS name, CASE WHEN s_acctbal > 0 THEN s_name WHEN s_suppkey % 3 > 0 THEN (SELECT min(s_name) FROM supplier WHERE s_acctbal > 0) END AS resolved, CASE WHEN s_acctbal > 0 THEN 'direct' WHEN s_suppkey % 3 > 0 THEN 'alias' ELSE 'refused' END AS status FROM supplier")(
     lambda s, d: (lambda t: R.alias_resolve(t.select(F.col("s_name").alias("name")), t.filter("s_acctbal > 0").select(F.col("s_name").alias("name")), t.filter("s_suppkey % 3 > 0").select(F.col("s_name").alias("name")).crossJoin(F.broadcast(t.filter("s_acctbal > 0").agg(F.min("s_name").alias("alias"))))))(table(s, d, "supplier"))
 )
