@@ -39,39 +39,52 @@ def sums(width: int, weight: Column | None = None) -> list[Column]:
     return [F.array(F.sum(w), *(F.sum(w * a) for a in z), *(F.sum(w * z[i] * z[j]) for i in range(width) for j in range(i, width))).alias("m")]
 
 
-def solved(rows: DataFrame, width: int) -> DataFrame:
-    """Adds coef, std_coef (of regressors scaled to deviation 1), intercept and r2 to rows with sums m and a centre.
+FIT = "coef array<double>, std_coef array<double>, intercept double, r2 double"
 
-    The correlations are swept by Gauss and Jordan inside one expression; the last column is then the solution.
+
+def solve_all(m: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, ...]:
+    """coef, std_coef, intercept and r2 of every row of sums m; NaN where there is none.
+
+    The correlations of all rows are swept together by Gauss and Jordan; the last column is then the solution.
     """
-    k, m = width - 1, F.col("m")
-    spot = {(i, j): 1 + width + sum(width - r for r in range(i)) + j - i for i in range(width) for j in range(i, width)}
-    mean = [m[1 + i] / m[0] for i in range(width)]
-    rows = rows.filter(m[0] > 0).withColumn("mean", F.array(*mean))
-    at = lambda c, i: F.col(c)[i]
-    rows = rows.withColumn("cov", F.array(*(F.array(*(m[spot[min(i, j), max(i, j)]] / m[0] - at("mean", i) * at("mean", j) for j in range(width))) for i in range(width))))
-    rows = rows.withColumn("sd", F.array(*(F.sqrt(F.greatest(at("cov", i)[i], F.lit(0.0))) for i in range(width))))
-    scale = lambda i, j: at("sd", i) * at("sd", j)
-    rows = rows.withColumn("corr", F.array(*(F.array(*(F.when(scale(i, j) > 0, at("cov", i)[j] / scale(i, j)).otherwise(0.0) for j in range(width))) for i in range(width))))
-
-    def sweep(a: Column, p: Column) -> Column:
-        pivot = a[p][p]
-        other = lambda r: F.transform(r, lambda v, j: v - r[p] * a[p][j] / pivot)
-        return F.when(pivot > SINGULAR, F.transform(a, lambda r, i: F.when(i == p, F.transform(r, lambda v: v / pivot)).otherwise(other(r))))
-
-    rows = rows.withColumn("swept", F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.col("corr"), sweep))
-    rows = rows.withColumn("std_coef", F.transform("swept", lambda r: r[k] * at("sd", k))).withColumn("std_coef", F.slice("std_coef", 1, k))
-    rows = rows.withColumn("coef", F.when(F.col("swept").isNotNull(), F.array(*(F.when(at("sd", i) > 0, at("std_coef", i) / at("sd", i)) for i in range(k)))))
-    lift = [at("coef", i) * (at("centre", i) + at("mean", i)) for i in range(k)]
-    rows = rows.withColumn("intercept", at("centre", k) + at("mean", k) - sum(lift[1:], lift[0]))
-    explained = [at("swept", i)[k] * at("corr", i)[k] for i in range(k)]
-    rows = rows.withColumn("r2", F.when(at("sd", k) > 0, sum(explained[1:], explained[0])))
-    return rows.drop("m", "mean", "cov", "sd", "corr", "swept")
+    width = centre.shape[1]
+    k, (i, j) = width - 1, np.triu_indices(width)
+    with np.errstate(all="ignore"):
+        mean = m[:, 1 : width + 1] / m[:, :1]
+        cov = np.empty((len(m), width, width))
+        cov[:, i, j] = cov[:, j, i] = m[:, width + 1 :] / m[:, :1] - mean[:, i] * mean[:, j]
+        sd = np.sqrt(np.maximum(np.einsum("rii->ri", cov), 0))
+        scale = sd[:, :, None] * sd[:, None, :]
+        corr = np.where(scale > 0, cov / scale, 0.0)
+        a = corr.copy()
+        for p in range(k):
+            pivot = np.where(a[:, p, p] > SINGULAR, a[:, p, p], np.nan)
+            row = a[:, p, :] / pivot[:, None]
+            a = a - a[:, :, p : p + 1] * row[:, None, :]
+            a[:, p, :] = row
+        std = a[:, :k, k] * sd[:, k:]
+        coef = std / np.where(sd[:, :k] > 0, sd[:, :k], np.nan)
+        intercept = centre[:, k] + mean[:, k] - (coef * (centre[:, :k] + mean[:, :k])).sum(axis=1)
+        r2 = np.where(sd[:, k] > 0, (a[:, :k, k] * corr[:, :k, k]).sum(axis=1), np.nan)
+    return coef, std, intercept, r2
+
+
+def solved(rows: DataFrame) -> DataFrame:
+    """Adds coef, std_coef (of regressors scaled to deviation 1), intercept and r2 to rows with sums m and a centre."""
+
+    @F.pandas_udf(FIT)
+    def run(m: pd.Series, centre: pd.Series) -> pd.DataFrame:
+        coef, std, intercept, r2 = solve_all(np.stack(m), np.stack(centre)) if len(m) else ([], [], [], [])
+        lists = lambda x: [None if np.isnan(r).any() else r.tolist() for r in x]
+        numbers = lambda x: [None if np.isnan(v) else float(v) for v in x]
+        return pd.DataFrame({"coef": pd.Series(lists(coef), dtype=object), "std_coef": pd.Series(lists(std), dtype=object), "intercept": pd.Series(numbers(intercept), dtype=object), "r2": pd.Series(numbers(r2), dtype=object)})
+
+    return rows.filter(F.col("m")[0] > 0).withColumn("fit", run("m", "centre")).select("*", "fit.*").drop("m", "fit")
 
 
 def ols_fit(rows: DataFrame, by: str, xs: list[str], y: str) -> DataFrame:
     """(by, term, coef, std_coef, n, r2, adj_r2) of each group's least-squares fit with intercept."""
-    fit = solved(complete(rows, by, xs, y).groupBy(by).agg(*sums(len(xs) + 1), F.count("*").alias("n"), F.first("centre").alias("centre")), len(xs) + 1)
+    fit = solved(complete(rows, by, xs, y).groupBy(by).agg(*sums(len(xs) + 1), F.count("*").alias("n"), F.first("centre").alias("centre")))
     free = F.col("n") - len(xs) - 1
     fit = fit.withColumn("adj_r2", F.when(free > 0, 1 - (1 - F.col("r2")) * (F.col("n") - 1) / free))
     terms = F.array(F.struct(F.lit("intercept").alias("term"), F.col("intercept").alias("coef"), F.lit(None).cast("double").alias("std_coef")), *(F.struct(F.lit(x).alias("term"), F.col("coef")[i].alias("coef"), F.col("std_coef")[i].alias("std_coef")) for i, x in enumerate(xs)))
@@ -136,7 +149,7 @@ def bootstrap_draws(rows: DataFrame, by: str, xs: list[str], y: str, *, id_col:
     made = given.select(by, row_key(id_col), "z").mapInPandas(run, f"{by} {kind}, draw int, {', '.join(f'{n} double' for n in names)}")
     total = made.groupBy(by, "draw").agg(F.array(*map(F.sum, names)).alias("m"))
     centres = given.groupBy(by).agg(F.first("centre").alias("centre"))
-    return solved(total.join(centres, by), width).select(by, "draw", "coef", "std_coef")
+    return solved(total.join(centres, by)).select(by, "draw", "coef", "std_coef")
 
 
 def bootstrap_ci(rows: DataFrame, by: str, xs: list[str], y: str, **how) -> DataFrame:
@@ -162,7 +175,7 @@ def leave_one_out(rows: DataFrame, by: str, cluster: str, xs: list[str], y: str,
     own = complete(rows, by, xs, y).groupBy(by, cluster).agg(*sums(width), F.first("centre").alias("centre"))
     total = own.groupBy(by).agg(F.array(*(F.sum(F.col("m")[i]) for i in range(1 + width + width * (width + 1) // 2))).alias("all"))
     rest = own.join(total, by).select(by, "centre", F.zip_with("all", "m", lambda a, b: a - b).alias("m")).filter(F.col("m")[0] >= len(xs) + spare)
-    fits = solved(rest, width).filter("std_coef IS NOT NULL")
+    fits = solved(rest).filter("std_coef IS NOT NULL")
     terms = F.array(*(F.struct(F.lit(x).alias("term"), F.col("std_coef")[i].alias("c")) for i, x in enumerate(xs)))
     low, high = F.min("t.c"), F.max("t.c")
     return fits.select(by, F.explode(terms).alias("t")).groupBy(by, "t.term").agg(F.count("*").alias("n_fits"), ((low > 0) | (high < 0)).alias("sign_stable"), low.alias("coef_min"), high.alias("coef_max"))

@@ -1,7 +1,7 @@
 """The registered queries of the library and their SQL."""
 
-from hearthmark.plans import analytics, engines, factors, records, surfaces, valuation
+from hearthmark.plans import analytics, engines, factors, records, screens, surfaces, valuation
 
-PARTS = (valuation, analytics, engines, records, factors, surfaces)
+PARTS = (valuation, analytics, engines, records, factors, surfaces, screens)
 QUERIES = {name: q for part in PARTS for name, q in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hearthmark.operators import surfaces as U
 from hearthmark.plans.caveats import table
+from hearthmark.store import view
 
 QUERIES, ORACLES = {}, {}
 ASOF, YEARS, SUBJECT = "2000-06-30", 5, (3, "01", "2")
@@ -41,12 +42,20 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "surfaces", ["lineitem"], lambda: _union(spark, sf_dir))
+
+
+def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All surfaces in one schema, without what a stale screen repeats."""
     rows = raw(spark, sf_dir).withColumn("block", U.block_norm(F.col("block"))).withColumn("beds", U.bed_count(F.col("kind"))).drop("kind")
     return rows.filter("surface <> 'towerview'").unionByName(U.strip_stale(rows.filter("surface = 'towerview'")))
 
 
 def imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "imputed", ["lineitem"], lambda: _imputed(spark, sf_dir))
+
+
+def _imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = union(spark, sf_dir)
     return U.impute_beds(rows, rows.filter("surface = 'towerview'"))
 
