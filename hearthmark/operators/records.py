@@ -139,10 +139,3 @@ def launch_scenarios(rows: DataFrame, growth: list[float], key: str, price: Colu
     out = out.withColumn("profit", profit).withColumn("roi", F.when(F.col("cash") != 0, F.col("profit") / F.col("cash")).otherwise(0.0))
     breakeven = (F.col("price") + F.col("duty") + F.col("carry")) / exit_rate / F.col("price") - 1
     return out.select(key, "growth", "profit", "roi", F.when(F.col("roi") > -1, F.pow(1 + F.col("roi"), F.lit(1 / holding)) - 1).otherwise(-1.0).alias("annualised"), breakeven.alias("breakeven"))
-
-
-def transect(points: DataFrame, zone, bearing_x: float, bearing_y: float, steps: int, step: float) -> DataFrame:
-    """Zones met on the way from each point along a bearing: one row where the zone changes. zone maps x and y to a zone."""
-    walk = points.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("zone", zone(F.col("x") + F.col("i") * step * bearing_x, F.col("y") + F.col("i") * step * bearing_y))
-    before = F.lag("zone").over(Window.partitionBy("site").orderBy("i"))
-    return walk.withColumn("before", before).filter("before is null or before <> zone").select("site", (F.col("i") * step).alias("at"), "zone")

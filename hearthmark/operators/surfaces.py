@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthmark.operators.fold import folded
+
 # fixed values
 SURFACES = ["sale", "profitability", "towerview"]  # in order of trust
 UNKNOWN_BLOCKS = ["", "(single)", "?"]
@@ -85,40 +86,6 @@ def impute_beds(rows: DataFrame, typed: DataFrame) -> DataFrame:
     return out.withColumn("beds", F.coalesce(*(c for c, _ in found))).withColumn("beds_from", source).select(*[c for c in rows.columns if c != "given"], "beds", "beds_from")
 
 
-def folded(rows: DataFrame, key: list[str], order: list[str], start: Callable, schema: str) -> DataFrame:
-    """A secondary-sort fold: rows dealt out by key and sorted within partitions, read once by start() objects with step(row) and end().
-
-    start() is made for every key; step and end yield rows of the schema. A key's rows stream by: only what its object keeps is in memory.
-    """
-    names = [part.split()[0] for part in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, state, types = None, None, None
-
-        def batch(out: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in out], schema=types)
-
-        for b in batches:
-            types, out = types or _arrow(schema), []
-            for row in b.to_pylist():
-                now = tuple(row[k] for k in key)
-                if now != here:
-                    out += state.end() if state else []
-                    here, state = now, start()
-                out += state.step(row)
-            if out:
-                yield batch(out)
-        if state and (out := list(state.end())):
-            yield batch(out)
-
-    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
-
-
-def _arrow(schema: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "date": pa.date32()}
-    return pa.schema([(n, kinds[t]) for n, t in (part.split() for part in schema.split(", "))])
-
-
 class _Unit:
     """The sales kept so far of one floor and stack, all blocks; a row meets those of its day and those of its price."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthmark.operators.fold import folded
+
 
 def tokens(rows: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, pos, token) by white space."""
@@ -19,16 +21,30 @@ def classify(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc", kind(F.col("token")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+class _Runs:
+    """Takes matches of a pattern of kinds from left to right; holds no more tokens than the pattern is long."""
+
+    def __init__(self, pattern: list[str]):
+        self.pattern, self.held = pattern, []
+
+    def step(self, row: dict) -> list[dict]:
+        self.held.append(row)
+        if len(self.held) < len(self.pattern):
+            return []
+        if [r["k"] for r in self.held] != self.pattern:
+            self.held.pop(0)
+            return []
+        found, self.held = self.held, []
+        return [{"doc": found[0]["doc"], "pos": found[0]["pos"], "record": " ".join(r["token"] for r in found)}]
+
+    def end(self) -> list[dict]:
+        return []
+
+
 def records(rows: DataFrame, pattern: list[str]) -> DataFrame:
-    """Runs of consecutive tokens whose kinds match a pattern, none overlapping the match before it."""
-    order = Window.partitionBy("doc").orderBy("pos")
-    typed = rows.withColumn("k", kind(F.col("token")))
-    hit = F.lit(True)
-    for i, p in enumerate(pattern):
-        hit = hit & F.coalesce(F.lead("k", i).over(order) == p, F.lit(False))
-    found = typed.withColumn("hit", hit).withColumn("record", F.array(*(F.lead("token", i).over(order) for i in range(len(pattern))))).filter("hit")
-    before = F.lag("pos").over(order)
-    return found.filter("hit").withColumn("gap", F.col("pos") - before).filter(F.col("gap").isNull() | (F.col("gap") >= len(pattern))).select("doc", "pos", F.array_join("record", " ").alias("record"))
+    """Runs of consecutive tokens whose kinds match a pattern, from left to right, none overlapping one that was taken."""
+    typed = rows.select("doc", "pos", "token", kind(F.col("token")).alias("k"))
+    return folded(typed, ["doc"], ["pos"], lambda: _Runs(pattern), "doc long, pos int, record string")
 
 
 def segments(rows: DataFrame) -> DataFrame:

@@ -117,6 +117,7 @@ query("classify_cells", f"{TOK} SELECT doc, kind, count(*) AS n FROM t GROUP BY
 query("doc_guard", f"{TOK} SELECT doc, count(*) AS n, bool_or(kind = 'end') AS has_end FROM t GROUP BY 1")(lambda s, d: T.doc_guard(tok(s, d)))
 query("token_segments", f"{TOK}, g AS (SELECT *, count(*) FILTER (kind = 'capital') OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS segment FROM t) SELECT doc, segment, count(*) AS n, arg_min(token, pos) AS head, CAST(min(pos) FILTER (kind = 'end') AS INTEGER) AS end_pos FROM g WHERE segment > 0 GROUP BY 1, 2")(lambda s, d: T.segments(tok(s, d)))
 query("token_records", f"{TOK}, h AS (SELECT *, lead(kind, 1) OVER w AS k1, lead(kind, 2) OVER w AS k2, lead(token, 1) OVER w AS t1, lead(token, 2) OVER w AS t2 FROM t WINDOW w AS (PARTITION BY doc ORDER BY pos)) SELECT doc, CAST(pos AS INTEGER) AS pos, token || ' ' || t1 || ' ' || t2 AS record FROM h WHERE kind = 'capital' AND k1 = 'word' AND k2 = 'word'")(lambda s, d: T.records(tok(s, d), ["capital", "word", "word"]))
+query("token_triples", f"{TOK}, g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc ORDER BY pos) AS run FROM t WHERE kind = 'word'), n AS (SELECT *, row_number() OVER (PARTITION BY doc, run ORDER BY pos) - 1 AS spot, lead(token, 1) OVER (PARTITION BY doc, run ORDER BY pos) AS t1, lead(token, 2) OVER (PARTITION BY doc, run ORDER BY pos) AS t2 FROM g) SELECT doc, CAST(pos AS INTEGER) AS pos, token || ' ' || t1 || ' ' || t2 AS record FROM n WHERE spot % 3 = 0 AND t2 IS NOT NULL")(lambda s, d: T.records(tok(s, d), ["word", "word", "word"]))
 query("kv_pairs", f"{TOK}, n AS (SELECT *, lead(token) OVER (PARTITION BY doc ORDER BY pos) AS nx FROM t) SELECT doc, (arg_min_null(nx, pos) FILTER (token = 'the')) AS v_the, (arg_min_null(nx, pos) FILTER (token = 'de')) AS v_de FROM n WHERE token IN ('the', 'de') GROUP BY 1")(lambda s, d: T.kv_pairs(tok(s, d), ["the", "de"]))
 
 # geometry
@@ -137,11 +138,6 @@ def in_polygon(s, d):
 
 _EDGES = [(1000, 1000, 9000, 2000), (9000, 2000, 7000, 8000), (7000, 8000, 4000, 4000), (4000, 4000, 2000, 9000), (2000, 9000, 1000, 1000)]
 query("point_in_polygon", f"{PTS} SELECT site, (" + " + ".join(f"CASE WHEN ({b} > y) <> ({e} > y) AND x < ({c} - {a}) * (y - {b}) / ({e} - {b}) + {a} THEN 1 ELSE 0 END" for a, b, c, e in [tuple(map(float, t)) for t in _EDGES]) + ") % 2 = 1 AS inside FROM pt")(in_polygon)
-_T = "greatest(0.0, least(1.0, ((x - {a}) * {dx} + (y - {b}) * {dy}) / ({dx} * {dx} + {dy} * {dy})))"
-query("nearest_edge", f"{PTS} SELECT site, least(" + ", ".join("sqrt(pow(x - ({a} + {t} * {dx}), 2) + pow(y - ({b} + {t} * {dy}), 2))".format(a=float(a), b=float(b), dx=f"({float(c - a)})", dy=f"({float(e - b)})", t=_T.format(a=float(a), b=float(b), dx=f"({float(c - a)})", dy=f"({float(e - b)})")) for a, b, c, e in _EDGES) + ") AS d FROM pt")(
-    lambda s, d: points(s, d).select("site", F.least(*(G.segment_distance(F.col("x"), F.col("y"), *(F.lit(float(v)) for v in e)) for e in _EDGES)).alias("d"))
-)
-
 # scoring and duties
 CODES = {"catchment": ["1km", "2km", "outside"], "estate_tier": ["gcb", "prime", "good", "average"], "plot_shape": ["rectangular", "slightly_irregular", "irregular", "triangular"], "topography": ["above", "level", "below"], "zoning_risk": ["none", "high_plot_ratio_neighbour", "adjacent_nonlanded", "reserve_or_institution"], "flood_risk": ["none", "low", "high"], "future_risk": ["none", "some", "material"], "rebuild_status": ["rebuilt_recent", "rebuilt_old", "original_good", "original_poor"]}
 code = lambda options, div: F.get(F.array(*map(F.lit, options)), (F.floor(F.col("p_partkey") / div) % (len(options) + 1)).cast("int"))

@@ -106,8 +106,6 @@ t AS (SELECT p_partkey, CAST(base + CASE WHEN walk <= 5 THEN 10 WHEN walk <= 10
 SELECT *, CASE WHEN total >= 80 AND price_code = 'steep_premium' THEN 'SELECTIVE' WHEN total >= 80 THEN 'BUY' WHEN total >= 68 THEN 'SELECTIVE' WHEN total >= 55 THEN 'WAIT' ELSE 'AVOID' END AS stance FROM t""")
 
 # geometry
-query("transect", lambda s, d: R.transect(N.points(s, d), lambda x, y: (F.floor(x / 1000) + F.floor(y / 1000)) % 3, 0.6, 0.8, 20, 150.0), f"""{N.PTS}, w AS (SELECT site, i, CAST((floor((x + i * 150.0 * 0.6) / 1000) + floor((y + i * 150.0 * 0.8) / 1000)) AS BIGINT) % 3 AS zone FROM pt CROSS JOIN range(21) t(i)), l AS (SELECT *, lag(zone) OVER (PARTITION BY site ORDER BY i) AS b FROM w)
-SELECT site, i * 150.0::DOUBLE AS at, zone FROM l WHERE b IS NULL OR b <> zone""")
 query("enrich_points", lambda s, d: N.near(s, d).groupBy("origin").pivot("layer", list(range(5))).agg(F.min("d").alias("nearest"), F.count("d").alias("n")), f"{N.PTS} SELECT origin, " + ", ".join(f'min(d) FILTER (layer = {i}) AS "{i}_nearest", nullif(count(*) FILTER (layer = {i}), 0) AS "{i}_n"' for i in range(5)) + " FROM wi GROUP BY 1")
 
 # ingest: printed values read back, and nested records built from the transactions

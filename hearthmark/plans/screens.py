@@ -19,6 +19,7 @@ LEFT, RIGHT = ["address", "type", "tenure", "completion"], ["area_sqft", "psf",
 
 def grouped(n: str) -> str:
     """A whole number below a thousand million with commas."""
+    n = f"({n})"
     return f"CASE WHEN {n} >= 1000000 THEN concat({n} // 1000000, ',', lpad(CAST({n} // 1000 % 1000 AS VARCHAR(9)), 3, '0'), ',', lpad(CAST({n} % 1000 AS VARCHAR(9)), 3, '0')) WHEN {n} >= 1000 THEN concat({n} // 1000, ',', lpad(CAST({n} % 1000 AS VARCHAR(9)), 3, '0')) ELSE CAST({n} AS VARCHAR(12)) END"
 
 
