@@ -1,10 +1,12 @@
 """HTML main text by consensus host paths.
 
-Each page votes for the generalised tag-class path of the container that holds all its article text; votes are counted per
-host; pages are then parsed again, into clean blocks and the paths of the containers around them, and the text is that of
-the container on the host's winning path, or of the page's own where that path would lose a block of article text. What
-moves between hosts' tasks are parsed blocks and path counts, never html. Menus, adverts, comments and the like are
-left out by tag, role and class names, unless a page's evidence speaks against it.
+A page is parsed into clean blocks and a tree of containers, each scored by the unlinked text inside. The page votes for the generalised
+tag-class path of its innermost container with most of the text; votes are counted per host. So are the blocks outside
+of what their page voted for, by path: a path that says the same on page after page is part of the host's template. Pages are
+then parsed again, and the text is what stands in the container on the host's winning path (the page's own where no winning
+path holds most of its text), and around it what is neither links nor template. What moves between hosts' tasks are parsed
+blocks, votes and hashes, never html. Menus, adverts, comments and the like are left out before, by tag, role and class
+names, unless a page's evidence speaks against it. Time is linear in a page.
 """
 
 from __future__ import annotations
@@ -14,10 +16,13 @@ from functools import lru_cache
 from html import unescape
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<(script|style|noscript|template|iframe|svg|textarea|select|title|object|math)\b(?:"[^"]*"|'[^']*'|[^>"'])*(?:(?<=/)>|>.*?(?:</\1\s*>|$))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|$)|<[!?/][^>]*>""", re.S | re.I)
+from hearthmark.llm.common import stored
+
+TAG = re.compile(r"""<!--.*?(?:-->|$)|<(script|style|noscript|template|iframe|svg|textarea|select|title|object)\b(?:"[^"]*"|'[^']*'|[^>"'])*(?:(?<=/)>|>.*?(?:</\1\s*>|$))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)(?:>|$)|<[a-zA-Z!?/][^>]*(?:>|$)""", re.S | re.I)
 ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # fixed values: elements that end a block, that are never article text, and class words of such parts
@@ -25,27 +30,34 @@ BLOCK = frozenset("address article aside blockquote body caption dd details dial
 CLOSES_P = BLOCK - {"body", "html", "tr", "li", "caption", "tbody", "thead", "tfoot"}
 LEFT_OUT = frozenset("nav footer aside form button dialog menu head input label audio video canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-COMMENTS = re.compile("comments?|disqus|respond|replies|reply|discussion")
-WORDS = re.compile(r"nav(?:bar|igation)?|menus?|header|footer|foot|sidebars?|aside|rail|ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|share|sharing|social|related|recommend\w*|subscri\w*|newsletter|signup|login|breadcrumbs?|popup|modal|overlay|widgets?|pagination|pager|toolbar|masthead|skip|search|hidden|" + COMMENTS.pattern)
-BESIDE = frozenset("area bar block body bottom box button buttons center col column container content desktop dropdown entry fixed form global group holder inline inner item items js left level line link links list main mobile module outer page panel part post posts primary region right row secondary section site slot small sticky tertiary text title to top unit user v wrap wrapper x".split())
+COMMENTS = re.compile("comments?(?:list|box|area|section|thread)?|disqus|respond|replies|reply|discussion")
+WORDS = re.compile(r"nav(?:bar|igation)?|menus?|header|footer|foot|sidebars?|aside|rail|ads?|dfp|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|cookieconsent|consent|gdpr|notices?|alerts?|share|sharing|social|related|recommend\w*|subscri\w*|newsletter|signup|login|breadcrumbs?|popup|modal|overlay|widgets?|pagination|pager|toolbar|masthead|skip|search|hidden|" + COMMENTS.pattern)
+BESIDE = frozenset("area bar block body bottom box button buttons center col column container content desktop dropdown entry fixed form global group holder inline inner item items js left level line link links list main mobile module outer page panel part post posts primary region right row secondary section site slot small sticky tertiary text thread title to top unit user v window wrap wrapper x".split())
+CONSENT = re.compile("cc-(?:window|banner|revoke)")  # of a common cookie notice
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 
 
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SALTS = 64
-DEPTH = 512  # elements nested deeper stand beside each other, as in browsers
+DEPTH = 512  # levels of a path; elements further down are on the path of the level above, and further up are not closed unasked
 KEPT, DOUBTED, OUT = range(3)
+MOST = 0.8  # share of a page's text in the container it votes for
+TEMPLATE_PAGES, TEMPLATE_TEXTS = 3, 0.5  # a template's path stands on so many pages, with at most this share of them in different texts
 
 
 class Node:
-    __slots__ = ("comments", "doubt", "kind", "parent", "path", "state", "tag")
+    __slots__ = ("at", "box", "comments", "core", "depth", "doubt", "kind", "parent", "path", "state", "tag")
 
     def __init__(self, tag: str, parent: Node | None, kind: str, state: int, comments: bool = False):
-        """state is that of the element itself or of what is around it; doubt is the nearest doubted element, itself included."""
-        self.tag, self.parent, self.kind, self.comments = tag, parent, kind, comments
-        self.path = f"{parent.path}>{kind}" if parent else kind
+        """state is that of the element itself or of what is around it; doubt is the nearest doubted element, box the nearest
+        container, core whether it stands in an article or main, all with the element itself included."""
+        self.tag, self.parent, self.kind, self.comments, self.at = tag, parent, kind, comments, 0
+        self.depth = parent.depth + 1 if parent else 0
+        self.path = kind if not parent else f"{parent.path}>{kind}" if self.depth <= DEPTH else parent.path
         self.state = max(state, parent.state) if parent else state
         self.doubt = self if state == DOUBTED else parent.doubt if parent else None
+        self.box = self if tag in CONTAINERS or not parent else parent.box
+        self.core = tag in ("article", "main") or (parent is not None and parent.core)
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -66,7 +78,7 @@ def named(word: str) -> tuple[bool, bool]:
     """
     parts = [p for p in re.split(r"[-_\d]+", word.lower()) if p]
     hits = [p for p in parts if WORDS.fullmatch(p)]
-    own = bool(hits) and all(p in BESIDE or WORDS.fullmatch(p) for p in parts)
+    own = (bool(hits) and all(p in BESIDE or WORDS.fullmatch(p) for p in parts)) or CONSENT.fullmatch(word.lower()) is not None
     return own and hits != ["header"], own and any(COMMENTS.fullmatch(p) for p in hits)
 
 
@@ -96,20 +108,16 @@ def described(tag: str, text: str) -> tuple[str, int, bool, bool]:
 often = lru_cache(50_000)(described)
 
 
-def ancestors(node: Node | None):
-    while node:
-        yield node
-        node = node.parent
-
-
-def blocks(html: str | None) -> list[tuple[Node, str, int]]:
-    """The clean blocks of a page in order: their innermost container, text, and characters inside links.
+def blocks(html: str | None) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """A page's containers in order of their opening, the root first, and its clean blocks in order: their innermost container, text,
+    and characters inside links.
 
     A doubted element is kept if it is not reader comments and holds every article and main of the page, or if it is a
-    form that holds most of the unlinked text. Elements nested deeper than DEPTH stand beside each other.
+    form that holds most of the unlinked text; if nothing else is left, what is doubted in an article or main is kept.
     """
     root = Node("#", None, "#", KEPT)
-    stack, out, text, linked, cores, links = [root], [], [], 0, [], False
+    stack, out, text, linked, cores, anchors = [root], [], [], 0, [], 0
+    boxes, still = [root], {}  # still: how many elements of a tag are open
 
     def flush() -> None:
         nonlocal text, linked
@@ -120,8 +128,12 @@ def blocks(html: str | None) -> list[tuple[Node, str, int]]:
         text, linked = [], 0
 
     def pop(to: int) -> None:
+        nonlocal anchors
         if any(n.tag in BLOCK or n.state != n.parent.state or n.doubt is n for n in stack[to:]):
             flush()
+        for n in stack[to:]:
+            still[n.tag] -= 1
+            anchors -= n.tag == "a"
         del stack[to:]
 
     at = 0
@@ -129,14 +141,14 @@ def blocks(html: str | None) -> list[tuple[Node, str, int]]:
         if m.start() > at:
             piece = html[at : m.start()]
             text.append(piece)
-            if links and any(n.tag == "a" for n in stack[-4:]):
+            if anchors:
                 linked += len(piece.strip())
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
             continue
         if m[2]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0) if still.get(tag) else 0
             if depth and not any(n.tag in ("article", "main", "body", "table") for n in stack[depth + 1 :] if tag not in ("html", "body", "article", "main", "table")):
                 pop(depth)
             elif tag == "p":
@@ -148,9 +160,9 @@ def blocks(html: str | None) -> list[tuple[Node, str, int]]:
             if tag == "hr":
                 flush()
             continue
-        same = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)), "option": ("option", ())}.get(tag)
-        if tag in CLOSES_P or same:
-            for i in range(len(stack) - 1, 0, -1):
+        same = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)), "option": ("option", ()), "a": ("a", ())}.get(tag)
+        if (tag in CLOSES_P and still.get("p")) or (same and any(map(still.get, same[0].split()))):
+            for i in range(len(stack) - 1, max(0, len(stack) - 1 - DEPTH), -1):
                 if (stack[i].tag == "p" and tag in CLOSES_P) or (same and stack[i].tag in same[0].split()):
                     pop(i)
                     break
@@ -158,78 +170,121 @@ def blocks(html: str | None) -> list[tuple[Node, str, int]]:
                     break
         parent = stack[-1]
         kind, state, comments, heads = (often if len(m[4]) < 200 else described)(tag, m[4])
-        if heads and any(n.tag in ("article", "main") for n in ancestors(parent)):
+        if heads and parent.core:
             state = KEPT
         if tag in BLOCK or state == DOUBTED or state > parent.state:
             flush()
         if not m[4].rstrip().endswith("/") or tag in BLOCK:
-            links = links or tag == "a"
-            if len(stack) > DEPTH:
-                pop(DEPTH)
-                parent = stack[-1]
-            stack.append(Node(tag, parent, kind, state, comments))
-            if tag in ("article", "main") and stack[-1].state != OUT and not any(n.comments for n in ancestors(stack[-1])):
-                cores.append(stack[-1])
+            node = Node(tag, parent, kind, state, comments)
+            stack.append(node)
+            still[tag] = still.get(tag, 0) + 1
+            anchors += tag == "a"
+            if node.box is node:
+                node.at = len(boxes)
+                boxes.append(node)
+            if tag in ("article", "main") and node.state != OUT:
+                cores.append(node)
     text.append((html or "")[at:])
     flush()
-    return [(next(n for n in ancestors(node) if n.tag in CONTAINERS or n.parent is None), words, linked) for node, words, linked in out if trusted(node, out, cores)]
-
-
-def trusted(node: Node, found: list[tuple[Node, str, int]], cores: list[Node]) -> bool:
-    """Whether a page's evidence clears every doubted element around a node."""
-    doubt = node.doubt
-    while doubt:
-        inside = lambda n, d=doubt: any(a is d for a in ancestors(n))
-        clear = not doubt.comments and bool(cores) and all(map(inside, cores))
-        if not clear and doubt.tag == "form" and not doubt.comments:
-            own = sum(len(words) - linked for n, words, linked in found if inside(n))
-            clear = 2 * own > sum(len(words) - linked for _, words, linked in found)
-        if not clear:
-            return False
-        doubt = doubt.parent.doubt if doubt.parent else None
-    return True
-
-
-def best_container(found: list[tuple[Node, str, int]]) -> Node | None:
-    """The innermost container, body included, that holds every block of article text; an article or main around it is taken
-    whole. Blocks that are links for the most part do not widen it, unless a page has no others."""
-    own = [node for node, words, linked in found if 2 * linked <= len(words)] or [node for node, _, _ in found]
-    if not own:
-        return None
-    common = [*ancestors(own[0])]
-    for node in {id(n): n for n in own}.values():
-        up = {id(n) for n in ancestors(node)}
-        common = [n for n in common if id(n) in up]
-    common = [n for n in common if n.tag in CONTAINERS]
-    return next((n for n in common if n.tag in ("article", "main")), common[0]) if common else None
-
-
-PARSED = "words array<string>, own array<int>, choices array<struct<path: string, at: array<int>>>"
-
-
-def parse(html: str | None) -> tuple[str | None, list[str], list[int], list[dict]]:
-    """A page's vote, its blocks, the places of those in its own best container, and for each generalised path that holds
-    all blocks of article text the places of the blocks inside."""
-    found = blocks(html)
-    best = best_container(found)
-    around: dict[int, tuple[Node, set[str]]] = {}
-    for node, _, _ in found:
-        if id(node) not in around:
-            around[id(node)] = (node, {n.path for n in ancestors(node)})
-    paths = [around[id(node)][1] for node, _, _ in found]
-    text = [p for p, (_, words, linked) in zip(paths, found, strict=True) if 2 * linked <= len(words)] or paths
-    shared = set.intersection(*text) if text else set()
-    choices = [{"path": p, "at": [i for i, own in enumerate(paths) if p in own]} for p in sorted(shared)]
-    own = [i for i, (node, _, _) in enumerate(found) if best is None or any(n is best for n in ancestors(node))]
-    return best.path if best else None, [words for _, words, _ in found], own, choices
-
-
-def extract(html: str | None, paths: list[str] | None = None) -> tuple[str, str | None]:
-    """Main text and path by the first given path that holds all blocks of article text, or else of the page's own container."""
-    path, words, own, choices = parse(html)
-    at = {c["path"]: c["at"] for c in choices}
-    path = next((p for p in paths or [] if p in at), path)
-    return "\n\n".join(words[i] for i in at.get(path, own)), path
+    kept = trusted(out, cores) or [b for b in out if b[0].core and not commented(b[0])]
+    return boxes, [(node.box, words, linked) for node, words, linked in kept]
+
+
+def doubts(node: Node) -> list[Node]:
+    """The doubted elements around a node, innermost first."""
+    found, at = [], node.doubt
+    while at:
+        found.append(at)
+        at = at.parent.doubt if at.parent else None
+    return found
+
+
+def commented(node: Node) -> bool:
+    return any(d.comments for d in doubts(node))
+
+
+def trusted(found: list[tuple[Node, str, int]], cores: list[Node]) -> list[tuple[Node, str, int]]:
+    """The blocks all of whose doubted elements a page's evidence clears; each element is judged once, from its sums."""
+    cores = [c for c in cores if not commented(c)]
+    held, holds, whole = {}, {}, 0
+    for node, words, linked in found:
+        whole += len(words) - linked
+        if node.doubt:
+            for d in doubts(node):
+                held[d] = held.get(d, 0) + len(words) - linked
+    for core in cores:
+        for d in doubts(core):
+            holds[d] = holds.get(d, 0) + 1
+    clear: dict[Node | None, bool] = {None: True}
+
+    def judged(doubt: Node) -> bool:
+        for d in reversed([doubt, *doubts(doubt)[1:]]):
+            if d not in clear:
+                around = d.parent.doubt if d.parent else None
+                own = not d.comments and ((bool(cores) and holds.get(d, 0) == len(cores)) or (d.tag == "form" and 2 * held.get(d, 0) > whole))
+                clear[d] = own and clear[around]
+        return clear[doubt]
+
+    return [b for b in found if not b[0].doubt or judged(b[0].doubt)]
+
+
+def scored(boxes: list[Node], found: list[tuple[Node, str, int]]) -> tuple[list[tuple[Node, int, int]], int]:
+    """The containers that hold more than half of a page's unlinked text, each with its first block and the one after its last, outermost first, and
+    the place in this list of the one the page votes for: the innermost with MOST of it; an article or main around that is taken
+    whole. A page of links alone is scored by all its text.
+    """
+    weights = [len(words) - linked for _, words, linked in found]
+    weights = weights if any(weights) else [len(words) for _, words, _ in found]
+    inside, first, last = [0] * len(boxes), [len(found)] * len(boxes), [0] * len(boxes)
+    for i, ((node, _, _), weight) in enumerate(zip(found, weights, strict=True)):
+        inside[node.at] += weight
+        first[node.at], last[node.at] = min(first[node.at], i), i + 1
+    for n in reversed(boxes[1:]):  # a container opens after those around it
+        up = n.parent.box.at
+        inside[up] += inside[n.at]
+        first[up], last[up] = min(first[up], first[n.at]), max(last[up], last[n.at])
+    whole = inside[0]
+    chain = [(n, first[n.at], last[n.at]) for n in boxes if whole and 2 * inside[n.at] > whole]
+    best = max((i for i, (n, _, _) in enumerate(chain) if inside[n.at] >= MOST * whole), default=0)
+    return chain, next((i for i in range(best, -1, -1) if chain and chain[i][0].tag in ("article", "main")), best)
+
+
+def digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - 2**63
+
+
+VOTE = "path string, page long, outside array<struct<path: long, text: long>>"
+PARSED = "words array<string>, loose array<boolean>, paths array<long>, own int, choices array<struct<path: string, a: int, b: int>>"
+
+
+def vote(html: str | None) -> tuple[str | None, int, list[dict]]:
+    """A page's path, a hash of what it would take, and path and text of each block outside of it, hashed."""
+    boxes, found = blocks(html)
+    chain, best = scored(boxes, found)
+    if not chain:
+        return None, 0, []
+    node, a, b = chain[best]
+    outside = [{"path": digest(n.path), "text": digest(words)} for n, words, _ in found[:a] + found[b:]]
+    return node.path, digest("\n".join(words for _, words, _ in found[a:b])), outside
+
+
+def parse(html: str | None) -> tuple[list[str], list[bool], list[int], int, list[dict]]:
+    """A page's blocks, whether each is more than links, the hash of its path, the place of the page's own choice, and the paths that hold more than half
+    of the unlinked text with the blocks inside, outermost first."""
+    boxes, found = blocks(html)
+    chain, best = scored(boxes, found)
+    known: dict[str, int] = {}
+    paths = [known[n.path] if n.path in known else known.setdefault(n.path, digest(n.path)) for n, _, _ in found]
+    return [words for _, words, _ in found], [2 * linked <= len(words) for _, words, linked in found], paths, best, [{"path": n.path, "a": a, "b": b} for n, a, b in chain]
+
+
+def extract(html: str | None, winners: list[str] | None = None, template: frozenset[int] = frozenset()) -> str:
+    """Main text by the first winning path that holds more than half of the text, or else the page's own."""
+    words, loose, paths, own, choices = parse(html)
+    if not choices:
+        return ""
+    at = next((c for w in winners or [] for c in choices if c["path"] == w), choices[own])
+    return "\n\n".join(w for i, w in enumerate(words) if at["a"] <= i < at["b"] or (loose[i] and paths[i] not in template))
 
 
 def host_paths(pages: DataFrame, least: float = 0.2) -> DataFrame:
@@ -242,32 +297,47 @@ def host_paths(pages: DataFrame, least: float = 0.2) -> DataFrame:
     return shares.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "path"))).alias("won")).select("host", F.transform("won", lambda x: x["path"]).alias("paths"))
 
 
+def templates(votes: DataFrame) -> DataFrame:
+    """(host, template): hashes of the paths whose blocks say the same on several different pages of a host.
+
+    Pages that take the same text count once, so that copies of a page make no template.
+    """
+    rows = votes.select("host", "page", F.explode("outside").alias("o")).groupBy("host", F.col("o.path").alias("path"))
+    counts = rows.agg(F.countDistinct("page").alias("pages"), F.countDistinct("o.text").alias("texts"))
+    own = counts.filter((F.col("pages") >= TEMPLATE_PAGES) & (F.col("texts") <= TEMPLATE_TEXTS * F.col("pages")))
+    return own.groupBy("host").agg(F.collect_list("path").alias("template"))
+
+
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
     A null or empty html gives an empty text; a null url is a host of its own; repeated rows stay; no rows give no rows;
-    other columns are left out. An unclosed element ends with the page. A page that no winning path holds whole falls
-    back to its own best container. A host's pages are spread over SALTS keys, each with the host's few paths.
+    other columns are left out. An unclosed element ends with the page, a tag whose quote is never closed at its first >. A page that
+    no winning path holds for the most part falls back to its own container. A host's pages are spread over SALTS keys, each with the host's few paths.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
     @F.pandas_udf(PARSED)
     def read(htmls: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(h)[1:] for h in htmls], columns=["words", "own", "choices"], index=htmls.index)
+        return pd.DataFrame([parse(h) for h in htmls], columns=["words", "loose", "paths", "own", "choices"], index=htmls.index)
 
-    @F.pandas_udf("string")
-    def vote(htmls: pd.Series) -> pd.Series:
-        best = [best_container(blocks(h)) for h in htmls]
-        return pd.Series([b.path if b else None for b in best], index=htmls.index, dtype=object)
+    @F.pandas_udf(VOTE)
+    def voted(htmls: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([vote(h) for h in htmls], columns=["path", "page", "outside"], index=htmls.index)
 
-    parsed = rows.select("page_id", "url", host.alias("host"), read("html").alias("p")).select("page_id", "url", "host", "p.words", "p.own", "p.choices")
-    won = host_paths(rows.select(host.alias("host"), vote("html").alias("path"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    votes = stored(rows.select(host.alias("host"), voted("html").alias("v")).select("host", "v.*"), "votes")
+    won = host_paths(votes).join(templates(votes), "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    parsed = rows.select("page_id", "url", host.alias("host"), read("html").alias("p")).select("page_id", "url", "host", "p.*")
     salted = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "words"), F.lit(SALTS)).cast("int"))
-    held = F.transform(F.coalesce("paths", F.array().cast("array<string>")), lambda p: F.get(F.filter("choices", lambda c: c["path"] == p), F.lit(0))["at"])
-    at = F.coalesce(F.get(F.filter(held, lambda x: x.isNotNull()), F.lit(0)), F.col("own"))
-    text = F.array_join(F.transform(at, lambda i: F.get("words", i)), "\n\n")
-    return salted.join(won, ["host", "salt"], "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    held = F.transform(F.coalesce("won", F.array().cast("array<string>")), lambda p: F.get(F.filter("choices", lambda c: c["path"] == p), F.lit(0)))
+    both = salted.join(won.withColumnRenamed("paths", "won"), ["host", "salt"], "left")
+    both = both.withColumn("at", F.coalesce(F.get(F.filter(held, lambda x: x.isNotNull()), F.lit(0)), F.get("choices", "own")))
+    both = both.withColumn("template", F.coalesce("template", F.array().cast("array<bigint>")))
+    inside = lambda i: (i >= F.col("at")["a"]) & (i < F.col("at")["b"])
+    kept = F.filter("words", lambda w, i: inside(i) | (F.get("loose", i) & ~F.array_contains("template", F.get("paths", i))))
+    text = F.when(F.col("at").isNotNull(), F.array_join(kept, "\n\n")).otherwise("")
+    return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6_html(spark, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def test_html_keeps_article_text_outside_the_largest_container(spark):
         "<body><div class=s><p>Story.</p></div><ul><li><a href=/x>elsewhere</a></ul></body>": "Story.",
     }
     for page, text in pages.items():
-        assert html.extract(page)[0] == text
+        assert html.extract(page) == text
     other = "<body><div class=t><p>Short.</p></div><div class=u><p>A much longer story stands here.</p></div></body>"
     rows = spark.createDataFrame([(i, "http://a.com/x", "<body><div class=t><p>Mine.</p></div></body>" if i else other) for i in range(4)], "page_id long, url string, html string")
     assert {r["page_id"]: r["text"] for r in html.main_text(rows).collect()}[0] == "Short.\n\nA much longer story stands here."
@@ -150,10 +150,96 @@ def test_html_leaves_out_by_whole_names_and_evidence():
         "<p>a &lt;b&gt; &amp; c&nbsp;d<!-- <p>no": "a <b> & c d",
     }
     for page, text in cases.items():
-        assert html.extract(page)[0] == text, page
-    deep = html.extract("<div>" * 20_000 + "end" + "<p>x" * 2000)[0]
+        assert html.extract(page) == text, page
+    deep = html.extract("<div>" * 20_000 + "end" + "<p>x" * 2000)
     assert deep == "\n\n".join(["end", *["x"] * 2000])
-    assert len(html.extract("<p>" + "word " * 400_000)[0]) == 5 * 400_000 - 1
+    assert len(html.extract("<p>" + "word " * 400_000)) == 5 * 400_000 - 1
+
+
+def test_html_leaves_out_what_pages_show_only_in_odd_markup():
+    cases = {
+        '<div class="a><p>Lost text?': "Lost text?",
+        '<p>story</p><div class="cc-window">We use cookies. Accept</div>': "story",
+        '<p>story</p><ul id="commentlist"><li>x</ul>': "story",
+        '<p>story</p><section class="user-comments-thread"><p>x</section>': "story",
+        '<p>story</p><div class="dfp-unit">Buy now</div>': "story",
+        '<article><section class="notices"><p>Only text</section></article>': "Only text",
+        "<p>Let <math><mi>x</mi></math> be</p>": "Let x be",
+        "<div>" * 511 + "<aside>AD<div><p>promo text": "",
+        "<div>" * 900 + "<p>deep": "deep",
+        "<a href=x>one<a href=y>two</a><p>story": "onetwo\n\nstory",
+    }
+    for page, text in cases.items():
+        assert html.extract(page) == text, page
+
+
+def test_html_takes_linear_time():
+    import time
+
+    for page in ("<body><form>" + "<p>some words here</p>" * 20_000 + "</form>", '<div class="promo">' + "<article><p>x y</p></article>" * 20_000, "<div><p>ab" * 20_000, "<b>" * 20_000 + "<p>x</p>" * 20_000, "<div>" * 20_000 + "x</span>" * 20_000):
+        start = time.time()
+        assert html.extract(page)
+        assert time.time() - start < 10  # under a second where nothing else runs
+
+
+def brute_main_text(rows):
+    """Votes and templates counted page by page, straight from the blocks."""
+    hosts = {}
+    for _, url, page in rows:
+        host = re.sub(r"^https?://([^/]*).*", r"\1", url) if url else ""
+        boxes, found = html.blocks(page)
+        chain, best = html.scored(boxes, found)
+        if chain:
+            node, a, b = chain[best]
+            votes, seen = hosts.setdefault(host, (Counter(), {}))
+            votes[node.path] += 1
+            for i, (n, words, _) in enumerate(found):
+                if not a <= i < b:
+                    own = seen.setdefault(n.path, (set(), set()))
+                    own[0].add(tuple(w for _, w, _ in found[a:b]))
+                    own[1].add(words)
+    out = []
+    for key, url, page in rows:
+        host = re.sub(r"^https?://([^/]*).*", r"\1", url) if url else ""
+        votes, seen = hosts.get(host, (Counter(), {}))
+        winners = [p for p, n in sorted(votes.items(), key=lambda x: (-x[1], x[0])) if n >= 0.2 * sum(votes.values())]
+        boxes, found = html.blocks(page)
+        chain, best = html.scored(boxes, found)
+        by_path = {}
+        for n, a, b in chain:
+            by_path.setdefault(n.path, (a, b))
+        a, b = next((by_path[w] for w in winners if w in by_path), chain[best][1:] if chain else (0, 0))
+        template = {p for p, (pages, texts) in seen.items() if len(pages) >= 3 and 2 * len(texts) <= len(pages)}
+        text = "\n\n".join(w for i, (n, w, linked) in enumerate(found) if a <= i < b or (2 * linked <= len(w) and n.path not in template))
+        out.append((key, url, text, len(text)))
+    return out
+
+
+def consensus_pages():
+    story = lambda i: f"<div class=story><p>Story {i} tells a long tale of its own, {i * 37} words and more.</p><p>{'And it goes on. ' * 9}</p></div>"
+    strip = "<div class=zone><p>All rights with the house.</p></div>"
+    rows = [(i, "http://a.com/x", f"<body><h2>Lead {i}</h2>{story(i)}{strip}</body>") for i in range(6)]  # the strip is the same on all pages: template
+    rows += [(10 + i, "http://b.com/x", f"<body>{story(7)}{strip}</body>") for i in range(6)]  # copies of one page show no template
+    rows += [(20 + i, "http://c.com/x", f"<body>{story(i)}<div class=zone><p>Note {i}.</p></div></body>") for i in range(6)]  # notes differ
+    rows += [(30, "http://a.com/y", f"<body><section><p>{'Another make of page. ' * 9}</p></section>{strip}</body>"), (31, "http://a.com/z", f"<body>{strip}</body>"), (32, None, None), (33, "http://a.com/l", "<body><ul><li><a href=x>all</a><li><a href=y>links</a></ul></body>")]
+    return rows
+
+
+def test_html_consensus_narrows_pages_only_where_the_host_shows_a_template(spark):
+    rows = consensus_pages()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
+    assert all(f"Lead {i}" in got[i] and "rights" not in got[i] for i in range(6))
+    assert all("rights" in got[10 + i] and f"Note {i}." in got[20 + i] for i in range(6))
+    assert "rights" not in got[30] and got[30].startswith("Another") and got[31] == "All rights with the house."
+    assert got[33] == "all\n\nlinks"
+    assert all("rights" in html.extract(rows[i][2]) for i in range(6))  # by itself a page cannot know
+
+
+def test_html_equals_brute_force(spark):
+    df = spark.createDataFrame(consensus_pages() * 2, "page_id long, url string, html string").unionByName(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html"))
+    rows = [tuple(r) for r in df.collect()]
+    assert sorted(map(str, map(tuple, html.main_text(df).collect()))) == sorted(map(str, brute_main_text(rows)))
 
 
 def test_html_reads_clashing_columns_repeated_rows_and_null_ids(spark):
