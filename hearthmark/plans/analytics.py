@@ -174,7 +174,29 @@ query("entry_costs", f"SELECT o_orderkey, {BSD('o_totalprice')} + o_totalprice *
 query("confidence", f"""{BASE}, g AS (SELECT project, count(*) AS n, (max(psf) - min(psf)) / avg(psf) / 20 AS spread FROM comps GROUP BY 1) SELECT project, greatest(20.0, 90 - 45 * exp(-n / 6) - least(greatest((spread - 0.05) * 160, 0), 35)) AS score FROM g""")(
     lambda s, d: comps(s, d).groupBy("project").agg(F.count("*").alias("n"), ((F.max("psf") - F.min("psf")) / F.avg("psf") / 20).alias("spread")).select("project", C.confidence(F.col("n"), F.lit(False), F.lit(0.0), F.col("spread")).alias("score"))
 )
-query("html_attr_map", "WITH a AS (SELECT unnest(regexp_extract_all(html, '[ \\t\\n\\r](class|lang|charset)=\"([^\"]*)\"', 1)) AS name, unnest(regexp_extract_all(html, '[ \\t\\n\\r](class|lang|charset)=\"([^\"]*)\"', 2)) AS value FROM pages) SELECT name, value, count(*) AS n FROM a GROUP BY 1, 2")(lambda s, d: S.attribute_counts(table(s, d, "pages")))
+_ATTR = S.ATTRIBUTE.replace("'", "''")
+query("html_attr_map", f"WITH a AS (SELECT unnest(regexp_extract_all(html, '{_ATTR}', 1)) AS name, unnest(regexp_extract_all(html, '{_ATTR}', 2)) AS value FROM pages) SELECT name, value, count(*) AS n FROM a GROUP BY 1, 2")(lambda s, d: S.attribute_counts(table(s, d, "pages")))
+# a part's attributes as a table of marks, and counts of lines as nested series
+PARTS_SQL = "concat('<table> <tr><th>LU_DESC </th>', CASE WHEN p_partkey % 2 = 0 THEN ' ' ELSE '' END, '<td><b>', p_type, '</b></td></tr><TR><TH>GPR</TH><TD> ', p_size, '</TD></TR><tr><th>LU_DESC</th> <td>', p_brand, '<br/></td></tr></table>')"
+query("attr_table", "SELECT p_partkey, p_brand AS lu_desc, CAST(p_size AS VARCHAR) AS gpr, 2 AS n FROM part WHERE p_partkey % 5 > 0 UNION ALL SELECT p_partkey, NULL, NULL, NULL FROM part WHERE p_partkey % 5 = 0")(
+    lambda s, d: table(s, d, "part").select("p_partkey", S.table_map(F.when(F.col("p_partkey") % 5 > 0, F.expr(PARTS_SQL)).otherwise("plain text")).alias("m")).select("p_partkey", F.try_element_at("m", F.lit("LU_DESC")).alias("lu_desc"), F.try_element_at("m", F.lit("GPR")).alias("gpr"), F.when(F.col("m").isNotNull(), F.size("m")).alias("n"))
+)
+COUNTS = "SELECT l_returnflag AS flag, l_linenumber AS line, year(l_shipdate) AS y, quarter(l_shipdate) AS q, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4"
+
+
+def series_json(s, d):
+    """A statistical table a line number, with holes and keys that cannot be read."""
+    counts = table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("line"), F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q")).agg(F.count("*").alias("n"))
+    key = F.when(F.col("y") == 1996, F.concat_ws("-", "y", "q")).otherwise(F.concat(F.lit(" "), F.col("y"), F.lit(" "), F.col("q"), F.lit("Q")))
+    value = F.when(F.col("n") % 7 == 0, "na").when(F.col("n") % 7 == 1, "-").when(F.col("n") % 7 == 2, "n/a").otherwise(F.concat(F.col("n"), F.lit(".5")))
+    rows = counts.groupBy("line", "flag").agg(F.collect_list(F.struct(key.alias("key"), value.alias("value"))).alias("columns"))
+    tables = rows.groupBy("line").agg(F.collect_list(F.struct(F.when(F.col("flag") != "N", F.concat(F.lit(" "), "flag")).alias("rowText"), "columns")).alias("row"))
+    return tables.select(F.to_json(F.struct(F.struct(F.concat(F.lit("Line "), "line").alias("title"), "row").alias("Data"))).alias("json"))
+
+
+query("series_flatten", f"WITH c AS ({COUNTS}) SELECT 'Line ' || line AS title, CASE WHEN flag = 'N' THEN '?' ELSE flag END AS series, y || 'Q' || q AS quarter, CAST(n || '.5' AS DOUBLE) AS value FROM c WHERE y <> 1996 AND n % 7 > 2")(lambda s, d: S.series_points(series_json(s, d))[0])
+query("series_rejects", f"WITH c AS ({COUNTS}) SELECT 'Line ' || line AS title, CASE WHEN flag = 'N' THEN '?' ELSE flag END AS series, count(*) AS n FROM c WHERE n % 7 > 1 AND (y = 1996 OR n % 7 = 2) GROUP BY 1, 2")(lambda s, d: S.series_points(series_json(s, d))[1].groupBy("title", "series").agg(F.count("*").alias("n")))
+query("index_load", f"WITH c AS ({COUNTS}) SELECT 'Line ' || line AS title, flag AS series, y || 'Q' || q AS quarter, CAST(n || '.5' AS DOUBLE) AS value, CASE flag WHEN 'A' THEN 'all' ELSE 'landed' END AS kind FROM c WHERE y <> 1996 AND n % 7 > 2 AND flag IN ('A', 'R')")(lambda s, d: S.index_kinds(S.series_points(series_json(s, d))[0], {"a": "all", "r": "landed"}))
 query("tenure_parse", """WITH t AS (SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'Freehold' WHEN p_size % 4 = 1 THEN '999 yrs lease commencing from 1885' WHEN p_size % 4 = 2 THEN '99 yrs lease commencing from ' || (1970 + p_size) ELSE 'N/A' END AS raw, p_size FROM part)
 SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'freehold' WHEN 1 THEN 'freehold_equiv' WHEN 2 THEN 'leasehold' ELSE 'unknown' END AS tenure_type, CAST(CASE p_size % 4 WHEN 1 THEN 1885 WHEN 2 THEN 1970 + p_size END AS INTEGER) AS lease_start FROM t""")(
     lambda s, d: (lambda raw: table(s, d, "part").withColumn("raw", raw).select("p_partkey", S.tenure("raw")[0].alias("tenure_type"), S.tenure("raw")[1].alias("lease_start")))(F.when(F.col("p_size") % 4 == 0, "Freehold").when(F.col("p_size") % 4 == 1, "999 yrs lease commencing from 1885").when(F.col("p_size") % 4 == 2, F.concat(F.lit("99 yrs lease commencing from "), (1970 + F.col("p_size")).cast("string"))).otherwise("N/A"))

@@ -1,7 +1,7 @@
 """The registered queries of the library and their SQL."""
 
-from hearthmark.plans import analytics, captures, engines, factors, places, records, screens, surfaces, valuation
+from hearthmark.plans import analytics, captures, engines, factors, places, records, screens, search, surfaces, valuation
 
-PARTS = (valuation, analytics, engines, records, factors, surfaces, screens, captures, places)
+PARTS = (valuation, analytics, engines, records, factors, surfaces, screens, captures, places, search)
 QUERIES = {name: q for part in PARTS for name, q in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +48,71 @@ def normalize(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flat.filter(good), flat.filter(~good)
 
 
+ATTRIBUTE = r'[ \t\n\r]([a-zA-Z_:][a-zA-Z0-9_:.-]*)="([^"]*)"'
+
+
 def attribute_counts(pages: DataFrame, column: str = "html") -> DataFrame:
-    """How often each attribute value occurs, by name and value."""
-    names, values = (F.regexp_extract_all(column, F.lit(r'\s(class|lang|charset)="([^"]*)"'), F.lit(i)) for i in (1, 2))
+    """How often each quoted attribute value occurs, by name and value, over whole texts."""
+    names, values = (F.regexp_extract_all(column, F.lit(ATTRIBUTE), F.lit(i)) for i in (1, 2))
     return pages.select(F.explode(F.arrays_zip(names.alias("name"), values.alias("value"))).alias("a")).groupBy("a.name", "a.value").agg(F.count("*").alias("n"))
 
 
+def table_map(description: Column) -> Column:
+    """The th and td pairs of an attribute table as a map, cells without markup; null where there is no pair. Of a repeated name the last counts."""
+    pair = lambda i: F.regexp_extract_all(description, F.lit(r"(?is)<th>(.*?)</th>\s*<td>(.*?)</td>"), F.lit(i))
+    bare = lambda v: F.trim(F.regexp_replace(v, "<[^>]+>", ""))
+    names, values = F.transform(pair(1), lambda k: F.trim(k)), F.transform(pair(2), bare)
+    last = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["k"]))
+    return F.when(F.size(names) > 0, F.map_from_entries(last))
+
+
+def decoded(raw: str) -> Column:
+    """(text, coding) of bytes: UTF-8, else cp1252, else UTF-8 with what cannot be read replaced, so that one byte sinks no batch."""
+
+    @F.pandas_udf("text string, coding string")
+    def run(values: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in values:
+            for coding in ("utf-8", "cp1252") if v is not None else ():
+                try:
+                    out.append((bytes(v).decode(coding), coding))
+                    break
+                except UnicodeDecodeError:
+                    continue
+            else:
+                out.append((None, None) if v is None else (bytes(v).decode("utf-8", "replace"), "replaced"))
+        return pd.DataFrame(out, columns=["text", "coding"])
+
+    return run(F.col(raw))
+
+
+def read_bytes(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, text, coding) of whole files."""
+    return spark.read.format("binaryFile").load(list(paths)).select("path", decoded("content").alias("d")).select("path", "d.*")
+
+
+SERIES = "Data struct<title: string, row: array<struct<rowText: string, columns: array<struct<key: string, value: string>>>>>"
+
+
+def series_points(tables: DataFrame, column: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(title, series, quarter, value) of nested statistical tables, and the rejects whose quarter or value cannot be read.
+
+    Points without a value ('', na, -) are none and no rejects; a series without a name is called ?.
+    """
+    data = tables.select(F.from_json(column, SERIES)["Data"].alias("d")).select(F.coalesce("d.title", F.lit("")).alias("title"), F.explode("d.row").alias("r"))
+    points = data.select("title", F.coalesce(F.nullif(F.trim("r.rowText"), F.lit("")), F.lit("?")).alias("series"), F.explode("r.columns").alias("c")).filter("c.value IS NOT NULL AND trim(c.value) NOT IN ('', 'na', '-')")
+    part = lambda i: F.regexp_extract(F.trim("c.key"), r"^([0-9]{4})\s+([1-4])Q$", i)
+    rows = points.select("title", "series", F.when(part(1) != "", F.concat(part(1), F.lit("Q"), part(2))).alias("quarter"), F.col("c.value").try_cast("double").alias("value"), F.col("c.key").alias("key"), F.col("c.value").alias("raw"))
+    good = F.col("quarter").isNotNull() & F.col("value").isNotNull()
+    return rows.filter(good).drop("key", "raw"), rows.filter(~good).select("title", "series", "key", "raw")
+
+
+def index_kinds(points: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Points with the kind of their series; a series that has none goes."""
+    known = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
+    return points.withColumn("kind", F.try_element_at(known, F.lower("series"))).filter("kind IS NOT NULL")
+
+
 def newest(files: DataFrame, stamp: str) -> DataFrame:
     """Rows of the newest snapshot."""
     return files.join(F.broadcast(files.agg(F.max(stamp).alias(stamp))), stamp)
