@@ -87,7 +87,7 @@ def decoded(raw: str) -> Column:
 
 
 def read_bytes(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, text, coding) of whole files."""
+    """(path, text, coding) of whole files that are not empty."""
     return spark.read.format("binaryFile").load(list(paths)).select("path", decoded("content").alias("d")).select("path", "d.*")
 
 
