@@ -12,11 +12,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthmark.llm.common import components, drop, partitions, stored
+from hearthmark.llm.common import components, drop, groups, partitions, stored
 
 RADIUS, LARGE, FOREST = 2, 20_000, 50_000
 BITS = 64
@@ -188,12 +189,13 @@ def representatives(docs: DataFrame, **how) -> DataFrame:
 
 
 WIDTH, ALIKE = 5, 0.8  # the pipeline's settings: words a shingle, least Jaccard of the shingle sets
-REACH, TABLES, ROWS = 20, 20, 5  # bits: 9.7 expected at ALIKE, deviation 2.9; a pair at ALIKE misses all tables once in 2,900
+REACH, TABLES, ROWS = 20, 20, 5  # bits: 9.7 expected at ALIKE, deviation 2.9, beyond REACH once in 5,000; a pair at ALIKE misses all tables once in 2,900
 KEYS = np.random.default_rng(8).integers(0, 2**63, (TABLES, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 TURNS = 2  # rounds in which a shard's members meet one lead
 ENOUGH = 62  # of the TABLES * ROWS least hashes: a pair at ALIKE agrees on 80, deviation 4, and falls short once in 100,000
-FINER = np.random.default_rng(9).integers(0, 2**63, 400, np.uint64) * np.uint64(2) + np.uint64(1)
-MOST = 286  # of the least hashes in FINER orders: 320 expected at ALIKE, deviation 8, the same chance to fall short
+FINER = np.random.default_rng(9).integers(0, 2**63, 1000, np.uint64) * np.uint64(2) + np.uint64(1)
+MOST = 746  # of the least hashes in FINER orders: 800 expected at ALIKE, deviation 12.6, the same chance to fall short
+BLOCK = 512  # members of a shard that meet another block of it in a task
 SKETCH = "fp long, n int, shards array<long>, least binary"
 
 
@@ -287,11 +289,53 @@ def beside(pairs: DataFrame, table: DataFrame, by: str) -> DataFrame:
     return left.join(table.select(F.col("tk").alias("b"), F.col(by).alias("y")), "b")
 
 
-def candidates(pairs: DataFrame, nodes: DataFrame, tested: DataFrame | None, enough: int = ENOUGH) -> DataFrame:
-    """The pairs (a, b) not yet tested whose least hashes agree on enough places: only these move texts."""
+def candidates(pairs: DataFrame, nodes: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) not yet tested whose least hashes agree on ENOUGH places: only these move texts."""
     pairs = pairs.distinct()
     pairs = pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs
-    return stored(beside(pairs, nodes, "least").filter(agreeing("x", "y") >= enough).select("a", "b"), "candidates")
+    return stored(beside(pairs, nodes, "least").filter(agreeing("x", "y") >= ENOUGH).select("a", "b"), "candidates")
+
+
+def _near_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted cells of shards to the pairs (a, b) of different roots that may be ALIKE by fingerprint, size and finer sketch.
+
+    A pair that shares several shards comes out of the first of them alone.
+    """
+    for (_, low, high), rows in groups(batches, ["key", "low", "high"]):
+        if rows.num_rows < 2:
+            continue
+        tk = rows.column("tk").to_pylist()
+        own, fp, n, tab, root = (rows.column(c).to_numpy() for c in ("own", "fp", "n", "tab", "root_key"))
+        keys = np.stack(rows.column("shards").to_numpy())
+        fine = np.stack([np.frombuffer(x, np.uint8) for x in rows.column("least").to_pylist()])
+        left = np.flatnonzero(own == low)
+        right = left if low == high else np.flatnonzero(own == high)
+        bits = fp.view(np.uint64)
+        for start in range(0, len(left), 64):
+            part = left[start : start + 64]
+            may = (root[part][:, None] != root[right]) & (np.bitwise_count(bits[part][:, None] ^ bits[right]) <= REACH)
+            may &= np.minimum(n[part][:, None], n[right]) >= ALIKE * np.maximum(n[part][:, None], n[right])
+            if low == high:
+                may &= np.arange(len(right)) > np.arange(start, start + len(part))[:, None]
+            i, j = np.nonzero(may)
+            for s in range(0, len(i), 8192):
+                a, b = part[i[s : s + 8192]], right[j[s : s + 8192]]
+                first = (keys[a] == keys[b]).argmax(axis=1) == tab[a]
+                a, b = a[first], b[first]
+                near = (fine[a] == fine[b]).sum(axis=1) >= MOST
+                pairs = [sorted((tk[p], tk[q])) for p, q in zip(a[near].tolist(), b[near].tolist(), strict=True)]
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.binary()), pa.array([q for _, q in pairs], pa.binary())], ["a", "b"])
+
+
+def near_in_shards(apart: DataFrame, fine: DataFrame) -> DataFrame:
+    """All members of a shard meet inside tasks, in pairs of blocks of BLOCK; what leaves them are the pairs that finer sketches let through."""
+    sizes = apart.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = apart.join(sizes, "key").join(fine, "tk").withColumn("own", F.pmod(F.xxhash64("tk", "key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "tk", "fp", "n", "tab", F.xxhash64("root").alias("root_key"), "shards", "least")
+    cell = ["key", "low", "high"]
+    return rows.repartition(partitions(apart.sparkSession), *cell).sortWithinPartitions(*cell).mapInArrow(_near_in_blocks, "a binary, b binary")
 
 
 def alike(near: DataFrame, texts: DataFrame) -> DataFrame:
@@ -312,44 +356,43 @@ def near_representatives(docs: DataFrame) -> DataFrame:
     Fingerprints within REACH bits are looked for in shards. Bands of the bits are of no use so far out, as 21 bands of three bits
     would send every pair to some shard; a shard here is of fingerprints whose texts share their least shingles. Candidates are
     held against ALIKE in full before they link. In each of TURNS rounds every member of a shard meets one lead, drawn anew, unless
-    both are linked already; then the pairs of a shard that this left apart meet, by finer sketches first. So what is alike costs a
-    few times its number. What is a little less alike than ALIKE costs pairs: nothing short of a comparison shows that it has
-    no link. Exact copies are one text from the start: the first aggregation leaves
-    one a task, so that they meet in no task as a group."""
+    both are linked already; then the members that this left apart meet inside tasks, by finer sketches, and the few pairs these
+    let through are held against ALIKE. What is alike costs a few times its number; what is a little less alike than ALIKE costs comparisons of
+    sketches, but no rows: nothing short of a comparison shows that it has no link. Exact copies are one text from the start, by 128 bits of its
+    hash: the first aggregation leaves one a task, so that they meet in no task as a group."""
 
     def members(name: str):
         return lambda c: F.col(f"{name}.{c}")
 
     pair = lambda a, b: [F.least(a("tk"), b("tk")).alias("a"), F.greatest(a("tk"), b("tk")).alias("b")]
-    keyed = docs.select(F.xxhash64("text").alias("tk"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
+    keyed = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tk"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
     one = keyed.groupBy("tk").agg(F.min(F.struct(F.col("doc.doc_id").isNull(), F.col("doc.doc_id"), "doc")).alias("k"))
     # the documents move once, by their text's key; what later needs texts or rows by that key finds them in place
     rows = stored(one.select("tk", "k.doc"), "rows", bucket_by="tk")
     texts = rows.select("tk", F.col("doc.text").alias("text"))
     nodes = stored(rows.select("tk", "doc.doc_id", sketches("doc.text").alias("s")).select("tk", "doc_id", "s.*"), "nodes")
-    shards = nodes.select("tk", "fp", "n", F.explode("shards").alias("key"))
+    shards = nodes.select("tk", "fp", "n", F.posexplode("shards").alias("tab", "key"))
     many = shards.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1").select("key")
-    apart = stored(shards.join(many, "key").select("key", "tk", "fp", "n", F.col("tk").alias("root")), "apart")
+    apart = stored(shards.join(many, "key").select("key", "tab", "tk", "fp", "n", F.col("tk").alias("root")), "apart")
     links = tested = roots = None
     x, y = members("x"), members("y")
     for turn in range(TURNS + 1):
         if turn < TURNS:
             lead = apart.groupBy("key").agg(F.min_by(F.struct("tk", "fp", "n", "root"), F.xxhash64("tk", F.lit(turn))).alias("y"))
             met = apart.alias("x").join(lead, "key").filter((x("root") != y("root")) & close(x, y))
-        else:
-            met = apart.alias("x").join(apart.alias("y"), (x("key") == y("key")) & (x("root") < y("root")) & close(x, y))
-        if turn < TURNS:
             near = candidates(met.select(*pair(x, y)), nodes, tested)
         else:
-            fine = stored(texts.join(apart.select("tk").distinct(), "tk", "left_semi").select("tk", finer("text").alias("least")), "finer")
-            near = candidates(met.select(*pair(x, y)), fine, tested, MOST)
+            left = apart.select("tk").distinct()
+            fine = stored(texts.join(left, "tk", "left_semi").select("tk", finer("text").alias("least")), "finer")
+            fine = fine.join(nodes.select("tk", "shards"), "tk")
+            near = stored(near_in_shards(apart, fine).join(tested, ["a", "b"], "left_anti"), "candidates")
         found = alike(near, texts)
         links, tested = (found, near) if turn == 0 else (links.unionByName(found), tested.unionByName(near))
         roots = components(links).withColumnRenamed("node", "tk")
         if turn < TURNS:
             rooted = apart.drop("root").join(roots, "tk", "left").withColumn("root", F.coalesce("root", "tk"))
             split = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-            last, apart = apart, stored(rooted.join(split, "key").select("key", "tk", "fp", "n", "root"), "apart")
+            last, apart = apart, stored(rooted.join(split, "key").select("key", "tab", "tk", "fp", "n", "root"), "apart")
             drop(last)
     named = nodes.select("doc_id", "tk").join(roots, "tk", "left").withColumn("root", F.coalesce("root", "tk"))
     kept = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tk"))).alias("k")).select("k.tk")
