@@ -6,9 +6,10 @@ import time
 
 from pyspark.sql import SparkSession
 
+from hearthmark import store
 from hearthmark.plans import catalog
 
-HEADLINE = ["leaderboard", "walk_forward", "c1_grid", "b5_segment", "a2_pooled", "lc2_curve", "e2_blend", "b4_nearest", "conformal_apply", "pair_elasticity", "fuzzy_dedup", "reconcile", "audit", "fe_slope", "token_records"]
+HEADLINE = ["leaderboard", "walk_forward", "c1_grid", "b5_segment", "a2_pooled", "lc2_curve", "e2_blend", "b4_nearest", "conformal_apply", "pair_elasticity", "fuzzy_dedup", "reconcile", "audit", "fe_slope", "token_records", "reconstruct", "bootstrap_ci", "half_tables", "profit_records", "nearest_edge", "weight_holdout"]
 
 
 def main() -> None:
@@ -21,6 +22,7 @@ def main() -> None:
         start = time.time()
         catalog.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - start, 3)
+    store.release(spark)
     print(json.dumps({"metric": "headline query seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}))
 
 

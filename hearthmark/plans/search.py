@@ -47,14 +47,14 @@ def leaderboard_all(spark, d):
     """Every point method on every subject, by median error."""
     known = V.QUERIES | G.QUERIES
     rows = E.walk_forward(V.inputs(spark, d)[0], [known[q](spark, d) for q in METHODS.values()], list(METHODS))
-    return E.summary(rows).select(*METRICS).withColumn("place", F.row_number().over(V.A.Window.orderBy("median_ape", "method")))  # a row a method
+    return E.summary(rows).select(*METRICS).withColumn("place", F.row_number().over(V.A.Window.orderBy(F.asc_nulls_last("median_ape"), "method")))  # a row a method; one that values nothing comes last
 
 
 _COLUMNS = "s_id, method, psf, low, high, n_comps"
 _EST = " UNION ALL ".join(f"SELECT {_COLUMNS} FROM ({(V.ORACLES | G.ORACLES)[q]})" for q in METHODS.values())
 query("leaderboard_all", leaderboard_all, f"""{V.BASE}, est AS ({_EST}), rows_ AS (SELECT s.price AS s_price, m.method, e.psf * s.area_sqft AS pred FROM subj s CROSS JOIN (SELECT unnest({list(METHODS)}) AS method) m LEFT JOIN est e ON e.s_id = s.id AND e.method = m.method)
 SELECT method, count(pred) AS n, count(pred) / count(*) AS coverage_rate, quantile_cont(abs(pred - s_price) / s_price, 0.5) AS median_ape, quantile_cont(abs(pred - s_price) / s_price, 0.9) AS p90_ape,
-  row_number() OVER (ORDER BY quantile_cont(abs(pred - s_price) / s_price, 0.5), method) AS place FROM rows_ GROUP BY 1""")
+  row_number() OVER (ORDER BY quantile_cont(abs(pred - s_price) / s_price, 0.5) NULLS LAST, method) AS place FROM rows_ GROUP BY 1""")
 
 KEYS, VALUES = ["level", "liq", "cell"], ["lo_ratio", "hi_ratio", "n"]
 
