@@ -10,7 +10,7 @@ from hearthmark.functions import columns as C
 from hearthmark.operators import asof as A
 from hearthmark.operators import estimators as E
 from hearthmark.operators import resolve as R
-from hearthmark.plans import catalog, engines
+from hearthmark.plans import appraisals, catalog, engines
 from hearthmark.plans.caveats import caveats
 from hearthmark.sources import ingest as S
 
@@ -32,7 +32,7 @@ def same(a, b):
     return str(a)[:10] == str(b)[:10] if hasattr(a, "year") or hasattr(b, "year") else a == b
 
 
-SQL = catalog.ORACLES | {k: v for k, v in engines.SMALL.items() if k != "a3_knn"}  # a3_knn: test_models
+SQL = catalog.ORACLES | {k: v for k, v in engines.SMALL.items() if k != "a3_knn"} | appraisals.SMALL  # a3_knn: test_models
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
