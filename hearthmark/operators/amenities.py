@@ -37,7 +37,7 @@ def postal_map(rows: DataFrame) -> DataFrame:
     beats the segment of the district, as districts straddle regions; note then names the segment that it overruled."""
     given = F.coalesce(F.nullif(F.col("district"), F.lit("")), district_of(F.col("postal")).cast("string"))
     rows = rows.withColumn("district_no", given).withColumn("guess", segment_of(F.col("district_no")))
-    return rows.withColumn("segment", F.coalesce(F.nullif("region", F.lit("")), "guess")).withColumn("note", F.when(F.col("region") != F.col("guess"), F.concat(F.lit("by district "), "guess"))).drop("guess")
+    return rows.withColumn("segment", F.coalesce(F.nullif("region", F.lit("")), "guess")).withColumn("note", F.when(F.nullif("region", F.lit("")) != F.col("guess"), F.concat(F.lit("by district "), "guess"))).drop("guess")
 
 
 def schools(rows: DataFrame, places: DataFrame) -> DataFrame:

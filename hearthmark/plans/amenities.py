@@ -38,7 +38,7 @@ QUERIES["postal_map"] = lambda spark, d: L.postal_map(view(spark, d, "posts", PL
 ORACLES["postal_map"] = f"""WITH {PLACES_SQL}, s AS (SELECT *, CASE WHEN length(trim(postal)) = 6 THEN TRY_CAST(substr(trim(postal), 1, 2) AS INTEGER) END AS sector FROM posts),
 n AS (SELECT *, coalesce(nullif(district, ''), CAST({_DISTRICT} AS VARCHAR)) AS district_no FROM s), g AS (SELECT *, TRY_CAST(regexp_extract(district_no, '([0-9]+)', 1) AS INTEGER) AS k FROM n),
 h AS (SELECT *, CASE WHEN k IN {L.CORE} THEN 'CCR' WHEN k IN {L.REST} THEN 'RCR' WHEN k IS NOT NULL THEN 'OCR' END AS guess FROM g)
-SELECT id, district, region, postal, district_no, coalesce(nullif(region, ''), guess) AS segment, CASE WHEN region <> guess THEN 'by district ' || guess END AS note FROM h"""
+SELECT id, district, region, postal, district_no, coalesce(nullif(region, ''), guess) AS segment, CASE WHEN nullif(region, '') <> guess THEN 'by district ' || guess END AS note FROM h"""
 QUERIES["poi_filter_join"] = lambda spark, d: L.schools(view(spark, d, "taught", PLACES_SQL), view(spark, d, "coded", PLACES_SQL))
 ORACLES["poi_filter_join"] = f"""WITH {PLACES_SQL}, placed AS (SELECT postal, min((x, y)) AS spot FROM coded GROUP BY 1)
 SELECT trim(name) AS name, trim(coalesce(t.postal, '')) AS postal, CASE WHEN trim(coalesce(t.postal, '')) = '' THEN 'no_postal' WHEN spot IS NULL THEN 'no_place' ELSE 'matched' END AS status, spot[1] AS x, spot[2] AS y FROM taught t LEFT JOIN placed ON placed.postal = trim(t.postal) WHERE upper(level) = 'PRIMARY' OR upper(level) LIKE 'MIXED LEVEL (P1%'"""
