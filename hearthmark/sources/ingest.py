@@ -107,6 +107,12 @@ def series_points(tables: DataFrame, column: str = "json") -> tuple[DataFrame, D
     return rows.filter(good).drop("key", "raw"), rows.filter(~good).select("title", "series", "key", "raw")
 
 
+def year_values(lines: DataFrame, column: str, name: str) -> DataFrame:
+    """(year, name) of comma-separated lines whose first two fields are a year and a number, further ones are let be; the header and blank lines have none and go."""
+    fields = F.split(F.trim(column), ",")
+    return lines.select(F.trim(F.get(fields, F.lit(0))).try_cast("int").alias("year"), F.trim(F.get(fields, F.lit(1))).try_cast("double").alias(name)).filter(F.col("year").isNotNull() & F.col(name).isNotNull())
+
+
 def index_kinds(points: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Points with the kind of their series; a series that has none goes."""
     known = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
