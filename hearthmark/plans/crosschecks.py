@@ -111,3 +111,11 @@ SELECT *, CASE WHEN reason IS NOT NULL THEN 'incomplete' WHEN unit IS NULL THEN
 
 _LINE = "concat(CASE WHEN y % 4 = 0 THEN ' ' ELSE '' END, y, ',', n, '.25', CASE WHEN y % 2 = 0 THEN ',note' ELSE '' END)"
 query("year_values", lambda s, d: S.year_values(table(s, d, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n")).select(F.expr(_LINE).alias("line")).unionByName(s.createDataFrame([("Year,Hectares",), ("",)], "line string")), "line", "hectares"), "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(concat(count(*), '.25') AS DOUBLE) AS hectares FROM orders GROUP BY 1")
+
+_GATE_SQL = {"subjects": "resales >= 10000", "months": "months >= 48", "pairs": "pairs >= 500", "short_pairs": "short >= 300", "band": "band_cut = 0"}
+_TOLD = {"hygiene": "bulk_dropped band_cut", "copies": "surplus share", "subjects": "resales months", "streets": "n mid p90", "matcher": "plots pairs short wild wild_share"}
+query("slice_audit", lambda s, d: K.slice_audit(caveats(s, d), pairs(s, d), "plot", 500.0, 6500.0, "F"), f"""{PAIRS}, h AS (SELECT count(*) FILTER (no_of_units > 1) AS bulk_dropped, count(*) FILTER (no_of_units <= 1 AND NOT psf BETWEEN 500 AND 6500) AS band_cut FROM caveats),
+c AS (SELECT CAST(sum(k - 1) AS DOUBLE) AS surplus, sum(k - 1) / sum(k) AS share FROM (SELECT count(*) AS k FROM comps GROUP BY street, area_sqft, property_type, month_idx, price)),
+s AS (SELECT count(*) FILTER (type_of_sale = 'F') AS resales, count(DISTINCT month_idx) AS months FROM comps), st AS (SELECT list_sort(list(k)) AS ks FROM (SELECT count(*) AS k FROM comps WHERE type_of_sale = 'F' GROUP BY street)),
+t AS (SELECT len(ks) AS n, ks[len(ks) // 2 + 1] AS mid, ks[CAST(floor(0.9 * (len(ks) - 1)) AS INTEGER) + 1] AS p90 FROM st), m AS (SELECT count(DISTINCT plot) AS plots, count(*) AS pairs, count(*) FILTER (gap <= 18) AS short, count(*) FILTER (annualised < -0.30 OR annualised > 0.60) AS wild, count(*) FILTER (annualised < -0.30 OR annualised > 0.60) / count(*) AS wild_share FROM rp),
+o AS (SELECT * FROM h, c, s, t, m) """ + " UNION ALL ".join([f"SELECT '{section}' AS section, '{name}' AS measure, CAST({name} AS DOUBLE) AS value FROM o" for section, names in _TOLD.items() for name in names.split()] + [f"SELECT 'gates', '{gate}', CAST(CAST({rule} AS INT) AS DOUBLE) FROM o" for gate, rule in (_GATE_SQL | {"pass": " AND ".join(_GATE_SQL.values())}).items()]))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthmark.operators import asof as A
+from hearthmark.operators import estimators as E
 from hearthmark.operators import models as M
 from hearthmark.plans import engines
 from hearthmark.plans.caveats import caveats
@@ -123,3 +124,19 @@ def test_engine_orders_its_anchors_by_tenure(spark):
     got = {r["s_id"]: r for r in M.v2_engine(subjects, grid, anchors, ["a2", "a3", "a1"]).collect()}
     assert [(got[i]["source"], got[i]["psf"], got[i]["n_comps"]) for i in "abc"] == [("a1", 200.0, 0), ("a2", 300.0, 0), ("c1", 100.0, 5)]
     assert (got["a"]["low"], got["b"]["low"], got["b"]["high"], got["c"]["low"]) == (100.0, 2000.0, 4000.0, 1000.0)
+
+
+def test_bridge_moves_by_the_capped_index_and_then_by_the_trend(spark):
+    rows = spark.createDataFrame([("old", 2019 * 12 + 1, 8076, 100.0), ("mid", 2020 * 12 + 2, 8080, 100.0), ("new", 2020 * 12 + 4, 8081, 100.0)], "id string, month_idx int, q int, psf double").withColumn("as_of", F.to_date(F.lit("2020-06-30")))
+    index = spark.createDataFrame([(8076, 100.0), (8080, 130.0)], "q int, value double")
+    trend = spark.createDataFrame([(2020 * 12, 0.0), (2020 * 12 + 1, 0.1), (2020 * 12 + 3, 0.3)], "month_idx int, level double").withColumn("as_of", F.to_date(F.lit("2020-06-30")))
+    got = {r["id"]: (r["moved"], r["value"]) for r in M.bridge(rows, trend, index).collect()}
+    ahead = math.exp(0.2)  # from the published quarter's middle month, or the sale's own, to the trend's end; a month in a gap takes the one before
+    assert np.allclose(got["old"], (ahead, 125.0 * ahead)) and np.allclose(got["mid"], (ahead, 100.0 * ahead)) and np.allclose(got["new"], (1.0, 100.0))
+
+
+def test_e0_weighs_the_grid_by_its_comparables(spark):
+    grid = spark.createDataFrame([("a", "C1", 100.0, 90.0, 110.0, 0), ("b", "C1", 100.0, 90.0, 110.0, 4), ("c", "C1", 100.0, None, None, 30), ("d", "C1", None, None, None, 2)], ESTIMATE)
+    other = spark.createDataFrame([(i, "A1", 200.0, 150.0, 250.0, 0) for i in "abcde"], ESTIMATE)
+    got = {r["s_id"]: (r["psf"], r["low"], r["high"], r["n_comps"]) for r in E.blend(grid, other, "E0").collect()}
+    assert got == {"a": (150.0, 90.0, 250.0, 0), "b": (130.0, 90.0, 250.0, 4), "c": (100.0, 150.0, 250.0, 30), "d": (200.0, 150.0, 250.0, 2), "e": (200.0, 150.0, 250.0, 0)}
