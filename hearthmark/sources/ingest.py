@@ -37,6 +37,30 @@ def read_raw(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(RAW).json(list(paths))
 
 
+def existing(spark: SparkSession, *patterns: str) -> list[str]:
+    """The files or folders that patterns name, each pattern's in order of their names; a pattern that matches nothing adds none."""
+    found = []
+    for pattern in patterns:
+        at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        hits = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+        found += sorted(h.getPath().toString() for h in hits or [])
+    return found
+
+
+def read_batches(spark: SparkSession, *patterns: str) -> DataFrame:
+    """The union of the raw batches that are there; without any an empty table."""
+    paths = existing(spark, *patterns)
+    return read_raw(spark, *paths) if paths else spark.createDataFrame([], RAW)
+
+
+def read_store(spark: SparkSession, path: str, snapshots: str) -> DataFrame:
+    """The pull at path if there is one, else the newest by name of the snapshots, plain or gzipped; an error without either."""
+    found = existing(spark, path) or existing(spark, snapshots)
+    if not found:
+        raise FileNotFoundError(f"no store at {path} and no snapshot like {snapshots}")
+    return read_raw(spark, found[-1])
+
+
 def normalize(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Flat transactions, and the rejects whose price, area or date cannot be read."""
     rows = raw.select("street", "project", F.col("marketSegment").alias("market_segment"), number("x").alias("x"), number("y").alias("y"), F.posexplode("transaction").alias("pos", "t")).select("*", "t.*").drop("t", "transaction")
@@ -124,8 +148,20 @@ def newest(files: DataFrame, stamp: str) -> DataFrame:
     return files.join(F.broadcast(files.agg(F.max(stamp).alias(stamp))), stamp)
 
 
-def save(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Writes rows, but never replaces a table with an empty one."""
+def save(rows: DataFrame, path: str, fmt: str = "parquet", by: list[str] | None = None) -> None:
+    """Writes rows, in folders by the columns given, but never replaces a table with an empty one."""
     if rows.isEmpty():
         raise ValueError("refusing to overwrite with an empty result")
-    rows.write.mode("overwrite").format(fmt).save(path)
+    rows.write.mode("overwrite").format(fmt).partitionBy(*by or []).save(path)
+
+
+KEPT = ["s_id", "method", "s_market_segment", "s_property_type", "s_contract_month", "n_comps", "s_price", "pred", "low", "high"]
+
+
+def save_run(rows: DataFrame, summary: DataFrame, path: str, keep: list[str] = KEPT) -> None:
+    """A backtest's results: summary as one JSON file, and chosen columns of every subject and method as Parquet by method, declined ones included.
+
+    The rows are written first: a summary stands for a whole run. Neither replaces a former run by an empty one.
+    """
+    save(rows.select(*keep), f"{path}/rows", by=["method"])
+    save(summary.coalesce(1), f"{path}/summary", "json")
