@@ -96,7 +96,7 @@ def trended(s, d):
 
 
 query("trend_beside_index", trended)
-query("grid_ready", lambda s, d: K.grid_ready(U.imputed(s, d), ["beds", "block"]).select("id", "status", "reason"), f"WITH {U.IMPUTE_SQL} SELECT id, CASE WHEN coalesce(beds, 0) <> 0 AND coalesce(block, '') NOT IN ('', '0', '0.0') THEN 'comp' ELSE 'skipped' END AS status, nullif(concat_ws(',', CASE WHEN coalesce(beds, 0) = 0 THEN 'beds' END, CASE WHEN coalesce(block, '') IN ('', '0', '0.0') THEN 'block' END), '') AS reason FROM imputed")
+query("grid_ready", lambda s, d: K.grid_ready(U.imputed(s, d), ["beds", "block"]).select("id", "project", "floor", "stack", "day", "area", "price", "status", "reason"), f"WITH {U.IMPUTE_SQL} SELECT id, project, floor, stack, day, area, price, CASE WHEN coalesce(beds, 0) <> 0 AND coalesce(block, '') NOT IN ('', '0', '0.0') THEN 'comp' ELSE 'skipped' END AS status, nullif(concat_ws(',', CASE WHEN coalesce(beds, 0) = 0 THEN 'beds' END, CASE WHEN coalesce(block, '') IN ('', '0', '0.0') THEN 'block' END), '') AS reason FROM imputed")
 
 
 def asks(s, d):
