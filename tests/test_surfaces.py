@@ -138,3 +138,14 @@ def test_listed_names_are_whole_words(spark):
     got = {r["listed_id"]: (r["docs"], r["first_doc"], r["evidence"]) for r in M.name_match(texts, listed).collect()}
     assert got == {1: (2, 1, "material"), 2: (0, None, "near_zero"), 3: (0, None, "refused"), 4: (0, None, "refused"), 5: (0, None, "refused")}
     assert {r["evidence"] for r in M.name_match(texts.limit(0), listed).collect()} == {"near_zero", "refused"}
+
+
+def test_screens_and_captures_move_the_raw_lines_once(spark):
+    """Cells, tokens and records are made where an order's lines lie; the plans of one query held up to fifty shuffles of them."""
+    from hearthmark.plans import catalog
+
+    most = {"ui_nodes": 1, "geo_table": 1, "panel_guard": 1, "half_tables": 4, "cell_formats": 3, "profit_records": 1, "rent_records": 1, "nearby_records": 1, "plot_records": 1, "deal_records": 1}
+    for name, n in most.items():
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") <= n, name
+        assert "views-" not in plan, name
