@@ -140,3 +140,47 @@ def test_e0_weighs_the_grid_by_its_comparables(spark):
     other = spark.createDataFrame([(i, "A1", 200.0, 150.0, 250.0, 0) for i in "abcde"], ESTIMATE)
     got = {r["s_id"]: (r["psf"], r["low"], r["high"], r["n_comps"]) for r in E.blend(grid, other, "E0").collect()}
     assert got == {"a": (150.0, 90.0, 250.0, 0), "b": (130.0, 90.0, 250.0, 4), "c": (100.0, 150.0, 250.0, 30), "d": (200.0, 150.0, 250.0, 2), "e": (200.0, 150.0, 250.0, 0)}
+
+
+def _sales(spark, rows):
+    """Subjects and comparables of (id, street, x, y, month, psf) in one project type."""
+    from hearthmark.operators import asof as A
+
+    cols = "id string, street long, x double, y double, contract_month string, psf double"
+    df = spark.createDataFrame(rows, cols).withColumn("contract_month", F.to_date("contract_month"))
+    df = df.withColumn("area_sqft", F.lit(10.0)).withColumn("price", F.col("psf") * 10).withColumn("month_idx", (F.year("contract_month") * 12 + F.month("contract_month") - 1).cast("int")).withColumn("q", (F.year("contract_month") * 4 + F.quarter("contract_month") - 1).cast("int"))
+    for c in ("project", "property_type", "market_segment", "district", "tenure_type"):
+        df = df.withColumn(c, F.lit("t"))
+    for c in ("lease_start", "floor_lo", "floor_hi"):
+        df = df.withColumn(c, F.lit(1))
+    df = df.withColumn("type_of_sale", F.when(F.col("id").startswith("s"), "F").otherwise("O"))
+    return A.subjects(df), df.filter("type_of_sale = 'O'"), df.select("q").distinct().withColumn("value", F.lit(100.0))
+
+
+def test_nearest_in_widening_reach(spark):
+    """As all pairs within the radius would have it, for places, ties and reaches that differ; dense places look no further than they need."""
+    import random
+
+    from hearthmark.operators import estimators as E
+
+    rnd = random.Random(4)
+    spots = [(rnd.randrange(0, 3000, 25), rnd.randrange(0, 3000, 25)) for _ in range(60)] + [(9000, 9000), (9000, 9000), (9000, 9990), (20000, 5)]
+    rows = [(f"c{i}-{j}", i, float(x), float(y), f"1998-0{1 + (i + j) % 6}-01", 1000.0 + i * 7 + j) for i, (x, y) in enumerate(spots) for j in range(3)]
+    rows += [(f"s{i}", i, float(x), float(y), "1998-12-01", 1.0) for i, (x, y) in enumerate(spots)]
+    subjects, comps, index = _sales(spark, rows)
+    at, gap = dict(enumerate(map(lambda p: (float(p[0]), float(p[1])), spots))), lambda a, b: math.hypot(a[0] - b[0], a[1] - b[1])
+    sales = [r for r in rows if r[0][0] == "c"]
+    want4, want_lb4 = {}, {}
+    for i in at:
+        others = [(gap(at[i], at[j]), j) for j in at if j != i and gap(at[i], at[j]) <= 1000]
+        if others:
+            want4[f"s{i}"] = sorted(r[5] for r in sales if r[1] == min(others)[1])[1]
+        near = sorted(((gap(at[i], at[r[1]]), [-int(r[4][5:7])], [-ord(c) for c in r[0].ljust(9)], r[5]) for r in sales if gap(at[i], at[r[1]]) <= 1000))[:8]
+        if len(near) >= 3:
+            v = sorted(n[3] for n in near)
+            want_lb4[f"s{i}"] = v[len(v) // 2] if len(v) % 2 else (v[len(v) // 2 - 1] + v[len(v) // 2]) / 2
+    assert {r["s_id"]: r["psf"] for r in E.b4_nearest(subjects, comps).collect()} == pytest.approx(want4)
+    got = {r["s_id"]: r["psf"] for r in E.lb4_knn(subjects, comps, index).collect()}
+    assert got == pytest.approx(want_lb4)
+    plan = E.lb4_knn(subjects, comps, index)._jdf.queryExecution().optimizedPlan().toString()
+    assert "62.5" in plan  # all subjects met all comparables of nine cells of the full radius before
