@@ -123,10 +123,11 @@ query("kv_pairs", f"{TOK}, n AS (SELECT *, lead(token) OVER (PARTITION BY doc OR
 # geometry
 points = lambda s, d: table(s, d, "supplier").select(F.col("s_suppkey").alias("site"), F.col("s_nationkey").alias("layer"), ((F.col("s_suppkey") * 7919) % 10007).cast("double").alias("x"), ((F.col("s_suppkey") * 104729) % 10007).cast("double").alias("y"))
 PTS = "WITH pt AS (SELECT s_suppkey AS site, s_nationkey AS layer, CAST((s_suppkey * 7919) % 10007 AS DOUBLE) AS x, CAST((s_suppkey * 104729) % 10007 AS DOUBLE) AS y FROM supplier), wi AS (SELECT a.site AS origin, b.site, b.layer, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM pt a JOIN pt b ON a.site <> b.site WHERE d <= 2000)"
-near = lambda s, d: G.within(points(s, d).select(F.col("site").alias("origin"), "x", "y"), points(s, d), 2000.0).filter("origin <> site")
+near = lambda s, d: G.within(points(s, d).select(F.col("site").alias("origin"), "x", "y"), points(s, d), 2000.0, fine=4).filter("origin <> site")
+beside = lambda s, d: G.neighbours(points(s, d), 2000.0)
 query("grid_radius_join", f"{PTS} SELECT origin, site, d FROM wi")(lambda s, d: near(s, d).select("origin", "site", "d"))
-query("within_km", f"{PTS} SELECT origin, layer, count(*) AS n FROM wi GROUP BY 1, 2")(lambda s, d: near(s, d).groupBy("origin", "layer").agg(F.count("*").alias("n")))
-query("nearest_poi", f"{PTS} SELECT origin, layer, d, site FROM (SELECT *, row_number() OVER (PARTITION BY origin, layer ORDER BY d, site) AS rn FROM wi) WHERE rn = 1")(lambda s, d: near(s, d).groupBy("origin", "layer").agg(F.min(F.struct("d", "site")).alias("b")).select("origin", "layer", "b.d", "b.site"))
+query("within_km", f"{PTS} SELECT origin, layer, count(*) AS n FROM wi GROUP BY 1, 2")(lambda s, d: beside(s, d).select("origin", "layer", "n"))
+query("nearest_poi", f"{PTS} SELECT origin, layer, d, site FROM (SELECT *, row_number() OVER (PARTITION BY origin, layer ORDER BY d, site) AS rn FROM wi) WHERE rn = 1")(lambda s, d: beside(s, d).select("origin", "layer", "d", "site"))
 query("ring_check", f"{PTS} SELECT origin, site, CASE WHEN d <= 850 THEN 'yes' WHEN d <= 1150 THEN 'margin' ELSE 'no' END AS ring FROM wi")(lambda s, d: near(s, d).select("origin", "site", G.ring_check(F.col("d"), 1000.0).alias("ring")))
 
 

@@ -106,7 +106,7 @@ t AS (SELECT p_partkey, CAST(base + CASE WHEN walk <= 5 THEN 10 WHEN walk <= 10
 SELECT *, CASE WHEN total >= 80 AND price_code = 'steep_premium' THEN 'SELECTIVE' WHEN total >= 80 THEN 'BUY' WHEN total >= 68 THEN 'SELECTIVE' WHEN total >= 55 THEN 'WAIT' ELSE 'AVOID' END AS stance FROM t""")
 
 # geometry
-query("enrich_points", lambda s, d: N.near(s, d).groupBy("origin").pivot("layer", list(range(5))).agg(F.min("d").alias("nearest"), F.count("d").alias("n")), f"{N.PTS} SELECT origin, " + ", ".join(f'min(d) FILTER (layer = {i}) AS "{i}_nearest", nullif(count(*) FILTER (layer = {i}), 0) AS "{i}_n"' for i in range(5)) + " FROM wi GROUP BY 1")
+query("enrich_points", lambda s, d: N.beside(s, d).groupBy("origin").pivot("layer", list(range(5))).agg(F.min("d").alias("nearest"), F.sum("n").alias("n")), f"{N.PTS} SELECT origin, " + ", ".join(f'min(d) FILTER (layer = {i}) AS "{i}_nearest", nullif(count(*) FILTER (layer = {i}), 0) AS "{i}_n"' for i in range(5)) + " FROM wi GROUP BY 1")
 
 # ingest: printed values read back, and nested records built from the transactions
 query("row_normalize", lambda s, d: table(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd MMM yyyy").alias("day"), F.concat(F.lit("$"), F.format_number(F.col("o_totalprice"), 0)).alias("money")).select("o_orderkey", F.to_date("day", "dd MMM yyyy").alias("day"), S.number(F.regexp_replace("money", r"\$", "")).alias("price"))
