@@ -287,8 +287,8 @@ def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col
     return encoded.select(rest).mapInArrow(joined, schema)
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Encodes, decodes, and keeps counts and SHA-256 digests per document: of the decimal ids and of the decoded bytes."""
+def digests(docs: DataFrame, ranks_path: str, pattern: str, **how) -> DataFrame:
+    """Encodes, decodes, and keeps counts and SHA-256 digests per document: of the decimal ids and of the decoded bytes. how goes to encode."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def digest(rows: pa.Table) -> pa.Table:
@@ -301,7 +301,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         text = [pa.array(x, pa.string()) for x in sha]
         return pa.table([rows["doc_id"], pc.cast(pc.list_value_length(ids), pa.int64()), *text], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encode(docs, ranks_path, pattern=pattern, then=digest, schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, ranks_path, pattern=pattern, then=digest, schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", **how)
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:

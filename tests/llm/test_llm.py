@@ -503,3 +503,12 @@ def test_text_blocks_hold_whole_documents():
 
     assert blocks([], 10) == [] and blocks([[]], 10) == []
     assert blocks([[(1, 3), (2, 3)], [(3, 1), (4, 50), (5, None)]], 10) == [([1, 2, 3], [3, 3, 1]), ([4], [50]), ([5], [0])]
+
+
+def test_digests_do_not_depend_on_blocks(spark):
+    import public_tokenizers
+
+    rows = spark.createDataFrame([(i, "word and number " * (i % 7) + str(i)) for i in range(60)] + [(60, None)], "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    got = [sorted(map(tuple, bpe.digests(rows, path, public_tokenizers.PATTERN, **how).collect())) for how in ({}, {"block_bytes": 200})]
+    assert got[0] == got[1] and len(got[0]) == 61
