@@ -39,51 +39,57 @@ def bed_count(kind: Column) -> Column:
     return F.regexp_extract(F.upper(F.coalesce(kind, F.lit(""))), r"^([0-9])BR$", 1).try_cast("int")
 
 
-def strip_stale(rows: DataFrame, least: int = 3) -> DataFrame:
-    """Rows that stand identically under several blocks come from a stale screen: one copy stays, with its block unknown."""
-    print_ = [*UNIT, "area", "day", "price"]
-    held = rows.groupBy(*print_).agg(F.count("*").alias("copies"), F.countDistinct(F.coalesce("block", F.lit(""))).alias("blocks"), F.min("id").alias("first"))
-    both = rows.join(held, print_).withColumn("stale", (F.col("copies") >= least) & (F.col("blocks") >= least))
+def strip_stale(rows: DataFrame, least: int = 3, of: Column | None = None) -> DataFrame:
+    """Rows that stand identically under several blocks come from a stale screen: one copy stays, with its block unknown.
+
+    With of only the rows for which it holds are looked at. Rows dealt out by project stay where they are.
+    """
+    of = F.coalesce(of, F.lit(False)) if of is not None else F.lit(True)
+    same = Window.partitionBy(*UNIT, "area", "day", "price", "of")
+    both = rows.withColumn("of", of)
+    both = both.withColumns({"copies": F.count("*").over(same), "blocks": F.size(F.collect_set(F.coalesce("block", F.lit(""))).over(same)), "first": F.min("id").over(same)})
+    both = both.withColumn("stale", F.col("of") & (F.col("copies") >= least) & (F.col("blocks") >= least))
     kept = both.filter(~F.col("stale") | (F.col("id") == F.col("first")))
     return kept.withColumn("block", F.when(~F.col("stale"), F.col("block"))).select(rows.columns)
 
 
-def _tags(block: Column, own: str, any_: str) -> Column:
-    """The tags of a block: its name and own, or any_ and own for an unknown one."""
-    return F.when(block.isNull(), F.array(F.lit(any_), F.lit(own))).otherwise(F.array(F.concat(F.lit("="), block), F.lit(any_)))
+def impute_beds(rows: DataFrame, typed: DataFrame) -> DataFrame:
+    """Rows with beds filled in and where from, by the typed rows of another table; see imputed."""
+    names = [c for c in rows.columns if c != "beds"]
+    told = typed.select(*(F.col(c).cast(rows.schema[c].dataType) if c in (*UNIT, "block", "area") else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names), "beds", F.lit(True).alias("typed"))
+    both = rows.select(*names, "beds", F.lit(False).alias("typed")).unionByName(told)
+    return imputed(both, "typed", keep=("typed",)).filter("NOT typed").drop("typed")
 
 
-def impute_beds(rows: DataFrame, typed: DataFrame) -> DataFrame:
-    """Rows with beds filled in and where from: given, unit, size, near or unresolved.
+def imputed(rows: DataFrame, typed: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with beds filled in and where from: given, unit, size, near or unresolved; typed names the column that says whose beds a unit trusts.
 
     A count that the area cannot hold is void first. Then comes the count of the same unit among typed rows, if they agree;
     that of the same area in the project, if all rows agree; that of the nearest such area within 15 % either way, of equally near ones
-    the smaller. Areas meet in one ordered pass over a project's distinct sizes, not in a join of rows.
+    the smaller. All windows lie within a project: rows dealt out by it are sorted where they are and not moved again.
     """
-    typed = typed.filter("beds IS NOT NULL").select(*UNIT, "block", "area", "beds")
-    sizes = typed.select("project", "area", "beds").unionByName(rows.filter("beds IS NOT NULL").select("project", "area", "beds"))
-    sizes = sizes.groupBy("project", "area").agg(F.min("beds").alias("size_beds"), F.max("beds").alias("high")).filter(F.col("size_beds") == F.col("high")).drop("high")
+    columns = [c for c in rows.columns if c not in ("beds", typed)] + list(keep)
     void = F.coalesce(F.col("area") < LEAST_SQFT_A_BED * F.col("beds"), F.lit(False))
-    rows = rows.withColumn("given", F.when(~void, F.col("beds"))).drop("beds")
-    open_ = rows.filter("given IS NULL")
-    # a typed row of block b is met under its name and by rows of unknown block; one of unknown block by all
-    known = typed.withColumn("tag", F.explode(F.when(F.col("block").isNull(), F.array(F.lit("none"), F.lit("any"))).otherwise(F.array(F.concat(F.lit("="), "block"), F.lit("any")))))
-    known = known.groupBy(*UNIT, "tag").agg(F.min("beds").alias("low"), F.max("beds").alias("high"))
-    asks = open_.select("id", *UNIT, F.explode(F.when(F.col("block").isNull(), F.array(F.lit("any"))).otherwise(F.array(F.concat(F.lit("="), "block"), F.lit("none")))).alias("tag"))
-    unit = asks.join(known, [*UNIT, "tag"]).groupBy("id").agg(F.min("low").alias("unit_beds"), F.max("high").alias("top")).filter(F.col("unit_beds") == F.col("top")).drop("top")
-    seen = Window.partitionBy("project").orderBy("area")
-    places = open_.select("project", "area").distinct().join(sizes, ["project", "area"], "full")
+    unit, size, project = Window.partitionBy(*UNIT), Window.partitionBy("project", "area"), Window.partitionBy("project")
+    # what typed rows say of a unit: the few pairs of block and count
+    rows = rows.withColumn("told", F.collect_set(F.when(F.col(typed) & F.col("beds").isNotNull(), F.struct("block", "beds"))).over(unit))
+    fits = F.transform(F.filter("told", lambda k: blocks_match(k["block"], F.col("block"))), lambda k: k["beds"])
+    known = (F.array_min(fits) == F.array_max(fits)) & F.col("project").isNotNull() & F.col("floor").isNotNull() & F.col("stack").isNotNull()
+    rows = rows.withColumn("unit_beds", F.when(known, F.array_min(fits))).drop("told")
+    sized = F.col("project").isNotNull() & F.col("area").isNotNull()
+    rows = rows.withColumn("size_beds", F.when(sized & (F.min("beds").over(size) == F.max("beds").over(size)), F.min("beds").over(size)))
     spot = F.when(F.col("size_beds").isNotNull(), F.struct("area", "size_beds"))
-    places = places.withColumn("below", F.last(spot, ignorenulls=True).over(seen.rowsBetween(Window.unboundedPreceding, 0))).withColumn("above", F.first(spot, ignorenulls=True).over(seen.rowsBetween(0, Window.unboundedFollowing)))
+    # both windows run on from the first row, as a frame to the last row is read anew for every row
+    rows = rows.withColumn("below", F.last(spot, ignorenulls=True).over(project.orderBy("area").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("above", F.last(spot, ignorenulls=True).over(project.orderBy(F.desc("area")).rowsBetween(Window.unboundedPreceding, 0)))
     down, up = F.col("area") / F.col("below.area"), F.col("above.area") / F.col("area")
     pick = F.when(up.isNull() | (down <= up), F.struct(down.alias("ratio"), F.col("below.size_beds").alias("beds"))).otherwise(F.struct(up.alias("ratio"), F.col("above.size_beds").alias("beds")))
-    places = places.withColumn("pick", pick).select("project", "area", "size_beds", F.when(F.col("pick.ratio") <= NEAR_SIZE, F.col("pick.beds")).alias("near_beds"))
-    out = rows.join(unit, "id", "left").join(places, ["project", "area"], "left")
+    rows = rows.withColumn("pick", pick).withColumn("near_beds", F.when(sized & (F.col("pick.ratio") <= NEAR_SIZE), F.col("pick.beds"))).withColumn("given", F.when(~void, F.col("beds")))
     found = [("given", "given"), ("unit_beds", "unit"), ("size_beds", "size"), ("near_beds", "near")]
     source = F.lit("unresolved")
     for column, name in reversed(found):
         source = F.when(F.col(column).isNotNull(), name).otherwise(source)
-    return out.withColumn("beds", F.coalesce(*(c for c, _ in found))).withColumn("beds_from", source).select(*[c for c in rows.columns if c != "given"], "beds", "beds_from")
+    return rows.withColumn("beds", F.coalesce(*(c for c, _ in found))).withColumn("beds_from", source).select(*columns, "beds", "beds_from")
 
 
 class _Unit:

@@ -7,12 +7,12 @@ wrong price, a wrong price a square foot, or under several blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthmark.operators import surfaces as U
 from hearthmark.plans.caveats import table
-from hearthmark.store import view
+from hearthmark.store import size, view
 
 QUERIES, ORACLES = {}, {}
 ASOF, YEARS, SUBJECT = "2000-06-30", 5, (3, "01", "2")
@@ -37,18 +37,42 @@ base AS (
 )"""
 
 
-def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"WITH {RAW_SQL} SELECT * FROM raw".replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+DEAL_BYTES = 8_000_000  # of lineitem's files a task, from which come some 60 times as much in rows
 
 
-def union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "surfaces", ["lineitem"], lambda: _union(spark, sf_dir))
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The renderings by the rules of RAW_SQL: lineitem moves once, by project, and a sale's renderings are made where it lies."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size(spark, f"{sf_dir}/lineitem.parquet") // DEAL_BYTES)
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS o", "l_linenumber", "l_partkey AS project", "l_suppkey", "CAST(l_shipdate AS DATE) AS day", "l_quantity", "l_extendedprice", "l_discount AS discount", "l_tax AS tax"
+    ).repartition(tasks, "project")
+    base = lines.selectExpr(
+        "concat_ws('-', o, l_linenumber, project, l_suppkey, CAST(day AS STRING)) AS key", "o", "project", "CAST(l_suppkey % 4 + 1 AS INTEGER) AS blk", "CAST(l_linenumber AS INTEGER) AS floor", "CASE WHEN o % 2 = 0 THEN '01' ELSE '02' END AS stack",
+        "day", "CAST(l_quantity AS INTEGER) AS qty", "CAST(round(l_extendedprice * 40) AS BIGINT) AS price", "l_extendedprice / l_quantity AS unit_price", "l_quantity * 40 AS area", "discount", "tax",
+    )
+    base = base.withColumn("rn", F.row_number().over(Window.partitionBy("project", "blk", "floor", "stack").orderBy(F.desc("day"), F.desc("key"))))
+    beds = "CAST(1 + floor(area / 500) AS INTEGER)"
+
+    def told(mark: str, surface: str, block: str, day: str, price: str, psf: str, kind: str, when: str):
+        return F.expr(f"CASE WHEN {when} THEN struct(concat('{mark}:', key) AS id, '{surface}' AS surface, {block} AS block, {day} AS day, {price} AS price, {psf} AS psf, {kind} AS kind) END")
+
+    late, low = "day + qty", "CASE WHEN tax = 0.03 THEN CAST(round(price * 0.9) AS BIGINT) ELSE price END"
+    off, typed = "round(unit_price * CASE WHEN tax = 0.03 THEN 0.9 WHEN tax = 0.05 THEN 1.05 ELSE 1.0 END)", f"CASE WHEN tax NOT IN (0.01, 0.02) THEN concat({beds}, 'BR') END"
+    some = "CASE o % 5 WHEN 0 THEN '(single)' WHEN 1 THEN '?' WHEN 2 THEN ' ' ELSE CAST(blk AS STRING) END"
+    all_ = F.array(
+        told("sale", "sale", some, "day", "price", "round(unit_price)", f"CASE WHEN tax = 0.08 THEN '5BR' WHEN discount >= 0.05 THEN concat({beds}, 'Br') ELSE '-' END", "(o + floor) % 4 <> 0"),
+        told("profit", "profitability", "CAST(blk AS STRING)", late, "price", "round(unit_price)", "CAST(NULL AS STRING)", "o % 3 <> 0"),
+        told("tower", "towerview", "CAST(blk AS STRING)", late, low, off, typed, "rn = 1"),
+        told("tower2", "towerview", "CAST(blk % 4 + 1 AS STRING)", late, low, off, typed, "rn = 1 AND qty = 50"),
+        told("tower3", "towerview", "CAST((blk + 1) % 4 + 1 AS STRING)", late, low, off, typed, "rn = 1 AND qty = 50"),
+    )
+    return base.select("project", "floor", "stack", "area", F.explode(F.array_compact(all_)).alias("r")).select("r.id", "r.surface", "project", "r.block", "floor", "stack", "r.day", "r.price", "r.psf", "area", "r.kind")
 
 
-def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
+def union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All surfaces in one schema, without what a stale screen repeats."""
     rows = raw(spark, sf_dir).withColumn("block", U.block_norm(F.col("block"))).withColumn("beds", U.bed_count(F.col("kind"))).drop("kind")
-    return rows.filter("surface <> 'towerview'").unionByName(U.strip_stale(rows.filter("surface = 'towerview'")))
+    return U.strip_stale(rows, of=F.col("surface") == "towerview")
 
 
 def imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +80,7 @@ def imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = union(spark, sf_dir)
-    return U.impute_beds(rows, rows.filter("surface = 'towerview'"))
+    return U.imputed(union(spark, sf_dir).withColumn("typed", F.col("surface") == "towerview"), "typed")
 
 
 def reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:

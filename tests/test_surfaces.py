@@ -149,3 +149,17 @@ def test_screens_and_captures_move_the_raw_lines_once(spark):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange ") <= n, name
         assert "views-" not in plan, name
+
+
+def test_renderings_move_the_raw_lines_once(spark):
+    """Renderings, stale copies and bedrooms are made where a project's lines lie."""
+    from hearthmark.plans import surfaces
+
+    plan = surfaces._imputed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "views-" not in plan
+
+
+def test_stale_copies_are_looked_for_among_the_named_rows(spark):
+    rows = [row(f"{s}{b}", s, block=str(b)) for s in ("sale", "towerview") for b in (1, 2, 3)]
+    got = sorted((r["id"], r["block"]) for r in U.strip_stale(spark.createDataFrame(rows, ROW), of=F.col("surface") == "towerview").collect())
+    assert got == [("sale1", "1"), ("sale2", "2"), ("sale3", "3"), ("towerview1", None)]
