@@ -191,6 +191,7 @@ def representatives(docs: DataFrame, **how) -> DataFrame:
 WIDTH, ALIKE = 5, 0.8  # the pipeline's settings: words a shingle, least Jaccard of the shingle sets
 REACH, TABLES, ROWS = 20, 20, 5  # bits: 9.7 expected at ALIKE, deviation 2.9, beyond REACH once in 5,000; a pair at ALIKE misses all tables once in 2,900
 KEYS = np.random.default_rng(8).integers(0, 2**63, (TABLES, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+NEAR = 3  # bits: fingerprints this near are looked for by BK-trees before any shard of least hashes
 TURNS = 2  # rounds in which a shard's members meet one lead
 ENOUGH = 62  # of the TABLES * ROWS least hashes: a pair at ALIKE agrees on 80, deviation 4, and falls short once in 100,000
 FINER = np.random.default_rng(9).integers(0, 2**63, 1000, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -350,11 +351,31 @@ def close(a, b) -> Column:
     return (F.bit_count(a("fp").bitwiseXOR(b("fp"))) <= REACH) & (F.least(a("n"), b("n")) >= ALIKE * F.greatest(a("n"), b("n")))
 
 
+def near_by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of texts of one fingerprint, each with its least, and of fingerprints that BK-trees link within NEAR bits."""
+    by = stored(nodes.groupBy("fp").agg(F.min("tk").alias("least_tk")), "fingerprints")
+    same = nodes.join(by, "fp").filter("tk <> least_tk").select(F.col("least_tk").alias("a"), F.col("tk").alias("b"))
+    links = near_links(by.select("fp"), NEAR)
+    named = lambda c: by.select(F.col("fp").alias(c), F.col("least_tk").alias(f"{c}_tk"))
+    near = links.join(named("a"), "a").join(named("b"), "b").select(F.least("a_tk", "b_tk").alias("a"), F.greatest("a_tk", "b_tk").alias("b"))
+    return same.unionByName(near)
+
+
+def still_apart(apart: DataFrame, roots: DataFrame) -> DataFrame:
+    """The shards whose members are not all linked yet, with the roots of their members; the table before is dropped."""
+    rooted = apart.drop("root").join(roots, "tk", "left").withColumn("root", F.coalesce("root", "tk"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    out = stored(rooted.join(split, "key").select("key", "tab", "tk", "fp", "n", "root"), "apart")
+    drop(apart)
+    return out
+
+
 def near_representatives(docs: DataFrame) -> DataFrame:
     """One document of each group of texts linked by a Jaccard of ALIKE, with the columns of documents: that of smallest id.
 
-    Fingerprints within REACH bits are looked for in shards. Bands of the bits are of no use so far out, as 21 bands of three bits
-    would send every pair to some shard; a shard here is of fingerprints whose texts share their least shingles. Candidates are
+    First SimHash finds by itself what it can find exactly: BK-trees in shards by bands link fingerprints within NEAR bits. Two texts at ALIKE differ in some ten
+    bits, where bands are of no use, as 21 bands of three bits would send every pair to some shard; so what BK-trees leave apart meets, within REACH bits, in
+    shards of fingerprints whose texts share their least shingles. Candidates are
     held against ALIKE in full before they link. In each of TURNS rounds every member of a shard meets one lead, drawn anew, unless
     both are linked already; then the members that this left apart meet inside tasks, by finer sketches, and the few pairs these
     let through are held against ALIKE. What is alike costs a few times its number; what is a little less alike than ALIKE costs comparisons of
@@ -374,8 +395,11 @@ def near_representatives(docs: DataFrame) -> DataFrame:
     shards = nodes.select("tk", "fp", "n", F.posexplode("shards").alias("tab", "key"))
     many = shards.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1").select("key")
     apart = stored(shards.join(many, "key").select("key", "tab", "tk", "fp", "n", F.col("tk").alias("root")), "apart")
-    links = tested = roots = None
     x, y = members("x"), members("y")
+    tested = candidates(near_by_fingerprint(nodes.select("tk", "fp")), nodes, None)
+    links = alike(tested, texts)
+    roots = components(links).withColumnRenamed("node", "tk")
+    apart = still_apart(apart, roots)
     for turn in range(TURNS + 1):
         if turn < TURNS:
             lead = apart.groupBy("key").agg(F.min_by(F.struct("tk", "fp", "n", "root"), F.xxhash64("tk", F.lit(turn))).alias("y"))
@@ -387,13 +411,10 @@ def near_representatives(docs: DataFrame) -> DataFrame:
             fine = fine.join(nodes.select("tk", "shards"), "tk")
             near = stored(near_in_shards(apart, fine).join(tested, ["a", "b"], "left_anti"), "candidates")
         found = alike(near, texts)
-        links, tested = (found, near) if turn == 0 else (links.unionByName(found), tested.unionByName(near))
+        links, tested = links.unionByName(found), tested.unionByName(near)
         roots = components(links).withColumnRenamed("node", "tk")
         if turn < TURNS:
-            rooted = apart.drop("root").join(roots, "tk", "left").withColumn("root", F.coalesce("root", "tk"))
-            split = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-            last, apart = apart, stored(rooted.join(split, "key").select("key", "tab", "tk", "fp", "n", "root"), "apart")
-            drop(last)
+            apart = still_apart(apart, roots)
     named = nodes.select("doc_id", "tk").join(roots, "tk", "left").withColumn("root", F.coalesce("root", "tk"))
     kept = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tk"))).alias("k")).select("k.tk")
     kept = stored(kept, "kept")

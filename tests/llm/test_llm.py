@@ -450,6 +450,21 @@ def test_pipeline_drops_near_copies_and_keeps_what_is_less_alike(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, SF).collect()) == sorted(set(root.values()))
 
 
+def test_near_copies_are_found_by_fingerprints(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 40).tolist()
+    fps = [*base, base[0], *(f ^ sum(1 << int(b) for b in rng.choice(62, k, replace=False)) for f in base for k in (1, 3, 4))]
+    rows = [(i.to_bytes(2, "big"), f) for i, f in enumerate(fps)]
+    got = simhash.near_by_fingerprint(spark.createDataFrame(rows, "tk binary, fp long"))
+    found = {bytes(r["node"]): bytes(r["root"]) for r in components(got).collect()}
+    label = np.arange(len(fps))
+    for i, f in enumerate(fps):
+        near = np.flatnonzero(np.bitwise_count(np.array(fps) ^ f) <= 3)
+        simhash.unite(label, np.full(len(near), i), near)
+    assert {t: found.get(t, t) for t, _ in rows} == {t: rows[k][0] for (t, _), k in zip(rows, label.tolist())}
+    assert len(found) > 80
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = corpus_pipeline.run(spark, SF).collect()
