@@ -135,3 +135,10 @@ def test_universes_and_seeded_sample(spark):
     assert got == {"condo": {"condo"}, "landed": {"pure", "strata", "stray"}, "pure_landed": {"pure"}, "strata_landed": {"strata"}}
     some = A.hash_sample(rows, 3).collect()
     assert len(some) == 3 and some == A.hash_sample(rows.repartition(4), 3).collect() and A.hash_sample(rows.limit(0), 3).count() == 0
+
+
+def test_pools_meet_counted_values(spark):
+    """A pool's months read one row a value, however many sales have it."""
+    for name in ("b5_segment", "lb3_pool", "lb2_pool"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
+        assert "0.75), n#" in plan.replace("cast(0.75 as double)", "0.75"), name
