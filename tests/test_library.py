@@ -142,3 +142,14 @@ def test_pools_meet_counted_values(spark):
     for name in ("b5_segment", "lb3_pool", "lb2_pool"):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
         assert "0.75), n#" in plan.replace("cast(0.75 as double)", "0.75"), name
+
+
+def test_ladder_widens_only_where_it_is_thin(spark, monkeypatch):
+    """A scope reads sales counted by value, and only the pools that the narrower one left open."""
+    rows = [sale(i, "P", "1999-01", 1000.0) for i in range(5)] + [sale(9, "P", "1999-06", 900.0), (*sale(10, "P", "1999-06", 950.0)[:5], "E", *sale(10, "P", "1999-06", 950.0)[6:])]
+    comps, met, pairs = sales(spark, rows), [], A.pairs
+    monkeypatch.setattr(A, "pairs", lambda s, c, *rest: (met.append((s.count(), c.count())), pairs(s, c, *rest))[1])
+    index = spark.createDataFrame([(1999 * 4, 100.0)], "q int, value double")
+    got = {r["s_id"]: r for r in E.la1_ladder(A.subjects(comps.filter("month_idx % 12 = 5")), comps, index).collect()}
+    assert {i: (r["psf"], r["n_comps"]) for i, r in got.items()} == {"9": (1000.0, 5), "10": (1000.0, 5)}
+    assert met == [(2, 3), (1, 3), (0, 3)]
