@@ -195,3 +195,12 @@ def test_pairs_stay_where_they_met(spark, name):
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert any("s_street" in line for line in dealt)
     assert not any("s_id" in line for line in dealt)
+
+
+@pytest.mark.parametrize("name", ["two_way_fe"])
+def test_sales_move_before_they_meet_dates(spark, name):
+    """Neither a group's cells nor its moved sales are shuffled by date: they lie together by street and type."""
+    plan = engines.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("hashpartitioning(street" in line for line in dealt)
+    assert not any("as_of" in line and "street" in line for line in dealt)
