@@ -197,7 +197,7 @@ def test_pairs_stay_where_they_met(spark, name):
     assert not any("s_id" in line for line in dealt)
 
 
-@pytest.mark.parametrize("name", ["two_way_fe"])
+@pytest.mark.parametrize("name", ["two_way_fe", "bridge_adjust"])
 def test_sales_move_before_they_meet_dates(spark, name):
     """Neither a group's cells nor its moved sales are shuffled by date: they lie together by street and type."""
     plan = engines.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
