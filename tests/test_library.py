@@ -1,6 +1,8 @@
 """Queries against their SQL on the smallest tables, and units of the rules that must hold exactly."""
 
 import math
+import os
+import time
 
 import duckdb
 import pytest
@@ -12,6 +14,7 @@ from hearthmark.operators import estimators as E
 from hearthmark.operators import resolve as R
 from hearthmark.plans import appraisals, catalog, engines
 from hearthmark.plans.caveats import caveats
+from hearthmark import store
 from hearthmark.sources import ingest as S
 
 SF = "/root/testdata/sf0.001"
@@ -153,3 +156,19 @@ def test_ladder_widens_only_where_it_is_thin(spark, monkeypatch):
     got = {r["s_id"]: r for r in E.la1_ladder(A.subjects(comps.filter("month_idx % 12 = 5")), comps, index).collect()}
     assert {i: (r["psf"], r["n_comps"]) for i, r in got.items()} == {"9": (1000.0, 5), "10": (1000.0, 5)}
     assert met == [(2, 3), (1, 3), (0, 3)]
+
+
+def test_shuffles_of_written_steps_do_not_stay(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    spark._jvm.System.gc()
+    time.sleep(2)  # until what earlier tests left is gone
+    was, before = spark.conf.get(store.CLEANUP), files()
+    rows = store.kept(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "step")
+    made = store.view(spark, SF, "cleaned", ["nation"], lambda first: first.groupBy("k").count(), lambda: spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(20):  # files are removed beside the job
+        if files() > before:
+            time.sleep(0.25)
+    assert files() <= before and spark.conf.get(store.CLEANUP) == was
+    assert rows.count() == 7 and made.count() == 7
+    folder = os.path.join(store.shared_dir(spark), f"views-{spark.sparkContext.applicationId}")
+    assert not [f for f in os.listdir(folder) if f.endswith("-first")]
