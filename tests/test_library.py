@@ -172,3 +172,12 @@ def test_shuffles_of_written_steps_do_not_stay(spark):
     assert rows.count() == 7 and made.count() == 7
     folder = os.path.join(store.shared_dir(spark), f"views-{spark.sparkContext.applicationId}")
     assert not [f for f in os.listdir(folder) if f.endswith("-first")]
+
+
+def test_errors_hold_every_subject_with_null_where_a_method_declines(spark):
+    subjects = spark.createDataFrame([("a", 100.0, 10.0), ("b", 200.0, 10.0), ("c", 0.0, 10.0)], "s_id string, s_price double, s_area_sqft double")
+    for c in ("s_market_segment", "s_property_type", "s_contract_month"):
+        subjects = subjects.withColumn(c, F.lit("x"))
+    estimates = spark.createDataFrame([("a", "M", 11.0, None, None, 3), ("c", "M", 5.0, None, None, 3)], "s_id string, method string, psf double, low double, high double, n_comps long")
+    got = E.errors(subjects, estimates, "M")
+    assert sorted((r["method"], r["ape"] is None, round(r["ape"] or 0, 9)) for r in got.collect()) == [("M", False, 0.1), ("M", True, 0), ("M", True, 0)]
